@@ -20,7 +20,7 @@ from recordloom.runtime import stored
 
 CYCLE = "cycle"
 #: Rows of one fragment: what a single task holds in memory at once.
-FRAGMENT_ROWS = 200_000
+FRAGMENT_ROWS = 50_000
 #: A quotient that keeps more than this share of the nodes is finished by pointer doubling instead.
 WORTH_RECURSING = 0.8
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.operators import hierarchy, orphans
+from recordloom.operators import hierarchy, orphans, timestamps
 from recordloom.runtime import both_records, canonical_id, stored, table
 
 REFERENCE_FIELDS = ("supersedes", "superseded_by", "depends_on", "refines")
@@ -102,7 +102,37 @@ def p5_orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_keys(_orphan_state(spark, sf_dir)[1])
 
 
-GENERAL = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p5_found, p5_by_period, p5_orphan_keys)}
+STAMP_FIELDS = ("created", "check_by", "last_verified", "valid_from")
+PLAIN_STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
+
+
+def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stamps of the inbox that say a time: (row_id, source, field, at, value)."""
+    rows = table(spark, sf_dir, "inbox_headers", "header_id", "source", *STAMP_FIELDS, "read_at")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in STAMP_FIELDS]))
+    long = rows.select(F.col("header_id").cast("string").alias("row_id"), "source", F.col("read_at").alias("at"), each.alias("v")).select("row_id", "source", "at", "v.*")
+    return long.where(F.col("value").isNotNull() & (F.col("value") != "never"))
+
+
+def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One UTC instant per stamp of the inbox, or the reason why there is none."""
+    got = timestamps.normalise(_stamps(spark, sf_dir), table(spark, sf_dir, "writers"))
+    return got.select(F.col("row_id").cast("long").alias("header_id"), "field", timestamps.utc_text(F.col("utc_micros")).alias("utc"), "reason")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamps = _stamps(spark, sf_dir)
+    odd = stamps.where(~F.col("value").rlike(PLAIN_STAMP)).select("row_id", "field").distinct()
+    got = timestamps.normalise(stamps, table(spark, sf_dir, "writers")).join(odd, ["row_id", "field"])
+    return got.select(F.col("row_id").cast("long").alias("header_id"), "field", F.coalesce(timestamps.utc_text(F.col("utc_micros")), "reason").alias("utc"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps per field and outcome."""
+    return p4_normalised(spark, sf_dir).groupBy("field", F.coalesce("reason", F.lit("instant")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+GENERAL = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p5_found, p5_by_period, p5_orphan_keys, p4_found, p4_normalised, p4_report)}
 
 _CANON = "CASE WHEN lower(trim({0})) = '' THEN NULL WHEN lower(trim({0})) LIKE 'ms\\_%' ESCAPE '\\' THEN 'ms_' || upper(substr(trim({0}), 4)) ELSE lower(trim({0})) END"
 _ROWS = """rows_ AS (

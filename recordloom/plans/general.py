@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.operators import hierarchy, orphans, timestamps
+from recordloom.operators import hierarchy, orphans, schema_drift, timestamps
 from recordloom.runtime import both_records, canonical_id, stored, table
 
 REFERENCE_FIELDS = ("supersedes", "superseded_by", "depends_on", "refines")
@@ -132,7 +132,25 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_normalised(spark, sf_dir).groupBy("field", F.coalesce("reason", F.lit("instant")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-GENERAL = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p5_found, p5_by_period, p5_orphan_keys, p4_found, p4_normalised, p4_report)}
+def _export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "export_lines", "stream", "file_seq", "raw")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.drift(_export_lines(spark, sf_dir))[0]
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every header under canonical column names, as canonical JSON text per column."""
+    changes, fields = schema_drift.drift(_export_lines(spark, sf_dir))
+    return schema_drift.unify(fields, stored(changes)).select("stream", "file_seq", "id", F.to_json("header").alias("header"))
+
+
+def p2_changes_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_found(spark, sf_dir).groupBy("stream", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+GENERAL = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p5_found, p5_by_period, p5_orphan_keys, p4_found, p4_normalised, p4_report, p2_found, p2_unified, p2_changes_by_stream)}
 
 _CANON = "CASE WHEN lower(trim({0})) = '' THEN NULL WHEN lower(trim({0})) LIKE 'ms\\_%' ESCAPE '\\' THEN 'ms_' || upper(substr(trim({0}), 4)) ELSE lower(trim({0})) END"
 _ROWS = """rows_ AS (

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import near_dup, set_join
-from recordloom.runtime import both_records, canonical_id, stored
+from recordloom.llm import leakage, mixing, near_dup, reading_level, set_join
+from recordloom.runtime import both_records, canonical_id, stored, table
 
 
 def _tag_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,64 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(members, links)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_groups)}
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word spans to remove from each document, per item."""
+    return leakage.leaked_spans(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items")
+    return leakage.item_report(items, leakage.leaked_spans(_documents(spark, sf_dir), items))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.sized(table(spark, sf_dir, "documents", "doc_id", "source", "text"), targets, mixing.default_tokenizer()), targets
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots, supplies = mixing.mixture(*_sizes(spark, sf_dir))
+    return mixing.report(slots, supplies).where(~F.col("reachable")).select("source")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: which tokens of which document fill which slot of which shard."""
+    sizes, targets = _sizes(spark, sf_dir)
+    slots, _ = mixing.mixture(sizes, targets)
+    return mixing.assembled(slots, mixing.packed(sizes))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots, supplies = mixing.mixture(*_sizes(spark, sf_dir))
+    return mixing.report(slots, supplies)
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text").where((F.col("lang") == "en") & (F.length("text") > 0))
+    return reading_level.levels(docs.select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "level_samples"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select(F.col("id").alias("doc_id"), "level")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents per level and the mean distance to the level's samples."""
+    return _levels(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("distance"), 3).alias("mean_distance"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_classes, p6_found, p6_groups, p7_found, p7_spans, p7_items, p8_found, p8_mixture, p8_shares, p9_found, p9_profile)
+}
 
 _RECORDS = """recs AS (
   SELECT 'ms_' || upper(substr(trim(id), 4)) AS id, tags, title, body, loaded_at FROM memory_records

@@ -121,20 +121,22 @@ def classes(texts: DataFrame, min_words: int = 20, bands: int = BANDS, values: i
     best = rows.groupBy("bag_a", "bag_b").agg(F.min_by(F.struct("id", "row"), "id").alias("r")).select("bag_a", "bag_b", F.col("r.id").alias("rep"), F.col("r.row").alias("row"))
     best = stored(best)
     members = stored(rows.drop("row").join(best.drop("row"), ["bag_a", "bag_b"]).select("id", "rep"))
-    reps = prints.select("row", "n", "sketch", "bands").join(best.select("row", "rep"), "row")
-    return members, reps
+    # The long rows stay where they are: what is dropped is named, not what is kept.
+    copies = stored(prints.select("row").join(best.select("row"), "row", "left_anti"))
+    return members, prints.select("row", F.col("id").alias("rep"), "n", "sketch", "bands").join(copies, "row", "left_anti")
 
 
 def candidates(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(row_a, row_b) of classes that share a band and whose sketches agree as at the threshold.
 
-    The first sketch word and the size travel with the band key, so that chance collisions end inside
-    the join; the full sketch is compared once per pair that is left.
+    The first sketch word travels with the band key, so that chance collisions end inside the join; the
+    full sketch is compared once per pair that is left.
     """
-    keyed = reps.select(F.explode("bands").alias("band"), "row", "n", F.element_at("sketch", 1).alias("s"))
-    other = keyed.select("band", F.col("row").alias("row_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
+    # One exchange serves both sides of the join.
+    keyed = reps.select(F.explode("bands").alias("band"), "row", F.element_at("sketch", 1).alias("s")).repartition("band")
+    other = keyed.select("band", F.col("row").alias("row_b"), F.col("s").alias("s_b"))
     far = 64 - _agreeing_bits(threshold, 64)
-    near = (F.bit_count(F.col("s").bitwiseXOR(F.col("s_b"))) <= far) & (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b"))
+    near = F.bit_count(F.col("s").bitwiseXOR(F.col("s_b"))) <= far
     pairs = stored(keyed.join(other, "band").where((F.col("row") < F.col("row_b")) & near).select(F.col("row").alias("row_a"), "row_b").distinct())
     sketch = reps.select("row", "sketch")
     both = pairs.join(sketch.toDF("row_a", "x"), "row_a").join(sketch.toDF("row_b", "y"), "row_b")
@@ -165,7 +167,6 @@ def similar_classes(texts: DataFrame, threshold: float = 0.7, min_words: int = 2
     Similarity is the number of shared words over the union, repeats counted.
     """
     members, reps = classes(texts, min_words, bands, values)
-    reps = stored(reps)
     pairs = stored(candidates(reps, threshold))
     name = reps.select("row", "rep")
     named = pairs.join(name.toDF("row_a", "id_a"), "row_a").join(name.toDF("row_b", "id_b"), "row_b").select("id_a", "id_b")

@@ -24,58 +24,60 @@ def prose(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)\A\s*---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", "")
     t = F.regexp_replace(t, r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\z)", "\n")
     t = F.regexp_replace(t, r"(?m)^(?:[ \t]*#{1,6}[ \t].*|[ \t]*\|.*|(?: {4}|\t).*|[ \t]*[-=]{3,}[ \t]*)$", "")
+    # A line that leads with an address is a reference; elsewhere only the address goes.
+    t = F.regexp_replace(t, r"(?m)^\W*(?:\w+[ \t]+)?https?://.*$", "")
     t = F.regexp_replace(t, r"https?://\S+", " ")
+    t = F.regexp_replace(t, r"\b(e\.g|i\.e|etc|sec|approx|vs|cf|no|fig)\.", "$1")
     t = F.regexp_replace(t, r"(?m)^[ \t]*(?:>[ \t]?)*(?:[-*+][ \t]+|\d+[.)][ \t]+|(?:\d{4}-\d\d-\d\d[ \t]+)?\d\d:\d\d(?:[ \t]+-)?[ \t]+|\*{0,2}[A-Za-z]+\*{0,2}:\*{0,2}[ \t]+)?", "")
     return F.regexp_replace(t, "`[^`\n]*`", " code ")
 
 
 def measured(texts: DataFrame) -> DataFrame:
-    """(id, sentence, words): mean words of a sentence and the count of each word."""
+    """(id, sentence, w): median words of a sentence, and the words. The median stands passages of
+    another kind that were pasted into a text."""
     clean = texts.select("id", prose(F.coalesce("text", F.lit(""))).alias("t"))
-    parts = clean.select("id", "t", F.filter(F.split("t", r"[.!?]+[\"')\]*]*(?:\s+|$)|\n[ \t]*\n"), lambda s: s.rlike(r"[\p{L}\p{N}]")).alias("s"), F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w"))
-    return parts.select("id", (F.size("w") / F.greatest(F.size("s"), F.lit(1))).alias("sentence"), "w")
+    parts = clean.select(
+        "id", F.filter(F.split("t", r"[.!?]+[\"')\]*]*(?:\s+|$)|\n[ \t]*\n"), lambda s: s.rlike(r"[\p{L}\p{N}]")).alias("s"),
+        F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w"),
+    )
+    sizes = parts.select("id", "w", F.array_sort(F.transform("s", lambda s: F.size(F.split(F.trim(s), r"\s+")))).alias("n"))
+    half = F.floor(F.size("n") / 2).cast("int")
+    middle = (F.try_element_at("n", half + 1) + F.when(F.size("n") % 2 == 1, F.try_element_at("n", half + 1)).when(half > 0, F.try_element_at("n", half))) / 2
+    return sizes.select("id", F.coalesce(middle, F.lit(0.0)).alias("sentence"), "w")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """(id, sentence, word, n): repeats of a word within a document are added before any shuffle."""
-    words = F.array_sort("w")
-    # Sorted words make runs; the ends of runs give distinct words, their places the counts.
-    ends = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda p: (p["i"] + 1 == F.size("w")) | (F.try_element_at("sorted", p["i"] + 2) != p["word"]))
-    step = rows.withColumn("sorted", words).select("id", "sentence", F.size("w").alias("total"), ends.alias("e"))
-    each = step.select("id", "sentence", "total", F.transform("e", lambda p, i: F.struct(p["word"].alias("word"), (p["i"] - F.when(i > 0, F.try_element_at("e", i)["i"]).otherwise(-1)).alias("n"))).alias("c"))
-    return each.select("id", "sentence", "total", F.explode_outer("c").alias("c")).select("id", "sentence", "total", "c.*")
+def ranked(words: DataFrame) -> DataFrame:
+    """(word, rank) of every word in ``w``: by descending frequency, words of one frequency together.
 
-
-def ranked(counted: DataFrame) -> DataFrame:
-    """(word, rank): words by descending frequency, ties by spelling; ranks by two-level counting.
-
-    Frequencies are distinct counts of counts, so the first level ranks frequencies, not words.
+    Frequencies are counted per word, then per frequency: the second level has one row per distinct
+    count, at most the square root of twice the words, and is all that is ordered.
     """
-    freq = stored(counted.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("f")))
     from pyspark.sql import Window
 
+    freq = stored(words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("f")))
     per = freq.groupBy("f").agg(F.count(F.lit(1)).alias("words"))
-    above = per.withColumn("above", F.sum("words").over(Window.orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, -1)))
-    # All words of one frequency share the rank of the last of them: the vocabulary takes ties together.
-    return freq.join(above.select("f", (F.coalesce("above", F.lit(0)) + F.col("words")).alias("rank")), "f").select("word", "rank")
+    upto = per.select("f", F.sum("words").over(Window.orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, 0)).alias("rank"))
+    return freq.join(upto, "f").select("word", "rank")
 
 
-def profiles(texts: DataFrame, ranks: DataFrame, counted: DataFrame | None = None, covered: float = COVERED) -> DataFrame:
-    """(id, length, rank): logarithms of the mean sentence length and of the coverage rank."""
-    counted = _counted(measured(texts)) if counted is None else counted
-    common = F.broadcast(ranks.where(F.col("rank") <= COMMON_WORDS))
+def profiles(measures: DataFrame, ranks: DataFrame, covered: float = COVERED) -> DataFrame:
+    """(id, length, rank): logarithms of the median sentence length and of the coverage rank.
+
+    The coverage rank is the rank of the word at the covered share of a document's words in rank order.
+    At most ``COMMON_WORDS`` words have the ranks that are broadcast; rarer words meet theirs in a
+    shuffled join, and each document's ranks are collected before they are shuffled.
+    """
+    words = measures.select("id", F.explode("w").alias("word"))
+    known = words.join(F.broadcast(ranks.where(F.col("rank") <= COMMON_WORDS)), "word", "left")
     rare = ranks.where(F.col("rank") > COMMON_WORDS)
-    # At most COMMON_WORDS words have such ranks, which bounds what is broadcast.
-    known = counted.join(common, "word", "left")
-    if not rare.isEmpty():
-        found = known.where(F.col("rank").isNull()).drop("rank").join(rare, "word", "left")
-        known = known.where(F.col("rank").isNotNull()).unionByName(found.select(known.columns))
-    per = known.groupBy("id").agg(F.first("sentence").alias("sentence"), F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("rank", "n"))).alias("c"))
-    reached = F.aggregate("c", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("at")), lambda s, x: F.struct(
-        (s["sum"] + F.coalesce(x["n"], F.lit(0))).cast("long").alias("sum"),
-        F.when(s["at"].isNotNull(), s["at"]).when(s["sum"] + x["n"] >= covered * F.col("total"), x["rank"]).alias("at"),
-    ))
-    return per.select("id", F.log1p("sentence").alias("length"), F.log1p(F.coalesce(reached["at"], F.lit(0))).alias("rank"))
+    if rare.isEmpty():
+        placed = known.select("id", "rank")
+    else:
+        placed = known.where(F.col("rank").isNotNull()).select("id", "rank").unionByName(known.where(F.col("rank").isNull()).select("id", "word").join(rare, "word").select("id", "rank"))
+    per = placed.groupBy("id").agg(F.array_sort(F.collect_list(F.col("rank").cast("int"))).alias("r"))
+    reached = per.select("id", F.element_at("r", F.ceil(F.size("r") * covered).cast("int")).alias("at"))
+    both = measures.select("id", "sentence").join(reached, "id", "left")
+    return both.select("id", F.log1p("sentence").alias("length"), F.log1p(F.coalesce("at", F.lit(0))).alias("rank"))
 
 
 def levels(documents: DataFrame, samples: DataFrame, covered: float = COVERED) -> DataFrame:
@@ -85,12 +87,12 @@ def levels(documents: DataFrame, samples: DataFrame, covered: float = COVERED) -
     standard deviations within the samples' levels; ties go to the easier level. A document without
     prose has the easiest level. NULL texts count as empty; a repeated id counts once (any of its rows).
     """
-    counted = stored(_counted(measured(documents)))
-    ranks = stored(ranked(counted))
-    seen = profiles(documents, ranks, counted, covered)
+    read = stored(measured(documents))
+    ranks = stored(ranked(read))
+    seen = profiles(read, ranks, covered)
     marked = samples.where(F.col("level").isNotNull()).select(F.monotonically_increasing_id().alias("id"), "text", "level")
     marked = stored(marked)
-    known = profiles(marked.select("id", "text"), ranks, None, covered).join(marked.select("id", "level"), "id")
+    known = profiles(measured(marked.select("id", "text")), ranks, covered).join(marked.select("id", "level"), "id")
     centre = known.groupBy("level").agg(*[F.avg(c).alias(f"{c}_mean") for c in ("length", "rank")], *[F.var_pop(c).alias(f"{c}_var") for c in ("length", "rank")])
     spread = centre.agg(*[F.sqrt(F.greatest(F.avg(f"{c}_var"), F.lit(1e-6))).alias(f"{c}_sd") for c in ("length", "rank")])
     # One row per level, a handful: the levels' values become constants of the plan.

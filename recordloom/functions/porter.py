@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import functions as F
-
 # The suffix tables of steps 2, 3 and 4 of the algorithm.
 _STEP2 = dict(
     ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", bli="ble", alli="al", entli="ent", eli="e", ousli="ous", ization="ize",
@@ -75,8 +72,3 @@ def stem(word: str) -> str:
         if m > 1 or (m == 1 and not _short(word[:-1])):
             word = word[:-1]
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
-
-
-@F.pandas_udf("string")
-def stems(words: pd.Series) -> pd.Series:
-    return words.map(stem)

@@ -63,7 +63,7 @@ def sanitize_tag(c: Column) -> Column:
 
 
 def parse_tags(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda t: t != "")
 
 
 def escape_xml(c: Column) -> Column:

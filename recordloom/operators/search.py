@@ -8,6 +8,7 @@ is shuffled.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +143,11 @@ def postings(records: DataFrame, stem: bool = False) -> DataFrame:
 
 def stemmed_vocabulary(terms: DataFrame) -> DataFrame:
     """(term, stem) of each distinct term: Python sees the vocabulary once, not the text."""
-    from recordloom.functions.porter import stems
+    from recordloom.functions.porter import stem
+
+    @F.pandas_udf("string")
+    def stems(words: pd.Series) -> pd.Series:
+        return words.map(stem)
 
     return terms.select("term").where(F.col("term").isNotNull()).distinct().withColumn("stem", stems("term"))
 
@@ -162,8 +167,6 @@ def cosine_rerank(candidates: DataFrame, vectors: DataFrame, query: list[float],
 
 def embed(records: DataFrame, provider, column: str = "body") -> DataFrame:
     """Add ``embedding`` from ``provider(list of texts) -> list of vectors``, called once per Arrow batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def call(texts: pd.Series) -> pd.Series:
         return pd.Series(list(provider(texts.fillna("").tolist())))

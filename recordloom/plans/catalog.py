@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordloom.plans import reference, reference_sql
 from recordloom.plans.general import GENERAL, GENERAL_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GENERAL["p1_found"](spark, sf_dir)
+    return reference.search_rerank(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(GENERAL)
+    return reference.QUERIES | GENERAL
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(GENERAL_SQL)
+    return reference_sql.SQL | GENERAL_SQL

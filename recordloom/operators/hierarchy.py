@@ -202,7 +202,8 @@ def resolve_hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, path
     """Root, depth, number of descendants and (with ``paths``) full path of every linked node.
 
     ``links`` has ``node`` and ``parent`` (strings; other columns are ignored). Rows with a NULL node or
-    parent are no links; repeated links count once; of several parents the smallest key is used. A node
+    parent are no links; repeated links count once; of several parents the smallest key is used and the
+    others stand alone. A node
     whose way up never ends gets root ``cycle``, depth and descendants -1 and a NULL path. A node that is
     only a parent is a root. No links give no rows.
     """

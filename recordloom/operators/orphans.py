@@ -73,7 +73,7 @@ def report(references: DataFrame, state: DataFrame, late_exempt: tuple[str, ...]
         .when(~F.col("field").isin(*late_exempt) & (F.col("target_load") > F.col("first_load")), "late")
     )
     return (
-        references.join(keys, "target_id")
+        references.select("ref_table", "id", "field", "target_id", "first_load").join(keys, "target_id")
         .withColumn("reason", reason)
         .where(F.col("reason").isNotNull())
         .select("ref_table", F.date_format("first_load", "yyyy-MM").alias("period"), "id", "field", "target_id", "reason")

@@ -228,14 +228,16 @@ def drift(lines: DataFrame, sketch_records: int = SKETCH_RECORDS) -> tuple[DataF
 
 
 def canonical_names(changes: DataFrame) -> DataFrame:
-    """(field, canonical): names linked by renames anywhere are one column, named by the shortest.
+    """(field, canonical): names linked by renames anywhere are one column, named by the shortest,
+    of equally short ones the first in spelling order, lower case before capitals.
 
     The graph has one node per distinct field name - a schema, not data - and is closed by label
     propagation until no name changes.
     """
     edges = changes.where(F.col("change") == "renamed").select(F.col("old_name").alias("a"), F.col("new_name").alias("b")).distinct()
     edges = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    rank = lambda c: F.struct(F.length(c).alias("n"), c.alias("name"))
+    # Swapped case turns spelling order round for capitals.
+    rank = lambda c: F.struct(F.length(c).alias("n"), F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz").alias("swapped"), c.alias("name"))
     label = stored(edges.select("a").distinct().select(F.col("a").alias("field"), rank(F.col("a")).alias("label")))
     while True:
         heard = edges.join(label.select(F.col("field").alias("b"), "label"), "b").groupBy(F.col("a").alias("field")).agg(F.min("label").alias("heard"))

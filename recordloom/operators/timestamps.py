@@ -213,7 +213,7 @@ def normalise(values: DataFrame, writers: DataFrame, first_year: int = 2023, las
     unreadable; a NULL or unknown source has no zone; equal (row_id, field) rows count once.
     """
     known = writers.select("source", "zone_name", "date_order").dropDuplicates(["source"])
-    read = values.where(F.col("value").isNotNull()).dropDuplicates(["row_id", "field"]).join(known, "source", "left")
+    read = values.select("row_id", "source", "field", "at", "value").where(F.col("value").isNotNull()).dropDuplicates(["row_id", "field"]).join(known, "source", "left")
     read = read.withColumn("text", F.coalesce(trimmed(F.col("value")), F.lit("")))
     read = stored(with_readings(read, first_year, last_year).select("row_id", "source", "field", "at", "readings"))
     chosen = read

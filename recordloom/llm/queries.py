@@ -117,7 +117,31 @@ pair AS (
   SELECT a.id AS id_a, b.id AS id_b FROM many a JOIN many b ON a.t = b.t AND a.id < b.id
   GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)))"""
 
-SQL = {"p3_found": f"WITH {_TAGS} SELECT id_a, id_b FROM pair"}
+_WINDOWS = """item AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM eval_items),
+doc AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM item)),
+dw AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM doc)),
+hit AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g))"""
+_BAGS = f"""{_RECORDS},
+one AS (SELECT DISTINCT ON (id) id, lower(title || ' ' || body) AS t FROM recs ORDER BY id, loaded_at),
+word AS (SELECT id, unnest(list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS w FROM one),
+size AS (SELECT id, count(*) AS n FROM word GROUP BY id HAVING count(*) >= 20),
+bag AS (SELECT id, w, count(*) AS k, any_value(n) AS n FROM word JOIN size USING (id) GROUP BY id, w),
+near_ AS (SELECT a.id AS id_a, b.id AS id_b FROM bag a JOIN bag b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING sum(least(a.k, b.k)) >= 0.7 * (a.n + b.n - sum(least(a.k, b.k))))"""
+
+SQL = {
+    "p3_found": f"WITH {_TAGS} SELECT id_a, id_b FROM pair",
+    "p3_classes": f"""WITH {_TAGS},
+key AS (SELECT id, list_sort(list(t)) AS k FROM many GROUP BY id),
+class AS (SELECT k, min(id) AS class_id, count(*) AS members FROM key GROUP BY k),
+link AS (SELECT DISTINCT a.k AS k, b.k AS other FROM pair p JOIN key a ON a.id = p.id_a JOIN key b ON b.id = p.id_b WHERE a.k <> b.k),
+ends AS (SELECT k, count(DISTINCT other) AS links FROM (SELECT k, other FROM link UNION SELECT other, k FROM link) GROUP BY k)
+SELECT id, class_id, members, coalesce(links, 0) AS links FROM key JOIN class USING (k) LEFT JOIN ends USING (k)""",
+    "p6_found": f"WITH {_BAGS} SELECT id_a, id_b FROM near_",
+    "p7_found": f"WITH {_WINDOWS} SELECT doc_id, item_id FROM hit",
+    "p7_items": f"WITH {_WINDOWS} SELECT i.item_id, i.split, count(h.doc_id) AS documents, count(h.doc_id) > 0 AS leaked FROM eval_items i LEFT JOIN hit h USING (item_id) GROUP BY i.item_id, i.split",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -70,10 +70,13 @@ def profiles(measures: DataFrame, ranks: DataFrame, covered: float = COVERED) ->
     words = measures.select("id", F.explode("w").alias("word"))
     known = words.join(F.broadcast(ranks.where(F.col("rank") <= COMMON_WORDS)), "word", "left")
     rare = ranks.where(F.col("rank") > COMMON_WORDS)
+    # A word the ranking has not seen comes after all it has.
+    last = F.lit(ranks.count() + 1)
     if rare.isEmpty():
-        placed = known.select("id", "rank")
+        placed = known.select("id", F.coalesce("rank", last).alias("rank"))
     else:
-        placed = known.where(F.col("rank").isNotNull()).select("id", "rank").unionByName(known.where(F.col("rank").isNull()).select("id", "word").join(rare, "word").select("id", "rank"))
+        found = known.where(F.col("rank").isNull()).select("id", "word").join(rare, "word", "left")
+        placed = known.where(F.col("rank").isNotNull()).select("id", "rank").unionByName(found.select("id", F.coalesce("rank", last).alias("rank")))
     per = placed.groupBy("id").agg(F.array_sort(F.collect_list(F.col("rank").cast("int"))).alias("r"))
     reached = per.select("id", F.element_at("r", F.ceil(F.size("r") * covered).cast("int")).alias("at"))
     both = measures.select("id", "sentence").join(reached, "id", "left")

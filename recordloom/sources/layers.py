@@ -21,5 +21,5 @@ def layered(rows: DataFrame, layers: DataFrame) -> DataFrame:
 
 def listing(rows: DataFrame, layers: DataFrame) -> DataFrame:
     """(name, path, priority, mode, items): every layer with the number of its distinct records."""
-    n = rows.select("layer", "id").distinct().groupBy(F.col("layer").alias("name")).agg(F.count(F.lit(1)).alias("items"))
+    n = rows.select("layer", "id").where(F.col("id").isNotNull()).distinct().groupBy(F.col("layer").alias("name")).agg(F.count(F.lit(1)).alias("items"))
     return layers.join(n, "name", "left").select("name", "path", "priority", F.when(F.col("writable"), "rw").otherwise("ro").alias("mode"), F.coalesce("items", F.lit(0)).alias("items"))

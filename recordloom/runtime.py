@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, wherever the driver found it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    where = shared_dir(spark)
+    where = where.removeprefix("file://").removeprefix("file:")
+    if "://" in where:
+        # Spark's own file server hands the driver's copy out; nothing reads this folder but the driver.
+        where = tempfile.mkdtemp(prefix="recordloom-")
+    Path(where).mkdir(parents=True, exist_ok=True)
+    target = f"{where}/recordloom-{uuid.uuid4().hex}.zip"
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 

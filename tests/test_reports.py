@@ -134,7 +134,7 @@ def test_observe_and_scalars(spark):
     assert pick(X.parse_tags(F.lit(" a, b ,,c"))) == ["a", "b", "c"]
     assert pick(X.sanitize_tag(F.lit("--A b!C-"))) == "a-b-c"
     assert pick(X.truncate_body(F.lit("# h\n" + "word " * 60))).endswith("…")
-    assert pick(R.canonical_source(F.lit("therin-2026-05-29"))) == "therin"
+    assert pick(R.canonical_source(F.lit("writer-2026-05-29"))) == "writer"
     assert pick(R.canonical_source(F.lit("2026-05-29"))) == "2026-05-29"
 
 

@@ -9,7 +9,7 @@ from recordloom.functions import records as R
 
 # Old states and what they are now; the text given where no reason was kept.
 OLD_STATES = {"captured": "active", "corrected": "superseded", "decayed": "retired", "archived": "retired"}
-NO_REASON = "predates reason tracking"
+NO_REASON = "(predates reason tracking)"
 LEGACY = "decay_after string, confidence double, corrects array<string>, corrected_by string, correction_reason string, code_anchors array<struct<file:string,sha:string,repo:string>>"
 
 

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import reference, reference_sql
+from recordloom.plans import records, records_sql
 from recordloom.plans.general import GENERAL, GENERAL_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference.search_rerank(spark, sf_dir)
+    return records.search_rerank(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return reference.QUERIES | GENERAL
+    return records.QUERIES | GENERAL
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference_sql.SQL | GENERAL_SQL
+    return records_sql.SQL | GENERAL_SQL

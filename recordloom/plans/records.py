@@ -1,4 +1,4 @@
-"""Queries of the record operators over the test tables; ``reference_sql`` holds their SQL twins."""
+"""Queries of the record operators over the test tables; ``records_sql`` holds their SQL twins."""
 
 from __future__ import annotations
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from recordloom.functions.text import prefix_stem
-from recordloom.plans.reference import NOW_TEXT, QUERY, QUERY_ANY, QUERY_PHRASE, QUERY_PREFIX
+from recordloom.plans.records import NOW_TEXT, QUERY, QUERY_ANY, QUERY_PHRASE, QUERY_PREFIX
 
 NOW = f"TIMESTAMP '{NOW_TEXT}'"
 AS_OF = "TIMESTAMP '2025-06-30 00:00:00'"
@@ -157,7 +157,7 @@ final AS (SELECT *, coalesce(v0, CASE WHEN {_HAS} AND last_verified IS NOT NULL
 planned AS (SELECT *, list_filter([
     CASE WHEN old AND state = 'active' THEN 'state captured -> active' WHEN old AND state = 'retired' THEN 'state decayed -> retired' END,
     CASE WHEN kind0 IS NULL THEN 'kind: claim (default)' END, CASE WHEN old AND check_by IS NOT NULL THEN 'decay_after -> check_by' END, CASE WHEN old AND len(sup0) > 0 THEN 'corrects -> supersedes' END,
-    CASE WHEN (state = 'superseded' OR superseded_by IS NOT NULL) AND coalesce(supersede_reason, '') = '' THEN 'supersede_reason backfilled: "predates reason tracking"' END,
+    CASE WHEN (state = 'superseded' OR superseded_by IS NOT NULL) AND coalesce(supersede_reason, '') = '' THEN 'supersede_reason backfilled: "(predates reason tracking)"' END,
     CASE WHEN old AND {_HAS} THEN 'ext.code_anchors -> anchors' END, CASE WHEN old THEN 'confidence -> ext.legacy_confidence' END,
     CASE WHEN sk0 IS NULL THEN 'source_kind: ' || inferred || ' (inferred from "' || coalesce(source, '') || '")' END, CASE WHEN v0 IS NULL THEN 'verified_with: ' || witness || ' (inferred)' END,
     CASE WHEN late THEN 'stale: true (check_by in the past)' END, CASE WHEN target_path <> was THEN 'relocate -> ' || target_path END], lambda x: x IS NOT NULL) AS changes FROM final)"""

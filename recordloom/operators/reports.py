@@ -22,9 +22,9 @@ def usage_counts(usage: DataFrame, now: Column, days: int = USAGE_DAYS) -> DataF
 
 
 def anchors_view(records: DataFrame) -> DataFrame:
-    """(id, file, sha, repo): every anchor once per record and file."""
+    """(id, file, sha, repo): every anchor once per record and file, with the smallest hash given."""
     each = records.select("id", F.explode("anchors").alias("a")).select("id", "a.file", "a.sha", F.coalesce("a.repo", F.lit("")).alias("repo"))
-    return each.where(F.col("file").isNotNull()).dropDuplicates(["id", "file", "repo"])
+    return each.where(F.col("file").isNotNull()).groupBy("id", "file", "repo").agg(F.min("sha").alias("sha"))
 
 
 def anchor_drift(anchors: DataFrame, files: DataFrame, repos: DataFrame | None = None) -> DataFrame:

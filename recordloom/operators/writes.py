@@ -133,7 +133,8 @@ def verify(records: DataFrame, drift: DataFrame, requests: DataFrame, now: Colum
 
 def anchor_merge(records: DataFrame, fresh: DataFrame, replace: bool = False) -> DataFrame:
     """(id, anchors): fresh anchors (id, file, sha, repo) win over existing ones of the same file and come last."""
-    new = fresh.dropDuplicates(["id", "file"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("file", "sha", "repo"))).alias("fresh"))
+    one = fresh.groupBy("id", "file").agg(F.min(F.struct("repo", "sha")).alias("m")).select("id", "file", "m.sha", "m.repo")
+    new = one.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("file", "sha", "repo"))).alias("fresh"))
     old = F.array().cast("array<struct<file:string,sha:string,repo:string>>") if replace else F.coalesce("anchors", F.array().cast("array<struct<file:string,sha:string,repo:string>>"))
     got = records.where(F.col("state") == "active").join(new, "id")
     files = F.transform("fresh", lambda f: f["file"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import records as R
 from recordloom.functions import text as X
-from recordloom.operators import exports, graph, migrate, reports, search, writes
-from recordloom.runtime import both_records, stored, table
+from recordloom.operators import exports, graph, index, migrate, reports, search, writes
+from recordloom.runtime import both_records, shared_dir, stored, table
 from recordloom.sources import imports, layers, markdown
 
 NOW_TEXT = "2026-06-30 00:00:00"
@@ -575,6 +576,12 @@ def fts_index_cache(s, d):
     return index.groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum("tf").alias("tf"))
 
 
+@query
+def fts_indexed(s, d):
+    """The search of ``fts_and`` answered from a stored positional index."""
+    return index.matches(index.build(_active(s, d), f"{shared_dir(s)}/index-{uuid.uuid4().hex}"), QUERY, stage="and").select("id", "bm25")
+
+
 @query
 def fts_porter(s, d):
     return search.stemmed_vocabulary(search.postings(_active(s, d)).select("term"))
@@ -914,9 +921,6 @@ def dedupe_edges(s, d):
 @query
 def scan_records(s, d):
     """The records of the archive written as files and scanned again."""
-    from recordloom.runtime import shared_dir
-    import uuid
-
     root = f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/store-{uuid.uuid4().hex}"
     markdown.write_store(_records(s, d).where(F.col("ref_table") == "archive_records"), root)
     return markdown.scan_records(s, root).select("id", "state", "title", "area", "is_operator", "error")

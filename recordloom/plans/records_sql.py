@@ -51,7 +51,7 @@ def _edges(src: str = "records") -> str:
 
 _FILES = """seen AS (SELECT id, loaded_at, coalesce(a.repo, '') AS repo, a.file AS file, a.sha AS sha FROM (SELECT id, loaded_at, unnest(anchors) AS a FROM rows_) WHERE a.file IS NOT NULL),
 files AS (SELECT repo, file, sha AS current_sha FROM (SELECT *, row_number() OVER (PARTITION BY repo, file ORDER BY loaded_at DESC, id DESC, sha DESC) AS rn FROM seen) WHERE rn = 1 AND length(file) % 11 <> 0),
-anch AS (SELECT DISTINCT ON (id, file, repo) id, a.file AS file, a.sha AS sha, coalesce(a.repo, '') AS repo FROM (SELECT id, unnest(anchors) AS a FROM active) WHERE a.file IS NOT NULL),
+anch AS (SELECT id, a.file AS file, min(a.sha) AS sha, coalesce(a.repo, '') AS repo FROM (SELECT id, unnest(anchors) AS a FROM active) WHERE a.file IS NOT NULL GROUP BY ALL),
 drift AS (SELECT n.id, n.file, n.repo, CASE WHEN f.current_sha IS NULL THEN 'missing' WHEN f.current_sha = n.sha THEN 'unchanged' ELSE 'changed' END AS status FROM anch n LEFT JOIN files f USING (repo, file)),
 drifted AS (SELECT id, count(DISTINCT file) AS files, 'anchor drift: ' || array_to_string(list_sort(list(DISTINCT file)), ', ') AS note FROM drift WHERE status <> 'unchanged' GROUP BY id),
 renames AS (SELECT DISTINCT file AS old, file || 'x' AS new FROM seen WHERE length(file) % 11 = 0 AND ends_with(file, '.ts'))"""
@@ -338,3 +338,8 @@ SQL |= {
     "dedupe_edges": f"WITH {_REC} SELECT src, edge_type, dst FROM ({_edges()}) GROUP BY ALL",
 }
 SQL["scan_records"] = f"WITH {_REC} SELECT id, state, title, regexp_extract('/' || file_path, '/(memory|observations|archive)/', 1) AS area, contains('/' || file_path, '/memory/operator/') AS is_operator, NULL::VARCHAR AS error FROM records WHERE ref_table = 'archive_records'"
+SQL["fts_indexed"] = SQL["fts_and"]
+SQL["anchor_merge"] = f"""WITH {_REC}, {_FILES}, fresh AS (SELECT id, list(file ORDER BY file) AS fs, list(file || '@' || sha ORDER BY file) AS txt FROM (
+  SELECT d.id, d.file, arg_min(f.current_sha, d.repo) AS sha FROM drift d JOIN files f USING (repo, file) WHERE d.status = 'changed' GROUP BY d.id, d.file) GROUP BY id),
+kept AS (SELECT a.id, fs, txt, list_transform(list_filter(coalesce(anchors, []), lambda x: NOT list_contains(fs, x.file)), lambda x: x.file || '@' || x.sha) AS old FROM active a JOIN fresh f ON f.id = a.id)
+SELECT id, CAST(len(old) + len(fs) AS INTEGER) AS n, array_to_string(list_concat(old, txt), ' ') AS anchors FROM kept"""

@@ -34,7 +34,7 @@ def fingerprint(records: DataFrame) -> int:
 
 def build(records: DataFrame, path: str, files: int | None = None) -> Index:
     """Index ``records`` (id, type, title, tags, body) under ``path``, replacing what is there."""
-    t = tokenized(records.select("id", "type", "title", "tags", "body"))
+    t = tokenized(records.select("id", "type", "title", "tags", "body")).withColumnRenamed("_length", "length")
     places = F.concat(*[_places(f) for f in FIELDS])
     each = t.select("id", "type", "length", F.explode(places).alias("p")).select("id", "type", "length", "p.*")
     lists = [F.sort_array(F.collect_list(F.when(F.col("field") == k, F.col("at")))).alias(f"in_{f}") for k, f in enumerate(FIELDS)]
@@ -48,7 +48,7 @@ def build(records: DataFrame, path: str, files: int | None = None) -> Index:
 
 def _places(field: str) -> Column:
     k = FIELDS.index(field)
-    return F.transform(f"t_{field}", lambda w, i: F.struct(w.alias("term"), F.lit(k).alias("field"), i.alias("at")))
+    return F.transform(f"_t_{field}", lambda w, i: F.struct(w.alias("term"), F.lit(k).alias("field"), i.alias("at")))
 
 
 def load(spark: SparkSession, path: str) -> Index:

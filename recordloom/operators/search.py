@@ -1,15 +1,14 @@
 """Ranked full-text search over records: BM25 with column weights, fallback stages and re-ranking.
 
 One pass over the corpus gives every record its weighted term hits for the exact and the prefix form
-of each query term; one aggregate row gives corpus size, mean length, document frequencies and how many
-records each stage matches. The first stage that matches anything ranks. Nothing but matching records
-is shuffled.
+of each query term; corpus size and mean length are observed on the way, and only records with a hit
+are kept. The first stage that matches anything ranks. Nothing but matching records is shuffled.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordloom.functions.records import Settings, days_between
@@ -32,8 +31,8 @@ def query_terms(query: str) -> list[list[str]]:
 
 def tokenized(records: DataFrame) -> DataFrame:
     """Records with token arrays per field and the total length."""
-    df = records.withColumns({"t_title": tokens(F.col("title")), "t_tags": tokens(F.array_join("tags", " ")), "t_body": tokens(F.col("body"))})
-    return df.withColumn("length", F.size("t_title") + F.size("t_tags") + F.size("t_body"))
+    df = records.withColumns({"_t_title": tokens(F.col("title")), "_t_tags": tokens(F.array_join("tags", " ")), "_t_body": tokens(F.col("body"))})
+    return df.withColumn("_length", F.size("_t_title") + F.size("_t_tags") + F.size("_t_body"))
 
 
 def hits(field: Column, phrase: list[str], prefix: bool) -> Column:
@@ -50,7 +49,7 @@ def hits(field: Column, phrase: list[str], prefix: bool) -> Column:
 
 
 def weighted(phrase: list[str], prefix: bool, weights: tuple[float, ...]) -> Column:
-    fields = ("t_title", "t_tags", "t_body")
+    fields = ("_t_title", "_t_tags", "_t_body")
     return sum((F.lit(w) * hits(F.col(f), phrase, prefix) for f, w in zip(fields[1:], weights[1:], strict=True)), F.lit(weights[0]) * hits(F.col(fields[0]), phrase, prefix))
 
 
@@ -66,28 +65,31 @@ def matches(records: DataFrame, query: str, types: list[str] | None = None, weig
     stems = [query_terms(prefix_stem(t)) for t in query.split()]
     stems = [s[0] if s else [] for s in stems]
     df = tokenized(records)
-    df = df.withColumns({f"x{i}": weighted(t, False, weights) for i, t in enumerate(terms)} | {f"p{i}": weighted(t, True, weights) for i, t in enumerate(stems)})
+    df = df.withColumns({f"_x{i}": weighted(t, False, weights) for i, t in enumerate(terms)} | {f"_p{i}": weighted(t, True, weights) for i, t in enumerate(stems)})
     wanted = F.col("type").isin(types) if types else F.lit(True)
     found = {}
     for name in STAGES:
-        cols = [F.col(f"{'p' if 'prefix' in name else 'x'}{i}") > 0 for i in range(len(terms))]
+        cols = [F.col(f"_{'p' if 'prefix' in name else 'x'}{i}") > 0 for i in range(len(terms))]
         test = cols[0]
         for c in cols[1:]:
             test = test & c if name.startswith("and") else test | c
         found[name] = test
-    # One pass, one row: the corpus statistics and how many records each stage matches.
-    stats = df.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for k in "xp" for c in [f"{k}{i}" for i in range(len(terms))]],
-        *[F.count_if(found[s] & wanted).alias(f"in_{s}") for s in STAGES],
-    ).first()
+    # One pass over the corpus: its size and mean length are observed while the records with any hit,
+    # which are all that can match or count towards a document frequency, are stored.
+    corpus = Observation()
+    names = [f"_{k}{i}" for k in "xp" for i in range(len(terms))]
+    any_hit = F.greatest(*[F.col(c) for c in names]) > 0
+    seen = df.observe(corpus, F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"))
+    df = stored(seen.where(any_hit).select(*records.columns, "_length", *names))
+    stats = df.agg(*[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names], *[F.count_if(found[s] & wanted).alias(f"in_{s}") for s in STAGES]).first().asDict() | corpus.get
     order = [s for s in STAGES if len(terms) > 1 or s.startswith("and")]
     stage = stage or next((s for s in order if stats[f"in_{s}"]), "and")
     kind = "p" if "prefix" in stage else "x"
     score = F.lit(0.0)
     for i in range(len(terms)):
-        f, n = F.col(f"{kind}{i}"), stats[f"df_{kind}{i}"]
+        f, n = F.col(f"_{kind}{i}"), stats[f"df__{kind}{i}"]
         idf = F.greatest(F.ln((F.lit(float(stats["n"])) - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1.0))))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_length") / F.lit(float(stats["mean"] or 1.0))))
     return df.where(found[stage] & wanted).withColumn("bm25", F.round(score, 6)).select(*records.columns, "bm25")
 
 
@@ -134,7 +136,7 @@ def search_layers(layers: list[tuple[str, DataFrame]], query: str, now: Column,
 
 def postings(records: DataFrame, stem: bool = False) -> DataFrame:
     """(term, id, field, tf): the inverted index, optionally stemmed through its vocabulary."""
-    df = tokenized(records).select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("t")) for f in ("title", "tags", "body")])).alias("f"))
+    df = tokenized(records).select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t_{f}").alias("t")) for f in ("title", "tags", "body")])).alias("f"))
     flat = df.select("id", "f.field", F.explode("f.t").alias("term")).groupBy("term", "id", "field").agg(F.count(F.lit(1)).alias("tf"))
     if not stem:
         return flat

@@ -473,7 +473,7 @@ def sweep_candidates(s, d):
 @query
 def corpus_stats(s, d):
     t = search.tokenized(_active(s, d))
-    return t.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"), F.round(F.avg("length"), 6).alias("mean"))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.sum("_length").alias("tokens"), F.round(F.avg("_length"), 6).alias("mean"))
 
 
 # --- ranking and budgets ---------------------------------------------------------------------------
@@ -521,7 +521,7 @@ def recent_topk(s, d):
 @query
 def budget_break(s, d):
     """The boot list under its budget."""
-    return reports.context(_active(s, d), _uses(s, d), reports.drift_agg(_drift(s, d)), now(), 700)
+    return reports.context(stored(_active(s, d)), _uses(s, d), reports.drift_agg(_drift(s, d)), now(), 700)
 
 
 @query

@@ -14,13 +14,13 @@ def now():
     return F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
 
 
-SCHEMA = "id string, type string, title string, tags array<string>, body string, created timestamp_ntz, bm25_extra int"
+SCHEMA = "id string, type string, title string, tags array<string>, body string, created timestamp_ntz, length int, x0 int, t_title string"
 
 
 def frame(spark, rows):
     from datetime import datetime
 
-    return spark.createDataFrame([(i, t, a, g, b, datetime(2024, 1, d), 0) for i, t, a, g, b, d in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, a, g, b, datetime(2024, 1, d), 0, 7, "clash") for i, t, a, g, b, d in rows], SCHEMA)
 
 
 def full_text(rows, expression, tokenizer="unicode61"):
@@ -65,6 +65,7 @@ def test_rerank_prefers_phrases_and_types(spark):
     top = [r.id for r in search.search(df, "cache token", now(), 3).orderBy("rank").collect()]
     assert top[0] == "b" and set(top) == {"a", "b", "c"}
     assert [r.id for r in search.search(df, "cache token", now(), 3, types=["decision"]).collect()] == ["c"]
+    assert {(r.length, r.x0, r.t_title) for r in search.search(df, "cache token", now(), 3).collect()} == {(0, 7, "clash")}
     assert search.search(df.limit(0), "cache", now()).count() == 0
     assert search.search(df, "cache", now(), 1, settings=Settings(relevance=0.0, recency=1.0)).first().id == "c"
 

@@ -66,7 +66,8 @@ def _chains(pdf: pd.DataFrame, paths: bool) -> dict[str, np.ndarray]:
         full: list = [None] * n
         for v in np.argsort(out["hops"], kind="stable"):
             if not cyclic[v]:
-                full[v] = (full[up[v]] if up[v] >= 0 else []) + list(seg[v])
+                # A node entered from elsewhere that is caught in a cycle of its fragment has no segment.
+                full[v] = (full[up[v]] if up[v] >= 0 else []) + ([] if seg[v] is None else list(seg[v]))
         out["path"] = np.array(full + [None], object)[:-1]
     else:
         out["path"] = np.full(n, None, object)

@@ -43,6 +43,15 @@ def test_nulls_repeats_self_links_and_extra_columns(spark):
     assert got == {"a": ("b", 1, 0), "b": ("b", 0, 1), "s": ("cycle", -1, -1), "d": ("y", 1, 0), "y": ("y", 0, 1), "z": ("z", 0, 0)}
 
 
+@pytest.mark.parametrize("worth", [0.8, 0.0])
+def test_cycle_inside_a_fragment_entered_from_others(spark, monkeypatch, worth):
+    monkeypatch.setattr(hierarchy, "WORTH_RECURSING", worth)
+    links = [("a0", "a1"), ("a1", "a0")] + [(f"m{i}", "a0") for i in range(6)] + [(f"z{i}", f"m{i}") for i in range(6)] + [("y1", "y0"), ("z9", "y1")]
+    got = {r.node: (r.root, r.depth, r.descendants, r.path) for r in hierarchy.resolve_hierarchy(spark.createDataFrame(links, "node string, parent string"), 4, True).collect()}
+    assert all(got[n] == ("cycle", -1, -1, None) for n in ["a0", "a1", *[f"{c}{i}" for c in "mz" for i in range(6)]])
+    assert got["z9"] == ("y0", 2, 0, ["y0", "y1", "z9"]) and got["y0"][2] == 2
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "node string, parent string")
     assert hierarchy.resolve_hierarchy(df).collect() == []

@@ -38,10 +38,10 @@ def _swap(word: str, table: dict[str, str]) -> str:
 
 
 def stem(word: str) -> str:
-    """Words of under three letters, or with other than a-z, stay as they are."""
-    if len(word) < 3 or not re.fullmatch("[a-z]+", word):
+    """Words of under 3 or over 64 bytes stay as they are; signs other than a-z count as consonants."""
+    if not 3 <= len(word.encode()) <= 64:
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith("sses") and len(word) > 4 or word.endswith("ies") and len(word) > 3:
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]

@@ -1,7 +1,7 @@
 """A stored inverted index with positions: searches read only the postings of their terms.
 
 Postings lie sorted by term, so that a term or a prefix reaches the scan as a filter on few row groups.
-Scores are those of ``search.matches`` on the same snapshot.
+Terms are Porter stems unless ``stem=False``. Scores are those of ``search.matches`` on the same snapshot.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from recordloom.functions.text import prefix_stem
-from recordloom.operators.search import B, K1, STAGES, WEIGHTS, query_terms, tokenized
+from recordloom.operators.search import B, K1, STAGES, WEIGHTS, query_phrases, stemmed_vocabulary, tokenized
 
 FIELDS = ("title", "tags", "body")
 
@@ -24,6 +23,7 @@ class Index:
     records: int
     mean_length: float
     fingerprint: int
+    stemmed: bool
 
 
 def fingerprint(records: DataFrame) -> int:
@@ -32,16 +32,19 @@ def fingerprint(records: DataFrame) -> int:
     return int(records.agg(F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0))).first()[0] % (1 << 62))
 
 
-def build(records: DataFrame, path: str, files: int | None = None) -> Index:
+def build(records: DataFrame, path: str, files: int | None = None, stem: bool = True) -> Index:
     """Index ``records`` (id, type, title, tags, body) under ``path``, replacing what is there."""
     t = tokenized(records.select("id", "type", "title", "tags", "body")).withColumnRenamed("_length", "length")
     places = F.concat(*[_places(f) for f in FIELDS])
     each = t.select("id", "type", "length", F.explode(places).alias("p")).select("id", "type", "length", "p.*")
     lists = [F.sort_array(F.collect_list(F.when(F.col("field") == k, F.col("at")))).alias(f"in_{f}") for k, f in enumerate(FIELDS)]
     rows = each.groupBy("term", "id", "type", "length").agg(*lists)
+    if stem:
+        joined = rows.join(stemmed_vocabulary(each.select("term")), "term").withColumn("term", F.col("stem"))
+        rows = joined.groupBy("term", "id", "type", "length").agg(*[F.sort_array(F.flatten(F.collect_list(f"in_{f}"))).alias(f"in_{f}") for f in FIELDS])
     spread = rows.repartitionByRange(files, "term", "id") if files else rows.repartitionByRange("term", "id")
     spread.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    stats = t.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean_length")).withColumn("fingerprint", F.lit(fingerprint(records)))
+    stats = t.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean_length")).withColumn("fingerprint", F.lit(fingerprint(records))).withColumn("stemmed", F.lit(stem))
     stats.write.mode("overwrite").parquet(f"{path}/stats")
     return load(records.sparkSession, path)
 
@@ -53,18 +56,18 @@ def _places(field: str) -> Column:
 
 def load(spark: SparkSession, path: str) -> Index:
     s = spark.read.parquet(f"{path}/stats").first()
-    return Index(spark.read.parquet(f"{path}/postings"), s.records, s.mean_length, s.fingerprint)
+    return Index(spark.read.parquet(f"{path}/postings"), s.records, s.mean_length, s.fingerprint, "stemmed" in s and s.stemmed)
 
 
-def open_or_build(records: DataFrame, path: str) -> Index:
-    """The index under ``path`` if it was built from this content, else a new one."""
+def open_or_build(records: DataFrame, path: str, stem: bool = True) -> Index:
+    """The index under ``path`` if it was built from this content in this form, else a new one."""
     try:
         index = load(records.sparkSession, path)
-        if index.fingerprint == fingerprint(records):
+        if index.stemmed == stem and index.fingerprint == fingerprint(records):
             return index
     except AnalysisException:
         pass
-    return build(records, path)
+    return build(records, path, stem=stem)
 
 
 def _hits(name: str, field: str, length: int) -> Column:
@@ -83,9 +86,8 @@ def _hits(name: str, field: str, length: int) -> Column:
 
 def matches(index: Index, query: str, types: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, stage: str | None = None) -> DataFrame:
     """(id, type, bm25) of the records the query matches, by the first stage that matches any."""
-    terms = query_terms(query)
-    stems = [(query_terms(prefix_stem(t)) or [[]])[0] for t in query.split()]
-    phrases = {f"x{i}": (t, False) for i, t in enumerate(terms)} | {f"p{i}": (t, True) for i, t in enumerate(stems)}
+    terms, cut = query_phrases(query, index.stemmed)
+    phrases = {f"x{i}": (t, False) for i, t in enumerate(terms)} | {f"p{i}": (t, True) for i, t in enumerate(cut)}
     wanted = [F.col("term").startswith(t[-1]) if prefix else F.col("term") == t[-1] for t, prefix in phrases.values() if t]
     wanted += [F.col("term") == w for t, _ in phrases.values() for w in t[:-1]]
     if not wanted:

@@ -1,6 +1,8 @@
 """Ranked full-text search over records: BM25 with column weights, fallback stages and re-ranking.
 
-One pass over the corpus gives every record its weighted term hits for the exact and the prefix form
+Words are compared by their Porter stems, as with tokenize='porter unicode61'; ``stem=False`` compares
+them as written, which is what the SQL twins do. The text itself is not stemmed: the few words of the
+vocabulary that stem like a query word (``word_forms``) are looked for. One pass over the corpus gives every record its weighted term hits for the exact and the prefix form
 of each query term; corpus size and mean length are observed on the way, and only records with a hit
 are kept. The first stage that matches anything ranks. Nothing but matching records is shuffled.
 """
@@ -11,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from recordloom.functions import porter
 from recordloom.functions.records import Settings, days_between
 from recordloom.functions.text import ACCENTED, PLAIN, prefix_stem, tokens
 from recordloom.runtime import stored
@@ -35,37 +38,84 @@ def tokenized(records: DataFrame) -> DataFrame:
     return df.withColumn("_length", F.size("_t_title") + F.size("_t_tags") + F.size("_t_body"))
 
 
-def hits(field: Column, phrase: list[str], prefix: bool) -> Column:
+def word_forms(records: DataFrame, words: list[tuple[str, bool]]) -> dict[tuple[str, bool], tuple[list[str], list[str]]]:
+    """Per query word (stem, prefix): other tokens that count for it, and tokens that only look like it.
+
+    A token counts if its stem is the word or, with ``prefix``, starts with it. Stemming changes endings
+    only, so both lists hold one stem under different endings, however large the vocabulary is; tokens
+    of a prefix whose stem goes on after it are in neither.
+    """
+    alike = lambda t: _any([t.startswith(w[:1]) & (F.lit(len(w) < 2) | F.substring(t, 2, 1).isin(w[1:2], "y")) for w, _ in words])
+    df = tokenized(records)
+    every = F.array_distinct(F.filter(F.concat("_t_title", "_t_tags", "_t_body"), alike))
+    vocabulary = stemmed_vocabulary(df.select(F.explode(every).alias("term")))
+    raw = lambda w, p: F.col("term").startswith(w) if p else F.col("term") == w
+    own = lambda w, p: F.col("stem").startswith(w) if p else F.col("stem") == w
+    found = vocabulary.where(_any([raw(*w) != own(*w) for w in words])).collect()
+    fits = lambda text, w, p: text.startswith(w) if p else text == w
+    return {w: (sorted(r.term for r in found if fits(r.stem, *w) and not fits(r.term, *w)), sorted(r.term for r in found if fits(r.term, *w) and not fits(r.stem, *w))) for w in words}
+
+
+def _any(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def hits(field: Column, phrase: list[str], prefix: bool, forms: dict | None = None) -> Column:
     """Places in ``field`` where the phrase stands; with ``prefix`` its last token may go on."""
     if not phrase:
         return F.lit(0)
-    last = lambda w: w.startswith(phrase[-1]) if prefix else w == phrase[-1]
+
+    def same(token: Column, word: str, prefix: bool = False) -> Column:
+        more, less = (forms or {}).get((word, prefix), ([], []))
+        out = token.startswith(word) if prefix else token == word
+        out = out & ~token.isin(less) if less else out
+        return out | token.isin(more) if more else out
+
+    last = lambda w: same(w, phrase[-1], prefix)
     if len(phrase) == 1:
         return F.size(F.filter(field, last))
     n = len(phrase)
     at = F.when(F.size(field) >= n, F.sequence(F.lit(1), F.size(field) - n + 1)).otherwise(F.array().cast("array<int>"))
-    fits = lambda i: (F.slice(field, i, n - 1) == F.array(*[F.lit(w) for w in phrase[:-1]])) & last(F.element_at(field, i + n - 1))
+
+    def fits(i: Column) -> Column:
+        out = last(F.element_at(field, i + n - 1))
+        for j, w in enumerate(phrase[:-1]):
+            out = out & same(F.element_at(field, i + j), w)
+        return out
+
     return F.size(F.filter(at, fits))
 
 
-def weighted(phrase: list[str], prefix: bool, weights: tuple[float, ...]) -> Column:
+def weighted(phrase: list[str], prefix: bool, weights: tuple[float, ...], forms: dict | None = None) -> Column:
     fields = ("_t_title", "_t_tags", "_t_body")
-    return sum((F.lit(w) * hits(F.col(f), phrase, prefix) for f, w in zip(fields[1:], weights[1:], strict=True)), F.lit(weights[0]) * hits(F.col(fields[0]), phrase, prefix))
+    return sum((F.lit(w) * hits(F.col(f), phrase, prefix, forms) for f, w in zip(fields[1:], weights[1:], strict=True)), F.lit(weights[0]) * hits(F.col(fields[0]), phrase, prefix, forms))
+
+
+def query_phrases(query: str, stem: bool = True) -> tuple[list[list[str]], list[list[str]]]:
+    """The tokens of each term for the exact and for the prefix stages, stemmed if asked."""
+    terms = query_terms(query)
+    cut = [(query_terms(prefix_stem(t)) or [[]])[0] for t in query.split()]
+    if not stem:
+        return terms, cut
+    return [[porter.stem(w) for w in t] for t in terms], [[porter.stem(w) for w in t] for t in cut]
 
 
-def matches(records: DataFrame, query: str, types: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, stage: str | None = None) -> DataFrame:
+def matches(records: DataFrame, query: str, types: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, stage: str | None = None, stem: bool = True) -> DataFrame:
     """(all record columns, bm25) of the records the query matches; higher is better.
 
     ``records``: the searched snapshot; statistics are over all of it, whatever ``types`` says. Without
     ``stage`` the first stage with a match is taken. A query without terms matches nothing.
     """
-    terms = query_terms(query)
-    if not terms or not any(terms):
+    terms, cut = query_phrases(query, stem)
+    if not any(terms):
         return records.limit(0).withColumn("bm25", F.lit(0.0))
-    stems = [query_terms(prefix_stem(t)) for t in query.split()]
-    stems = [s[0] if s else [] for s in stems]
+    words = {(w, False) for t in terms + [c[:-1] for c in cut] for w in t} | {(t[-1], True) for t in cut if t}
+    forms = word_forms(records, sorted(words)) if stem else {}
     df = tokenized(records)
-    df = df.withColumns({f"_x{i}": weighted(t, False, weights) for i, t in enumerate(terms)} | {f"_p{i}": weighted(t, True, weights) for i, t in enumerate(stems)})
+    df = df.withColumns({f"_x{i}": weighted(t, False, weights, forms) for i, t in enumerate(terms)} | {f"_p{i}": weighted(t, True, weights, forms) for i, t in enumerate(cut)})
     wanted = F.col("type").isin(types) if types else F.lit(True)
     found = {}
     for name in STAGES:
@@ -106,12 +156,12 @@ def recency(now: Column) -> Column:
     return F.lit(1.0) / (1 + F.greatest(days_between(now, F.col("created")), F.lit(0.0)))
 
 
-def search(records: DataFrame, query: str, now: Column, limit: int = 10, types: list[str] | None = None, settings: Settings = Settings(), weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def search(records: DataFrame, query: str, now: Column, limit: int = 10, types: list[str] | None = None, settings: Settings = Settings(), weights: tuple[float, ...] = WEIGHTS, stem: bool = True) -> DataFrame:
     """The best ``limit`` records: 2 x limit by BM25, re-ranked by relevance, phrase and recency.
 
     Adds bm25, score and rank. Ties go to the smaller id.
     """
-    first = matches(records, query, types, weights).orderBy(F.desc("bm25"), "id").limit(2 * limit)
+    first = matches(records, query, types, weights, stem=stem).orderBy(F.desc("bm25"), "id").limit(2 * limit)
     raw = stored(first.withColumns({"raw": F.col("bm25") + phrase_bonus(query), "recency": recency(now)}))
     # At most 2 x limit rows from here on.
     top = raw.agg(F.max("raw")).first()[0] or 0.0
@@ -145,11 +195,9 @@ def postings(records: DataFrame, stem: bool = False) -> DataFrame:
 
 def stemmed_vocabulary(terms: DataFrame) -> DataFrame:
     """(term, stem) of each distinct term: Python sees the vocabulary once, not the text."""
-    from recordloom.functions.porter import stem
-
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
-        return words.map(stem)
+        return words.map(porter.stem)
 
     return terms.select("term").where(F.col("term").isNotNull()).distinct().withColumn("stem", stems("term"))
 

@@ -544,10 +544,11 @@ def limit_per_layer(s, d):
 
 
 # --- search ----------------------------------------------------------------------------------------
+# Queries whose SQL twin compares words as written do so too (stem=False); the others compare stems.
 
 
 def _found(stage: str, text: str):
-    return lambda s, d: search.matches(_active(s, d), text, stage=stage).select("id", "bm25")
+    return lambda s, d: search.matches(_active(s, d), text, stage=stage, stem=False).select("id", "bm25")
 
 
 for _name, _stage, _text in (("fts_and", "and", QUERY), ("fts_or", "or", QUERY), ("fts_prefix", "and_prefix", QUERY_PREFIX), ("fts_phrase_term", "and", QUERY_PHRASE)):
@@ -561,12 +562,12 @@ def fts_tokenize(s, d):
 
 @query
 def fts_bm25(s, d):
-    return search.matches(_active(s, d), QUERY).orderBy(F.desc("bm25"), "id").limit(10).select("id", "bm25")
+    return search.matches(_active(s, d), QUERY, stem=False).orderBy(F.desc("bm25"), "id").limit(10).select("id", "bm25")
 
 
 @query
 def fts_fallback(s, d):
-    return search.matches(_active(s, d), QUERY_ANY).select("id", "bm25")
+    return search.matches(_active(s, d), QUERY_ANY, stem=False).select("id", "bm25")
 
 
 @query
@@ -579,6 +580,18 @@ def fts_index_cache(s, d):
 @query
 def fts_indexed(s, d):
     """The search of ``fts_and`` answered from a stored positional index."""
+    return index.matches(index.build(_active(s, d), f"{shared_dir(s)}/index-{uuid.uuid4().hex}", stem=False), QUERY, stage="and").select("id", "bm25")
+
+
+@query
+def fts_stemmed(s, d):
+    """The search of ``fts_and`` over word stems, as the original indexes."""
+    return search.matches(_active(s, d), QUERY, stage="and").select("id", "bm25")
+
+
+@query
+def fts_indexed_stemmed(s, d):
+    """The same answered from a stored positional index of stems."""
     return index.matches(index.build(_active(s, d), f"{shared_dir(s)}/index-{uuid.uuid4().hex}"), QUERY, stage="and").select("id", "bm25")
 
 
@@ -599,18 +612,24 @@ def recency(s, d):
 
 @query
 def search_rerank(s, d):
+    return search.search(_active(s, d), QUERY, now(), 10, stem=False).select("rank", "id", "bm25", "score")
+
+
+@query
+def search_stemmed(s, d):
+    """``search_rerank`` over word stems."""
     return search.search(_active(s, d), QUERY, now(), 10).select("rank", "id", "bm25", "score")
 
 
 @query
 def search_types(s, d):
-    return search.search(_active(s, d), QUERY, now(), 10, types=["decision"]).select("rank", "id", "score")
+    return search.search(_active(s, d), QUERY, now(), 10, types=["decision"], stem=False).select("rank", "id", "score")
 
 
 @query
 def search_as_of(s, d):
     """Results are cut first and then reduced to those valid at the time."""
-    return search.search(_active(s, d), QUERY, now(), 10).where(R.valid_as_of(F.lit("2025-06-30 00:00:00").cast("timestamp_ntz"))).select("rank", "id")
+    return search.search(_active(s, d), QUERY, now(), 10, stem=False).where(R.valid_as_of(F.lit("2025-06-30 00:00:00").cast("timestamp_ntz"))).select("rank", "id")
 
 
 @query
@@ -873,7 +892,7 @@ def same_ids_across_formats(s, d):
 
 @query
 def fts_meta_join(s, d):
-    return search.matches(_active(s, d), QUERY, ["fact", "decision"], stage="and").select("id", "type", "bm25")
+    return search.matches(_active(s, d), QUERY, ["fact", "decision"], stage="and", stem=False).select("id", "type", "bm25")
 
 
 @query
@@ -898,7 +917,7 @@ QUERIES["usage_boost"] = usage_join
 
 @query
 def max_normalise(s, d):
-    found = stored(search.matches(_active(s, d), QUERY, stage="and").select("id", "bm25"))
+    found = stored(search.matches(_active(s, d), QUERY, stage="and", stem=False).select("id", "bm25"))
     top = found.agg(F.max("bm25")).first()[0] or 1.0
     return found.select("id", F.round(F.col("bm25") / F.lit(top), 6).alias("relevance"))
 

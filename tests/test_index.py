@@ -35,3 +35,14 @@ def test_empty(spark, active, tmp_path):
 def test_terms_reach_the_scan(spark, active, tmp_path):
     plan = index.matches(index.build(active, str(tmp_path / "p")), "router")._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "StringStartsWith(term,router)" in plan
+
+
+@pytest.mark.parametrize("stem", [True, False])
+def test_stemmed_or_as_written(spark, active, tmp_path, stem):
+    path = str(tmp_path / "i")
+    index.open_or_build(active, path, stem=not stem)
+    got = index.matches(index.open_or_build(active, path, stem=stem), "records superseding", stage="or")
+    want = search.matches(active, "records superseding", stage="or", stem=stem)
+    assert {(r.id, r.bm25) for r in got.collect()} == {(r.id, r.bm25) for r in want.collect()}
+    rows = active.selectExpr("id", "lower(concat_ws(' ', title, array_join(tags, ' '), body)) AS t")
+    assert got.count() > rows.where(r"t rlike '\\b(records|superseding)\\b'").count() or not stem

@@ -102,3 +102,18 @@ def test_cosine(spark):
         spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<double>, b array<double>").select(search.cosine(F.col("a"), F.col("b"))).collect()
     got = search.embed(spark.createDataFrame([("ab",), (None,)], "body string"), lambda texts: [[float(len(t))] for t in texts])
     assert sorted(r.embedding[0] for r in got.collect()) == [0.0, 2.0]
+
+
+def test_words_are_found_by_their_stems(spark):
+    rows = [("a", "fact", "record of caches", ["running"], "happy 2020s auth tokens ponies", 1), ("b", "fact", "recorded", ["cache"], "records recording cached runs happily", 1), ("c", "fact", "recorder", [], "happiness 2020 auth token pony cat", 1)]
+    rows += [(f"o{i}", "fact", "other", [], "words", 1) for i in range(9)]
+    for query, expression, stage in [("record", "record", "and"), ("records caching", "records AND caching", "and"), ("auth-token", '"auth token"', "and"), ("2020s", "2020s", "and"), ("ponies zzz", "ponies OR zzz", "or"), ("happiness", "happi*", "and_prefix"), ("recordings", "record*", "and_prefix"), ("auth-tokens", '"auth token" *', "and_prefix")]:
+        want = full_text(rows, expression, "porter unicode61")
+        got = {r.id: r.bm25 for r in search.matches(frame(spark, rows), query, stage=stage).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want), query
+    assert {r.id for r in search.matches(frame(spark, rows), "record", stem=False).collect()} == {"a"}
+    assert {r.id for r in search.search(frame(spark, rows), "record", now()).collect()} == {"a", "b", "c"}
+
+
+def test_stems_of_any_token():
+    assert [porter.stem(w) for w in ("2020s", "v0s", "ies", "sses", "as", "x" * 70 + "s")] == ["2020", "v0", "ie", "sse", "as", "x" * 70 + "s"]

@@ -939,7 +939,7 @@ def dedupe_edges(s, d):
 
 @query
 def scan_records(s, d):
-    """The records of the archive written as files and scanned again."""
+    """All records, live and archived, written as files and scanned again."""
     root = f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/store-{uuid.uuid4().hex}"
-    markdown.write_store(_records(s, d).where(F.col("ref_table") == "archive_records"), root)
+    markdown.write_store(_records(s, d), root)
     return markdown.scan_records(s, root).select("id", "state", "title", "area", "is_operator", "error")

@@ -130,3 +130,16 @@ def test_streams(spark, tmp_path):
     q = usage.sliding_counts(stream, "2 days", "1 day").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.id, r.uses) for r in spark.table("counts").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_every_record_is_written_and_scanned(spark, sf):
+    from recordloom.plans import records
+
+    got = {r.id: r for r in records.scan_records(spark, sf).collect()}
+    want = {r.id: r for r in records._records(spark, sf).select("id", "ref_table", "state", "file_path").collect()}
+    assert got.keys() == want.keys() and {r.ref_table for r in want.values()} == {"memory_records", "archive_records"}
+    for i, r in want.items():
+        assert got[i].error is None and got[i].state == r.state
+        assert got[i].area == next((a for a in r.file_path.split("/") if a in ("memory", "observations", "archive")), "")
+        assert got[i].is_operator == ("/memory/operator/" in "/" + r.file_path)
+    assert len({r.area for r in got.values()}) > 1 and any(r.is_operator for r in got.values())

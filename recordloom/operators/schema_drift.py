@@ -1,8 +1,8 @@
 """Headers whose shape drifts from file to file: one consistent table and a list of every change.
 
-Columns of each file are profiled (types, a coordinated sketch of values by record), columns that go
-and columns that come between two versions are matched one to one by value agreement with name
-similarity as the tie break, and matched columns become one column under its canonical name.
+Columns of each file are profiled by type, columns that go and columns that come between two versions
+are matched one to one by value agreement over records that hold both, with name similarity as the tie
+break, and matched columns become one column under its canonical name.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.runtime import canonical_id, stored
 
-#: Records a sketch aims to hold per file; files up to this size are sketched whole.
+#: Records compared per pair of columns that may be one; up to so many shared records all are compared.
 SKETCH_RECORDS = 1000
-#: Share of the records in both sketches whose values must agree.
+#: Share of the compared records whose values must agree.
 AGREEMENT = 0.8
 #: Largest share that name similarity can add to a match.
 NAME_WEIGHT = 0.05
@@ -128,18 +128,20 @@ def assignment(gain: list[list[float]]) -> list[tuple[int, int]]:
 
 
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Renames of one step from the sketches of its columns that go (``old``) and come (``new``)."""
-    sketch: dict[tuple[str, str], dict[str, list[str]]] = {}
-    for side, field, rec, value in pdf[["side", "field", "id", "value"]].itertuples(index=False):
-        sketch.setdefault((side, field), {})[rec] = leaves(json.loads(value))
-    old, new = (sorted(f for s, f in sketch if s == side) for side in ("old", "new"))
+    """Renames of one step from the values that the columns that go and come have in shared records."""
+    read: dict[str, list[str]] = {}
+    pairs_of: dict[tuple[str, str], list[tuple[list[str], list[str]]]] = {}
+    for a, b, x, y in pdf[["old_name", "new_name", "old_value", "new_value"]].itertuples(index=False):
+        for v in (x, y):
+            if v not in read:
+                read[v] = leaves(json.loads(v))
+        pairs_of.setdefault((a, b), []).append((read[x], read[y]))
+    old, new = sorted({a for a, _ in pairs_of}), sorted({b for _, b in pairs_of})
     gain = []
     for a in old:
-        x = sketch["old", a]
         row = []
         for b in new:
-            y = sketch["new", b]
-            share = agreement([(x[r], y[r]) for r in sorted(x.keys() & y.keys())])
+            share = agreement(pairs_of.get((a, b), []))
             row.append(share + NAME_WEIGHT * name_similarity(a, b) if share >= AGREEMENT else 0.0)
         gain.append(row)
     pairs = assignment(gain)
@@ -180,8 +182,6 @@ def header_fields(lines: DataFrame) -> DataFrame:
 def steps(lines: DataFrame) -> DataFrame:
     """(stream, file_seq, before): each file with the one before it in its stream."""
     files = lines.select("stream", "file_seq").where(F.col("stream").isNotNull() & F.col("file_seq").isNotNull()).distinct()
-    from pyspark.sql import Window
-
     return files.withColumn("before", F.lag("file_seq").over(Window.partitionBy("stream").orderBy("file_seq"))).where(F.col("before").isNotNull())
 
 
@@ -193,22 +193,24 @@ def drift(lines: DataFrame, sketch_records: int = SKETCH_RECORDS) -> tuple[DataF
     """
     fields = stored(header_fields(lines))
     step = stored(steps(lines))
-    shape = stored(fields.groupBy("stream", "file_seq", "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.approx_count_distinct("id").alias("records")))
-    was = step.join(shape.withColumnRenamed("file_seq", "before"), ["stream", "before"]).select("stream", "file_seq", "before", "field", F.col("kinds").alias("old_kinds"), F.col("records").alias("old_records"))
-    now = step.join(shape, ["stream", "file_seq"]).select("stream", "file_seq", F.col("before").alias("b"), "field", F.col("kinds").alias("new_kinds"), F.col("records").alias("new_records"))
+    shape = stored(fields.groupBy("stream", "file_seq", "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds")))
+    was = step.join(shape.withColumnRenamed("file_seq", "before"), ["stream", "before"]).select("stream", "file_seq", "before", "field", F.col("kinds").alias("old_kinds"))
+    now = step.join(shape, ["stream", "file_seq"]).select("stream", "file_seq", F.col("before").alias("b"), "field", F.col("kinds").alias("new_kinds"))
     both = stored(was.join(now, ["stream", "file_seq", "field"], "full").withColumn("before", F.coalesce("before", "b")).drop("b"))
     gone, come = both.where(F.col("new_kinds").isNull()), both.where(F.col("old_kinds").isNull())
 
-    # Sketches: the same records of both files, those whose hash falls under a share set by the larger file.
-    open_ = gone.select("stream", "file_seq").distinct().join(come.select("stream", "file_seq").distinct(), ["stream", "file_seq"])
-    largest = both.groupBy("stream", "file_seq").agg(F.greatest(F.max("old_records"), F.max("new_records")).alias("n")).join(open_, ["stream", "file_seq"])
-    under = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(1_000_000.0 * sketch_records) / F.greatest("n", F.lit(1))
-    side = lambda part, name, at: (
-        part.join(largest, ["stream", "file_seq"]).select("stream", F.col("file_seq").alias("step"), F.col(at).alias("file_seq"), "field", "n")
-        .join(fields, ["stream", "file_seq", "field"]).where(F.col("id").isNotNull() & under)
-        .select("stream", F.col("step").alias("file_seq"), F.lit(name).alias("side"), "field", "id", "value")
+    # Evidence: up to ``sketch_records`` of the records that hold both the field that goes and the one
+    # that comes, those of smallest hash, so that sparse fields and few shared records count in full.
+    gone_names, come_names = (part.select("stream", "file_seq", F.col("before"), F.col("field").alias(name)) for part, name in ((gone, "old_name"), (come, "new_name")))
+    open_ = gone_names.select("stream", "file_seq").distinct().join(come_names.select("stream", "file_seq").distinct(), ["stream", "file_seq"])
+    side = lambda names, name, at, value: (
+        names.join(open_, ["stream", "file_seq"]).select("stream", F.col("file_seq").alias("step"), F.col(at).alias("file_seq"), F.col(name).alias("field"))
+        .join(fields, ["stream", "file_seq", "field"]).where(F.col("id").isNotNull())
+        .groupBy("stream", F.col("step").alias("file_seq"), "id", F.col("field").alias(name)).agg(F.min("value").alias(value))
     )
-    sketches = side(gone, "old", "before").unionByName(side(come, "new", "file_seq"))
+    shared = side(gone_names, "old_name", "before", "old_value").join(side(come_names, "new_name", "file_seq", "new_value"), ["stream", "file_seq", "id"])
+    nearest = Window.partitionBy("stream", "file_seq", "old_name", "new_name").orderBy(F.xxhash64("id"), "id")
+    sketches = shared.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= sketch_records).drop("_n", "id")
     renames = stored(sketches.groupBy("stream", "file_seq").applyInPandas(_match, "stream string, file_seq int, old_name string, new_name string"))
 
     key = ["stream", "file_seq"]

@@ -51,3 +51,16 @@ def test_leaves_and_assignment():
     assert sd.assignment([[5, 4], [4, 0]]) == [(0, 1), (1, 0)]
     assert sd.assignment([[0, 0], [0, 3], [2, 0]]) == [(1, 1), (2, 0)]
     assert sd.assignment([]) == []
+
+
+def test_sparse_fields_of_large_files_are_still_renamed(spark):
+    i = ids(400)
+    a = [{"id": x, "n": k} | ({"rare": f"w{k}"} if k % 100 == 7 else {}) | {"big": f"b{k}"} for k, x in enumerate(i)]
+    b = [{"id": x, "n": k} | ({"seldom": [f"w{k}"]} if k % 100 == 7 else {}) | {"large": f"b{k}"} for k, x in enumerate(i)]
+    # Only four records are in both of these files.
+    c = [{"id": x, "key": k} for k, x in enumerate(i[:202])]
+    d = [{"id": x, "code": k} for k, x in enumerate(i) if k >= 198]
+    changes, _ = sd.drift(lines(spark, {("s", 1): a, ("s", 2): b, ("t", 1): c, ("t", 2): d}), 10)
+    assert {tuple(r) for r in changes.collect()} == {
+        ("s", 2, "renamed", "rare", "seldom"), ("s", 2, "retyped", "rare", "seldom"), ("s", 2, "renamed", "big", "large"), ("t", 2, "renamed", "key", "code"),
+    }

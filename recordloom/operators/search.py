@@ -10,7 +10,7 @@ are kept. The first stage that matches anything ranks. Nothing but matching reco
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import porter
@@ -109,9 +109,39 @@ def matches(records: DataFrame, query: str, types: list[str] | None = None, weig
     ``records``: the searched snapshot; statistics are over all of it, whatever ``types`` says. Without
     ``stage`` the first stage with a match is taken. A query without terms matches nothing.
     """
-    terms, cut = query_phrases(query, stem)
-    if not any(terms):
+    if not any(query_terms(query)):
         return records.limit(0).withColumn("bm25", F.lit(0.0))
+    df, found, names = _hit_counts(records, query, types, weights, stem)
+    # One pass over the corpus: its size and mean length are observed while the records with any hit,
+    # which are all that can match or count towards a document frequency, are stored.
+    corpus = Observation()
+    any_hit = F.greatest(*[F.col(c) for c in names]) > 0
+    seen = df.observe(corpus, F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"))
+    df = stored(seen.where(any_hit).select(*records.columns, "_length", *names))
+    stats = df.agg(*_frequencies(found, names)).first().asDict() | corpus.get
+    return _scored(df, stats, found, names, stage).select(*records.columns, "bm25")
+
+
+def matches_by(records: DataFrame, by: str, query: str, types: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, stem: bool = True) -> DataFrame:
+    """``matches`` of every value of ``by`` (no NULLs) as a corpus of its own, in the same passes.
+
+    The driver and the plan see one row of figures per value: layers of a store, not keys of records.
+    """
+    if not any(query_terms(query)):
+        return records.limit(0).withColumn("bm25", F.lit(0.0))
+    df, found, names = _hit_counts(records, query, types, weights, stem)
+    sizes = {r[by]: r.asDict() for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean")).collect()}
+    df = stored(df.where(F.greatest(*[F.col(c) for c in names]) > 0).select(*records.columns, "_length", *names))
+    parts = [_scored(df.where(F.col(by) == r[by]), r.asDict() | sizes[r[by]], found, names, None) for r in df.groupBy(by).agg(*_frequencies(found, names)).collect()]
+    out = df.limit(0).withColumn("bm25", F.lit(0.0))
+    for part in parts:
+        out = out.unionByName(part)
+    return out.select(*records.columns, "bm25")
+
+
+def _hit_counts(records: DataFrame, query: str, types: list[str] | None, weights: tuple[float, ...], stem: bool) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """Records with the weighted hits of each term, the test of each stage, and the hit columns."""
+    terms, cut = query_phrases(query, stem)
     words = {(w, False) for t in terms + [c[:-1] for c in cut] for w in t} | {(t[-1], True) for t in cut if t}
     forms = word_forms(records, sorted(words)) if stem else {}
     df = tokenized(records)
@@ -123,24 +153,26 @@ def matches(records: DataFrame, query: str, types: list[str] | None = None, weig
         test = cols[0]
         for c in cols[1:]:
             test = test & c if name.startswith("and") else test | c
-        found[name] = test
-    # One pass over the corpus: its size and mean length are observed while the records with any hit,
-    # which are all that can match or count towards a document frequency, are stored.
-    corpus = Observation()
-    names = [f"_{k}{i}" for k in "xp" for i in range(len(terms))]
-    any_hit = F.greatest(*[F.col(c) for c in names]) > 0
-    seen = df.observe(corpus, F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"))
-    df = stored(seen.where(any_hit).select(*records.columns, "_length", *names))
-    stats = df.agg(*[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names], *[F.count_if(found[s] & wanted).alias(f"in_{s}") for s in STAGES]).first().asDict() | corpus.get
-    order = [s for s in STAGES if len(terms) > 1 or s.startswith("and")]
+        found[name] = test & wanted
+    return df, found, [f"_{k}{i}" for k in "xp" for i in range(len(terms))]
+
+
+def _frequencies(found: dict[str, Column], names: list[str]) -> list[Column]:
+    return [F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names] + [F.count_if(found[s]).alias(f"in_{s}") for s in STAGES]
+
+
+def _scored(df: DataFrame, stats: dict, found: dict[str, Column], names: list[str], stage: str | None) -> DataFrame:
+    """Records of ``stage``, or of the first stage with a match, with their bm25."""
+    terms = len(names) // 2
+    order = [s for s in STAGES if terms > 1 or s.startswith("and")]
     stage = stage or next((s for s in order if stats[f"in_{s}"]), "and")
     kind = "p" if "prefix" in stage else "x"
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         f, n = F.col(f"_{kind}{i}"), stats[f"df__{kind}{i}"]
         idf = F.greatest(F.ln((F.lit(float(stats["n"])) - n + 0.5) / (n + 0.5)), F.lit(1e-6))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_length") / F.lit(float(stats["mean"] or 1.0))))
-    return df.where(found[stage] & wanted).withColumn("bm25", F.round(score, 6)).select(*records.columns, "bm25")
+    return df.where(found[stage]).withColumn("bm25", F.round(score, 6))
 
 
 def phrase_bonus(query: str) -> Column:
@@ -166,22 +198,35 @@ def search(records: DataFrame, query: str, now: Column, limit: int = 10, types:
     # At most 2 x limit rows from here on.
     top = raw.agg(F.max("raw")).first()[0] or 0.0
     scored = raw.withColumn("score", F.round(F.col("raw") / F.lit(float(top) if top > 0 else 1.0) * settings.relevance + F.col("recency") * settings.recency, 6))
-    from pyspark.sql import Window
-
     ranked = scored.orderBy(F.desc("score"), "id").limit(limit)
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).drop("raw", "recency")
 
 
 def search_layers(layers: list[tuple[str, DataFrame]], query: str, now: Column, limit: int = 10, **more) -> DataFrame:
     """Per-layer results in layer order, the first layer winning on equal ids; scores are not compared."""
-    from pyspark.sql import Window
-
     each = None
     for place, (name, records) in enumerate(layers):
-        got = search(records, query, now, limit, **more).withColumns({"from_layer": F.lit(name), "place": F.lit(place)})
+        got = records.withColumns({"from_layer": F.lit(name), "place": F.lit(place)})
         each = got if each is None else each.unionByName(got)
-    one = each.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("place", "rank"))).where("n = 1").drop("n")
-    return one.orderBy("place", "rank").limit(limit)
+    return search_places(each, query, now, limit, **more)
+
+
+def search_places(records: DataFrame, query: str, now: Column, limit: int = 10, types: list[str] | None = None, settings: Settings = Settings(), weights: tuple[float, ...] = WEIGHTS, stem: bool = True) -> DataFrame:
+    """``search`` in every layer at once, each ranked by its own figures; cut only after all layers.
+
+    ``records``: from_layer and place, which orders the layers and is not NULL, besides the columns of
+    a search. A record found in several layers comes from the first of them.
+    """
+    of = lambda *order: Window.partitionBy("place").orderBy(*order)
+    first = matches_by(records, "place", query, types, weights, stem)
+    first = first.withColumn("_n", F.row_number().over(of(F.desc("bm25"), "id"))).where(F.col("_n") <= 2 * limit).drop("_n")
+    raw = first.withColumns({"raw": F.col("bm25") + phrase_bonus(query), "recency": recency(now)})
+    # At most 2 x limit rows of each layer from here on.
+    raw = raw.withColumn("top", F.max("raw").over(Window.partitionBy("place")))
+    scored = raw.withColumn("score", F.round(F.col("raw") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0) * settings.relevance + F.col("recency") * settings.recency, 6))
+    ranked = scored.withColumn("rank", F.row_number().over(of(F.desc("score"), "id"))).where(F.col("rank") <= limit)
+    one = ranked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("place", "rank"))).where("n = 1")
+    return one.drop("n", "raw", "recency", "top").orderBy("place", "rank").limit(limit)
 
 
 def postings(records: DataFrame, stem: bool = False) -> DataFrame:

@@ -634,9 +634,14 @@ def search_as_of(s, d):
 
 @query
 def search_layers(s, d):
-    names = [r.name for r in table(s, d, "layers").orderBy(F.desc("priority"), "name").toLocalIterator()]
-    active = stored(_active(s, d))
-    return search.search_layers([(n, active.where(F.col("layer") == n)) for n in names[:3]], QUERY, now(), 10).select("from_layer", "rank", "id")
+    """All layers by priority; those the table does not know come last."""
+    from pyspark.sql import Window
+
+    active = stored(_active(s, d).withColumn("from_layer", F.coalesce("layer", F.lit(""))))
+    known = table(s, d, "layers", "name", "priority").withColumnRenamed("name", "from_layer")
+    # One row per layer: numbering them in one task is bounded.
+    places = active.select("from_layer").distinct().join(known, "from_layer", "left").withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("priority"), "from_layer")))
+    return search.search_places(active.join(F.broadcast(places.drop("priority")), "from_layer"), QUERY, now(), 10).select("from_layer", "rank", "id")
 
 
 @query

@@ -117,3 +117,29 @@ def test_words_are_found_by_their_stems(spark):
 
 def test_stems_of_any_token():
     assert [porter.stem(w) for w in ("2020s", "v0s", "ies", "sses", "as", "x" * 70 + "s")] == ["2020", "v0", "ie", "sse", "as", "x" * 70 + "s"]
+
+
+def test_every_layer_is_searched_and_ranked_on_its_own(spark, sf, tmp_path):
+    from recordloom.plans import records
+
+    assert {r.from_layer for r in records.search_layers(spark, sf).collect()}
+    # The one record with the words of the query lies in the last layer, then in one the table does not know.
+    names = [r.name for r in spark.read.parquet(f"{sf}/layers.parquet").orderBy(F.desc("priority"), "name").collect()]
+    for layer in (names[-1], "elsewhere"):
+        d = tmp_path / layer
+        d.mkdir()
+        spark.read.parquet(f"{sf}/layers.parquet").write.parquet(str(d / "layers.parquet"))
+        for name in ("memory_records", "archive_records"):
+            rows = spark.read.parquet(f"{sf}/{name}.parquet")
+            hit = F.col("id") == spark.read.parquet(f"{sf}/memory_records.parquet").where("state = 'active'").agg(F.min("id")).first()[0]
+            rows = rows.withColumns({"title": F.when(hit, "router supersedes").otherwise("other"), "body": F.lit("words"), "tags": F.array().cast("array<string>"), "layer": F.when(hit, layer).otherwise(F.lit(names[0]))})
+            rows.write.parquet(str(d / f"{name}.parquet"))
+        assert [(r.from_layer, r["rank"]) for r in records.search_layers(spark, str(d)).collect()] == [(layer, 1)]
+
+
+def test_layers_at_once_equal_layers_one_by_one(spark, corpus):
+    parts = [frame(spark, corpus[k::3]) for k in range(3)]
+    for query in ("cache router", "migrations zzz", "configurat", "nowhere"):
+        got = search.search_layers([(str(k), p) for k, p in enumerate(parts)], query, now(), 100)
+        want = {(str(k), r["rank"], r.id, r.bm25, r.score) for k, p in enumerate(parts) for r in search.search(p, query, now(), 100).collect()}
+        assert {(r.from_layer, r["rank"], r.id, r.bm25, r.score) for r in got.collect()} == want

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.runtime import canonical_id, stored
+from recordloom.runtime import canonical_id, stored, trimmed
 
 #: Records compared per pair of columns that may be one; up to so many shared records all are compared.
 SKETCH_RECORDS = 1000
@@ -168,7 +168,7 @@ def header_fields(lines: DataFrame) -> DataFrame:
     """
     once = lines.where(F.col("stream").isNotNull() & F.col("file_seq").isNotNull()).select("stream", "file_seq", "raw").distinct()
     v = F.try_parse_json("raw")
-    read = once.where(F.rtrim("raw").endswith("}")).select("stream", "file_seq", v.alias("doc"))
+    read = once.where(trimmed(F.col("raw")).endswith("}")).select("stream", "file_seq", v.alias("doc"))
     read = read.where(F.schema_of_variant("doc").startswith("OBJECT"))
     read = read.withColumn("id", canonical_id(F.try_variant_get("doc", "$.id", "string")))
     top = read.lateralJoin(read.sparkSession.tvf.variant_explode(F.col("doc").outer())).select("stream", "file_seq", "id", F.col("key").alias("field"), F.col("value").alias("v"))

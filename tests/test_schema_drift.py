@@ -64,3 +64,9 @@ def test_sparse_fields_of_large_files_are_still_renamed(spark):
     assert {tuple(r) for r in changes.collect()} == {
         ("s", 2, "renamed", "rare", "seldom"), ("s", 2, "retyped", "rare", "seldom"), ("s", 2, "renamed", "big", "large"), ("t", 2, "renamed", "key", "code"),
     }
+
+
+def test_lines_may_end_in_any_white_space(spark):
+    i = ids(3)
+    files = {("s", k): [json.dumps({"id": x, "v": n}) + end for n, x in enumerate(i)] for k, end in enumerate(("", "\r", "\t", " \r\n"), 1)}
+    assert found(spark, files)[0] == set()

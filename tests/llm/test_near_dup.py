@@ -72,3 +72,47 @@ def test_nulls_empty_long_and_repeated(spark):
 def test_empty(spark):
     members, links = near_dup.similar_classes(frame(spark, []), 0.7, 20)
     assert members.count() == 0 and near_dup.expand(members, links).count() == 0 and near_dup.groups(members, links).count() == 0
+
+
+def test_exact_candidates_find_every_pair(spark):
+    texts = corpus()
+    members, links = near_dup.similar_classes(frame(spark, sorted(texts.items())), 0.7, 20, exact=True)
+    want = {(a, b) for a, b in combinations(sorted(texts), 2) if min(len(near_dup.words(texts[x])) for x in (a, b)) >= 20 and share(texts[a], texts[b]) >= 0.7}
+    assert {tuple(r) for r in near_dup.expand(members, links).collect()} == want
+
+
+def test_row_of_a_repeated_id_and_its_text_agree(spark):
+    x, near = "alpha beta gamma delta " * 6, "alpha beta gamma delta " * 6 + "more"
+    y = "one two three four five " * 6
+    for times in ([None, AT], [AT, AT]):
+        rows = [("a", times[0], x), ("a", times[1], y), ("b", AT, near), ("c", AT, y + "six")]
+        members, links = near_dup.similar_classes(spark.createDataFrame(rows, "id string, at timestamp_ntz, text string"), 0.7, 20)
+        got = {tuple(r) for r in near_dup.expand(members, links).collect()}
+        # Of equal times one of the two texts counts, with all its links.
+        assert got == {("a", "b")} or (times[0] is not None and got == {("a", "c")})
+
+
+def test_earliest_row_decides_whether_a_record_is_long_enough(spark):
+    rows = [("a", datetime(2024, 1, 1), "too short"), ("a", datetime(2024, 2, 1), "one two three " * 10), ("b", AT, "one two three " * 10)]
+    members, _ = near_dup.similar_classes(spark.createDataFrame(rows, "id string, at timestamp_ntz, text string"), 0.7, 20)
+    assert {r.id for r in members.collect()} == {"b"}
+
+
+def test_a_band_of_ten_thousand_is_cut_into_bounded_groups(spark):
+    reps = spark.range(10_000).selectExpr("id AS row", "array(7L, id + 100) AS bands")
+    large = near_dup.large_bands(reps)
+    assert [r.band for r in large.collect()] == [7]
+    keyed = reps.selectExpr("explode(bands) AS band", "row", "0L AS s")
+    left, right = near_dup.in_blocks(keyed, large)
+    sizes = left.groupBy("band", "i", "j").count().join(right.groupBy("band", "i", "j").agg({"*": "count"}), ["band", "i", "j"]).collect()
+    blocks = large.first().blocks
+    assert len(sizes) == blocks * (blocks + 1) // 2 and max(max(r[3], r[4]) for r in sizes) < 2 * near_dup.BAND_ROWS
+
+
+def test_blocks_lose_and_repeat_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BAND_ROWS", 5)
+    monkeypatch.setattr(near_dup, "COUNTED", 1)
+    rows = [(f"v{i:02d}", " ".join(f"w{j}" for j in range(40)) + f" end{i}") for i in range(40)]
+    members, links = near_dup.similar_classes(frame(spark, rows), 0.7, 20)
+    got = [tuple(r) for r in near_dup.expand(members, links).collect()]
+    assert sorted(got) == list(combinations([i for i, _ in rows], 2))

@@ -31,6 +31,14 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(sizes, "sid").join(ends, "sid", "left").select("id", "class_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p3_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a live and an archived record with similar tags, the join between two tables."""
+    rows = both_records(spark, sf_dir, "id", "tags").select(canonical_id("id").alias("id"), F.when(F.col("ref_table") == "memory_records", "left").otherwise("right").alias("side"), F.col("tags").alias("tokens"))
+    members, sets = set_join.distinct_sets(rows, 4)
+    members = stored(members)
+    return set_join.between(members, stored(set_join.similar_sets(sets, 0.6)))
+
+
 def _record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = both_records(spark, sf_dir, "id", "title", "body", "loaded_at")
     return rows.select(canonical_id("id").alias("id"), F.col("loaded_at").alias("at"), F.concat_ws("\n", "title", "body").alias("text"))
@@ -103,7 +111,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_classes, p6_found, p6_groups, p7_found, p7_spans, p7_items, p8_found, p8_mixture, p8_shares, p9_found, p9_profile)
+    for f in (p3_found, p3_classes, p3_between, p6_found, p6_groups, p7_found, p7_spans, p7_items, p8_found, p8_mixture, p8_shares, p9_found, p9_profile)
 }
 
 _RECORDS = """recs AS (
@@ -138,6 +146,14 @@ class AS (SELECT k, min(id) AS class_id, count(*) AS members FROM key GROUP BY k
 link AS (SELECT DISTINCT a.k AS k, b.k AS other FROM pair p JOIN key a ON a.id = p.id_a JOIN key b ON b.id = p.id_b WHERE a.k <> b.k),
 ends AS (SELECT k, count(DISTINCT other) AS links FROM (SELECT k, other FROM link UNION SELECT other, k FROM link) GROUP BY k)
 SELECT id, class_id, members, coalesce(links, 0) AS links FROM key JOIN class USING (k) LEFT JOIN ends USING (k)""",
+    "p3_between": """WITH recs AS (
+  SELECT 'left' AS side, 'ms_' || upper(substr(trim(id), 4)) AS id, tags FROM memory_records
+  UNION ALL SELECT 'right', 'ms_' || upper(substr(trim(id), 4)), tags FROM archive_records),
+tag AS (SELECT DISTINCT side, id, lower(trim(t)) AS t FROM (SELECT side, id, unnest(tags) AS t FROM recs) WHERE trim(t) <> ''),
+big AS (SELECT side, id, count(*) AS n FROM tag GROUP BY side, id HAVING count(*) >= 4),
+many AS (SELECT side, id, t, n FROM tag JOIN big USING (side, id))
+SELECT a.id AS id_left, b.id AS id_right FROM many a JOIN many b ON a.t = b.t AND a.side = 'left' AND b.side = 'right'
+GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))""",
     "p6_found": f"WITH {_BAGS} SELECT id_a, id_b FROM near_",
     "p7_found": f"WITH {_WINDOWS} SELECT doc_id, item_id FROM hit",
     "p7_items": f"WITH {_WINDOWS} SELECT i.item_id, i.split, count(h.doc_id) AS documents, count(h.doc_id) > 0 AS leaked FROM eval_items i LEFT JOIN hit h USING (item_id) GROUP BY i.item_id, i.split",

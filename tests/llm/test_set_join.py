@@ -55,3 +55,33 @@ def test_budgets_cover_every_difference():
             need = set_join.most_differing(a, b, 0.6) + 1
             plan = set_join.budgets([1.0] * m, [2.0] * m, need)
             assert sum(e + 1 for e in plan) >= need
+
+
+def test_between_two_tables(spark):
+    rng = random.Random(8)
+    sets = {(f"x{i:03d}", rng.choice(["left", "right"])): set(rng.sample(range(14), rng.randint(1, 7))) for i in range(120)}
+    sets |= {("x000", s): {1, 2, 3} for s in ("left", "right")}
+    rows = [(i, s, [str(x) for x in v], 0, "") for (i, s), v in sets.items()]
+    members, found = set_join.distinct_sets(spark.createDataFrame(rows, "id string, side string, tokens array<string>, sid int, key string"))
+    got = {tuple(r) for r in set_join.between(members, set_join.similar_sets(found, 0.6)).collect()}
+    want = {(i, j) for (i, s), x in sets.items() for (j, t), y in sets.items() if s == "left" and t == "right" and len(x & y) / len(x | y) >= 0.6 - 1e-9}
+    assert got == want
+
+
+def test_keys_without_tokens_are_held_only_where_asked_for(spark):
+    import pandas as pd
+
+    sets = pd.DataFrame({"sid": range(400), "sides": 3, "tokens": [[f"t{i}", f"u{i}", f"v{i}", f"w{i}"] for i in range(400)]})
+    total = 1600
+    held = pd.concat(set_join._held(0.6)(iter([sets])))
+    asked = pd.concat(set_join._asked(0.6, {}, total)(iter([sets])))
+    live = held[~held["bare"] | held["key"].isin(asked[asked["bare"]]["key"])]
+    # Without the rule every set would hold the keys of its empty segments.
+    assert held["bare"].sum() > 200 and held["key"].value_counts().max() > 50
+    assert asked["bare"].mean() < 0.2 and len(live) <= len(held)
+
+
+def test_long_sets(spark):
+    sets = {f"l{k}": {f"t{i}" for i in range(k, k + 90)} for k in (0, 6, 20, 30, 120)}
+    rows = [(k, "a", sorted(v), 0, "") for k, v in sets.items()]
+    assert found(spark, rows, 0.6) == brute(sets, 0.6)

@@ -4,6 +4,8 @@ The forest is cut into fragments by ranges of the node key (time-ordered keys ke
 one fragment). Each fragment follows its chains to the node where they leave it; the nodes that other
 fragments point at form a smaller quotient forest, solved the same way, and its answers are expanded
 back into the fragments. Chains that never leave a fragment, or never end in a quotient, are cycles.
+Quotients are cut along their links - every node goes with the nearest head above it, heads being drawn
+by a coin - so that a quotient has about half the nodes or less, whatever the keys are.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from recordloom.runtime import stored
 
 CYCLE = "cycle"
 #: Rows of one fragment: what a single task holds in memory at once.
-FRAGMENT_ROWS = 50_000
-#: A quotient that keeps more than this share of the nodes is finished by pointer doubling instead.
-WORTH_RECURSING = 0.8
+FRAGMENT_ROWS = 20_000
+#: In a cut along links one node in so many is a head, looked for 2 ** ``HEAD_JOINS`` links up.
+HEADS, HEAD_JOINS = 4, 3
 
 _NODES = "node string, parent string, length long, weight long, base_root string, base_depth long, base_cycle boolean, seg array<string>"
 _FRAGMENTS = _NODES + ", part int, exit string, dist long, root string, depth long, cyclic boolean, sub long, path array<string>"
@@ -141,41 +143,29 @@ def _whole(paths: bool):
     return run
 
 
-def _double(nodes: DataFrame, n: int, paths: bool) -> DataFrame:
-    """Pointer doubling: the exact way for a quotient that contraction does not shrink.
+def _headed(nodes: DataFrame, level: int) -> DataFrame:
+    """Add ``head``: the nearest head at or above each node, or as far up as the joins reach.
 
-    Each round joins on the current jump target (unique on the right, so a hot target only makes the
-    left side skewed, which adaptive execution splits) and adds pre-aggregated subtree sums.
+    Joins meet a node key that is unique on the right, so a hot parent only makes the left side skewed,
+    which adaptive execution splits.
     """
-    state = stored(nodes.select(
-        "node", F.col("parent").alias("jump"), F.when(F.col("parent").isNull(), F.col("base_depth")).otherwise(F.col("length")).alias("depth"),
-        F.when(F.col("parent").isNull(), F.col("base_root")).alias("root"), F.col("base_cycle").alias("cyclic"),
-        F.col("weight").alias("total"), F.col("seg").alias("path"),
-    ))
-    for _ in range(math.ceil(math.log2(n + 1)) + 1):
-        if state.where(F.col("jump").isNotNull()).isEmpty():
-            break
-        gained = state.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("node")).agg(F.sum("total").alias("gain"))
-        high = state.select(
-            F.col("node").alias("jump"), F.col("jump").alias("h_jump"), F.col("depth").alias("h_depth"),
-            F.col("root").alias("h_root"), F.col("cyclic").alias("h_cyclic"), F.col("path").alias("h_path"),
-        )
-        state = stored(
-            state.join(high, "jump", "left").join(gained, "node", "left").select(
-                "node", F.col("h_jump").alias("jump"), (F.col("depth") + F.coalesce("h_depth", F.lit(0))).alias("depth"),
-                F.coalesce("root", "h_root").alias("root"), (F.col("cyclic") | F.coalesce("h_cyclic", F.lit(False))).alias("cyclic"),
-                (F.col("total") + F.coalesce("gain", F.lit(0))).alias("total"),
-                (F.when(F.col("h_path").isNull(), F.col("path")).otherwise(F.concat("h_path", "path")) if paths else F.lit(None).cast("array<string>")).alias("path"),
-            )
-        )
-    return state.select("node", "root", "depth", (F.col("cyclic") | F.col("jump").isNotNull()).alias("cyclic"), "total", "path")
-
-
-def _solve(nodes: DataFrame, n: int, fragment_rows: int, paths: bool) -> DataFrame:
+    coin = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(HEADS)) == 0
+    state = stored(nodes.select("node", F.when(coin | F.col("parent").isNull(), F.col("node")).otherwise(F.col("parent")).alias("head")))
+    for _ in range(HEAD_JOINS):
+        above = state.select(F.col("node").alias("head"), F.col("head").alias("further"))
+        state = stored(state.join(above, "head", "left").select("node", F.coalesce("further", "head").alias("head")))
+    return nodes.join(state, "node")
+
+
+def _solve(nodes: DataFrame, n: int, fragment_rows: int, paths: bool, level: int = 0, sizes: list[int] | None = None) -> DataFrame:
+    if sizes is not None:
+        sizes.append(n)
     if n <= fragment_rows:
         return nodes.repartition(1).mapInPandas(_whole(paths), _SOLVED)
     parts = math.ceil(n / fragment_rows)
-    frag = stored(nodes.repartitionByRange(parts, "node").mapInPandas(_contract(paths), _FRAGMENTS))
+    # The nodes of a hot head spread over as many fragments as they fill.
+    cut = nodes.repartitionByRange(parts, "node") if level == 0 else _headed(nodes, level).repartitionByRange(parts, "head", "node").drop("head")
+    frag = stored(cut.mapInPandas(_contract(paths), _FRAGMENTS))
     tops = frag.where(F.col("exit").isNotNull())
     # The chain's last node inside the fragment is the one whose own parent is the exit.
     inflow = tops.where(F.col("parent") == F.col("exit")).groupBy(F.col("exit").alias("node")).agg(F.sum("sub").alias("inflow"))
@@ -186,9 +176,7 @@ def _solve(nodes: DataFrame, n: int, fragment_rows: int, paths: bool) -> DataFra
             F.col("path").alias("seg"), "part",
         )
     )
-    m = quotient.count()
-    small = quotient.drop("part")
-    solved = stored(_double(small, m, paths) if m > fragment_rows and m > WORTH_RECURSING * n else _solve(small, m, fragment_rows, paths))
+    solved = stored(_solve(quotient.drop("part"), quotient.count(), fragment_rows, paths, level + 1, sizes))
     # Fragments ask once per distinct exit, however many of their nodes leave through it.
     asked = tops.select("part", F.col("exit").alias("node")).distinct()
     outer = (
@@ -199,14 +187,14 @@ def _solve(nodes: DataFrame, n: int, fragment_rows: int, paths: bool) -> DataFra
     return inner.groupBy("part").cogroup(outer.withColumnRenamed("part", "of").select("*", F.col("of").alias("to")).groupBy("to")).applyInPandas(_expand(paths), _SOLVED)
 
 
-def resolve_hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, paths: bool = False) -> DataFrame:
+def resolve_hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, paths: bool = False, sizes: list[int] | None = None) -> DataFrame:
     """Root, depth, number of descendants and (with ``paths``) full path of every linked node.
 
     ``links`` has ``node`` and ``parent`` (strings; other columns are ignored). Rows with a NULL node or
     parent are no links; repeated links count once; of several parents the smallest key is used and the
     others stand alone. A node
     whose way up never ends gets root ``cycle``, depth and descendants -1 and a NULL path. A node that is
-    only a parent is a root. No links give no rows.
+    only a parent is a root. No links give no rows. ``sizes``, if given, gets the nodes of each level.
     """
     one = links.select(F.col("node").cast("string"), F.col("parent").cast("string")).where(F.col("node").isNotNull() & F.col("parent").isNotNull())
     both = one.unionByName(one.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
@@ -217,7 +205,7 @@ def resolve_hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, path
             (F.array("node") if paths else F.lit(None).cast("array<string>")).alias("seg"),
         )
     )
-    got = _solve(nodes, nodes.count(), fragment_rows, paths)
+    got = _solve(nodes, nodes.count(), fragment_rows, paths, sizes=sizes)
     bad = F.col("cyclic")
     return got.select(
         "node", F.when(bad, F.lit(CYCLE)).otherwise(F.col("root")).alias("root"), F.when(bad, F.lit(-1)).otherwise(F.col("depth")).cast("int").alias("depth"),

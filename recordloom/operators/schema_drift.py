@@ -1,15 +1,18 @@
 """Headers whose shape drifts from file to file: one consistent table and a list of every change.
 
 Columns of each file are profiled by type, columns that go and columns that come between two versions
-are matched one to one by value agreement over records that hold both, with name similarity as the tie
-break, and matched columns become one column under its canonical name.
+are matched one to one by how far their values agree, beyond chance, over records that hold both, with
+name similarity as the tie break, and matched columns become one column under its canonical name.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
+from decimal import Decimal
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +24,14 @@ from recordloom.runtime import canonical_id, stored, trimmed
 SKETCH_RECORDS = 1000
 #: Share of the compared records whose values must agree.
 AGREEMENT = 0.8
+#: Share by which the agreement must exceed that of unrelated columns, of what is possible.
+BEYOND_CHANCE = 0.6
+#: Values that nearly always agree by chance are constants; names at least this similar still tell.
+CONSTANT, SAME_NAME = 0.95, 0.5
+#: Records that must show it: for any rename with another name, and for a constant without other proof.
+LEAST_SHARED, LEAST_CONSTANT = 2, 5
+#: Factors between two ways to write one number (a share and a percentage).
+SCALES = (Decimal(1), Decimal(100), Decimal("0.01"))
 #: Largest share that name similarity can add to a match.
 NAME_WEIGHT = 0.05
 
@@ -28,11 +39,15 @@ _ISO = re.compile(r"^(\d{4}-\d\d-\d\d)(?:[T ](\d\d:\d\d(?::\d\d)?)(?:[.,]\d+)?(?
 _NUMBER = re.compile(r"^-?\d+(\.\d+)?$")
 
 
+def _number(x: Decimal) -> str:
+    return f"n{x.normalize() + 0:f}"
+
+
 def leaves(value) -> list[str]:
     """Scalars of a JSON value in one spelling per meaning, whatever holds them.
 
-    Times become seconds, numbers their significant digits (0.7, "0.70" and 70 agree), joined lists
-    their items; keys count only where they look like data (paths).
+    Times become seconds, numbers lose trailing zeros (0.7 and "0.70" agree), joined lists become their
+    items; keys count only where they look like data (paths).
     """
     if value is None:
         return []
@@ -47,43 +62,90 @@ def leaves(value) -> list[str]:
         at = pd.Timestamp(f"{m[1]}T{m[2] or '00:00'}")
         return [f"t{int(at.timestamp())}"]
     if _NUMBER.match(text):
-        digits = text.lstrip("-").replace(".", "")
-        if "." not in text and len(digits) in (10, 13, 16):
-            return [f"t{int(digits[:10])}"]
-        digits = digits.strip("0") if "." in text else digits.rstrip("0")
-        return [f"n{digits}"]
+        if re.fullmatch(r"\d{10}(\d{3}|\d{6})?", text):
+            return [f"t{int(text[:10])}"]
+        return [_number(Decimal(text))]
     if re.search(r"[;@]", text):
         return [x for part in re.split(r"[;@,\s]+", text) if part for x in leaves(part)]
     return [text.lower()]
 
 
 def same_value(a: list[str], b: list[str]) -> bool:
-    """One side's scalars are all among the other's (a wrapper may add some of its own)."""
+    """One side's scalars are all among the other's; a wrapper may add as many of its own."""
     x, y = set(a), set(b)
-    return bool(x) and bool(y) and (x <= y or y <= x)
+    return bool(x) and bool(y) and (x <= y or y <= x) and max(len(x), len(y)) <= 2 * min(len(x), len(y))
+
+
+class Evidence(NamedTuple):
+    """How two columns agree over their shared records."""
+
+    share: float = 0.0
+    #: The share that columns with these values would have without any relation.
+    chance: float = 1.0
+    records: int = 0
+    #: What the agreement rests on: ``words`` (or times), ``numbers`` (or codes), ``flags``.
+    rests_on: str = "flags"
+
+
+Pairs = list[tuple[list[str], list[str]]]
+
 
+def evidence(pairs: Pairs) -> Evidence:
+    """The best of: equal values, numbers under one factor, words under a one-to-one code."""
+    found = [_direct(pairs, k) for k in SCALES] + [recoding(pairs)]
+    return max(found, key=lambda e: (e.share, -e.chance))
 
-def agreement(pairs: list[tuple[list[str], list[str]]]) -> float:
-    """Share of records whose two values mean the same, directly or under a one-to-one recoding."""
+
+def agreement(pairs: Pairs) -> float:
+    """Share of records whose two values mean the same, directly, to scale or under a recoding."""
+    return evidence(pairs).share
+
+
+def _direct(pairs: Pairs, scale: Decimal) -> Evidence:
+    if scale != 1:
+        if not all(x.startswith("n") and _NUMBER.match(x[1:]) for a, _ in pairs for x in a):
+            return Evidence()
+        pairs = [([_number(Decimal(x[1:]) * scale) for x in a], b) for a, b in pairs]
     if not pairs:
-        return 0.0
-    direct = sum(same_value(a, b) for a, b in pairs) / len(pairs)
-    return max(direct, recoding(pairs))
-
-
-def recoding(pairs: list[tuple[list[str], list[str]]]) -> float:
-    """Share explained by the best word <-> small number code, 0 where the values are no code."""
-    word = lambda v: len(v) == 1 and not re.match(r"^[nt]\d", v[0])
-    code = lambda v: len(v) == 1 and re.match(r"^n\d?$", v[0])
-    if not all(word(a) and code(b) or code(a) and word(b) for a, b in pairs):
-        return 0.0
-    seen = pd.Series([(a[0], b[0]) for a, b in pairs]).value_counts()
-    left, right = {a for a, _ in seen.index}, {b for _, b in seen.index}
-    best, used_a, used_b = 0, set(), set()
-    for (a, b), n in seen.items():
+        return Evidence()
+    n = len(pairs)
+    left, right = (Counter(tuple(sorted(set(p[side]))) for p in pairs) for side in (0, 1))
+    chance = sum(k * right[v] for v, k in left.items()) / n**2
+    kinds = {"flags" if x in ("true", "false") else "numbers" if re.match(r"^n-?[\d.]+$", x) or len(x) < 3 else "words" for a, _ in pairs for x in a}
+    rests_on = next((k for k in ("words", "numbers") if k in kinds), "flags")
+    return Evidence(sum(same_value(a, b) for a, b in pairs) / n, chance, n, rests_on)
+
+
+def recoding(pairs: Pairs) -> Evidence:
+    """The best word <-> small number code; no evidence where the values are no code."""
+    word = lambda v: len(v) == 1 and not re.match(r"^[nt]-?\d", v[0]) and v[0] not in ("true", "false")
+    code = lambda v: len(v) == 1 and re.match(r"^n\d$", v[0])
+    if not pairs or not all(word(a) and code(b) or code(a) and word(b) for a, b in pairs):
+        return Evidence()
+    seen = Counter((a[0], b[0]) for a, b in pairs)
+    left, right = (Counter(p[side][0] for p in pairs) for side in (0, 1))
+    if len(left) != len(right):
+        return Evidence()
+    n, best, chance, used_a, used_b = len(pairs), 0, 0, set(), set()
+    for (a, b), k in seen.most_common():
         if a not in used_a and b not in used_b:
-            best, used_a, used_b = best + n, used_a | {a}, used_b | {b}
-    return best / len(pairs) if len(left) == len(right) else 0.0
+            best, chance, used_a, used_b = best + k, chance + left[a] * right[b], used_a | {a}, used_b | {b}
+    return Evidence(best / n, chance / n**2, n, "numbers")
+
+
+def believable(e: Evidence, name: float, alone: bool) -> bool:
+    """Whether the evidence makes two columns one.
+
+    Constants agree by chance: there a similar name decides, or that the constant is a word or a time;
+    a constant number or code counts where no other column of the step could be meant, a flag never.
+    """
+    if e.share < AGREEMENT or (e.records < LEAST_SHARED and name < SAME_NAME):
+        return False
+    if e.chance <= CONSTANT:
+        return (e.share - e.chance) / (1 - e.chance) >= BEYOND_CHANCE
+    if name >= SAME_NAME:
+        return True
+    return e.records >= LEAST_CONSTANT and (e.rests_on == "words" or (e.rests_on == "numbers" and alone))
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -137,12 +199,15 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
                 read[v] = leaves(json.loads(v))
         pairs_of.setdefault((a, b), []).append((read[x], read[y]))
     old, new = sorted({a for a, _ in pairs_of}), sorted({b for _, b in pairs_of})
+    facts = {key: evidence(pairs) for key, pairs in pairs_of.items()}
+    agree = [key for key, e in facts.items() if e.share >= AGREEMENT]
     gain = []
     for a in old:
         row = []
         for b in new:
-            share = agreement(pairs_of.get((a, b), []))
-            row.append(share + NAME_WEIGHT * name_similarity(a, b) if share >= AGREEMENT else 0.0)
+            e, name = facts.get((a, b), Evidence()), name_similarity(a, b)
+            alone = sum(x == a or y == b for x, y in agree) == 1
+            row.append(e.share + NAME_WEIGHT * name if believable(e, name, alone) else 0.0)
         gain.append(row)
     pairs = assignment(gain)
     keep = {c: [pdf[c].iloc[0]] * len(pairs) for c in ("stream", "file_seq")}

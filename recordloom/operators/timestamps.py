@@ -1,8 +1,10 @@
 """Mixed timestamp spellings, precisions and zones to one UTC instant or the reason there is none.
 
-Every value yields an array of valid interpretations. Almost all have one; where the spelling leaves
-several (day/month order unknown, digits that fit two units), Viterbi picks the series of readings of
-a source, in record order, with the fewest format switches and backward jumps in time.
+Every value yields an array of all its interpretations: each day/month order of a date with slashes, each
+unit of a count, both instants of a wall-clock hour that occurs twice. What is known about the writer
+(date order, years, whether such an hour may be guessed) is a cost of an interpretation. Viterbi picks
+the series of readings of a source, in record order, of least cost with format switches and backward
+jumps in time.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct no
 #: Rows of one Viterbi chunk.
 CHUNK_ROWS = 50_000
 SWITCH_COST, BACKWARD_COST = 1.0, 1.5
+#: Cost of a reading that what is known rules out: more than the four penalties its neighbours can save.
+#: Where only such readings are left, giving none costs less than any of them.
+RULED_OUT, NO_READING = 10.0, 5.0
 
 _CLOCK = r"^(?:[Tt]|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?(?:\s*([AaPp])[Mm])?(?:\s*([A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?))?(?:\[[^\]]*\])?$"
 _DATES = {
@@ -58,8 +63,8 @@ def _date(value: Column, name: str) -> Column:
     return F.when(value.rlike(pattern) & month.isNotNull(), F.unix_date(F.try_to_date(text, "yyyy-MM-dd")) * F.lit(_DAY))
 
 
-def with_readings(rows: DataFrame, first_year: int, last_year: int) -> DataFrame:
-    """Add ``readings``: array<struct<fmt, wall, utc, reason>> of all valid interpretations of ``text``.
+def with_readings(rows: DataFrame, first_year: int, last_year: int, guess_folds: bool = False) -> DataFrame:
+    """Add ``readings``: array<struct<fmt, at, utc, reason, cost>> of all interpretations of ``text``.
 
     ``rows`` has ``text`` (trimmed), ``zone_name`` and ``date_order``. The work goes in steps of plain
     columns, so that no expression is spelled out twice in the plan.
@@ -72,7 +77,7 @@ def with_readings(rows: DataFrame, first_year: int, last_year: int) -> DataFrame
     df = df.withColumn("_rest", F.regexp_replace("_v", either, ""))
     df = df.withColumns({f"_c{k}": F.regexp_extract("_rest", _CLOCK, k) for k in range(1, 7)})
     n = F.when(F.col("text").rlike(r"^\d{1,18}$"), F.col("text").try_cast("long"))
-    df = df.withColumns({"_n": n, "_h": _int(F.col("_c1")), "_half": F.lower("_c5"), "_said": F.upper("_c6"), "_slash": F.col("_v").rlike(_DATES["dmy"][0])})
+    df = df.withColumns({"_n": n, "_h": _int(F.col("_c1")), "_half": F.lower("_c5"), "_said": F.upper("_c6")})
     df = df.withColumns({f"_{k}": _date(F.col("_v"), k) for k in _DATES})
 
     hour = F.when(F.col("_half") == "", F.when(F.col("_h") < 24, F.col("_h"))).when(F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_half") == "p", 12).otherwise(0))
@@ -83,63 +88,93 @@ def with_readings(rows: DataFrame, first_year: int, last_year: int) -> DataFrame
     signed = F.when(said.startswith("-"), -1).otherwise(1) * (_int(F.substring(said, 2, 2)) * 60 + F.coalesce(_int(F.regexp_extract(said, r"^.\d\d:?(\d\d)$", 1)), F.lit(0)))
     offset = F.when(said.rlike(r"^[+-]"), signed).otherwise(F.try_element_at(_map(ABBREVIATIONS), said))
     df = df.withColumns({"_day": of_day, "_offset": offset, "_has": said != ""})
-
-    low, high = (int((pd.Timestamp(f"{y}-01-01") - pd.Timestamp(0)).total_seconds()) * 1_000_000 for y in (first_year, last_year + 1))
-    units = {"seconds": 1_000_000, "millis": 1000, "micros": 1}
-    counted = {k: (F.col("_n") >= low // u) & (F.col("_n") < high // u) for k, u in units.items()}
-    order, plain = F.col("date_order"), ("iso", "day_name", "name_day", "dots")
-    first = [(F.when(counted[k], F.lit(k)), F.when(counted[k], F.col("_n")) * units[k]) for k in units]
-    first += [(F.when(F.col(f"_{k}").isNotNull(), F.lit(k)), F.col(f"_{k}") + F.col("_day")) for k in plain]
-    dmy, mdy = (F.when(order.isNull() | (order == k), F.col(f"_{k}")) + F.col("_day") for k in ("dmy", "mdy"))
-    first += [(F.when(dmy.isNotNull(), F.lit("dmy")), dmy), (F.when(mdy.isNotNull(), F.lit("mdy")), mdy)]
-    df = df.withColumns({"_fmt1": F.coalesce(*[f for f, _ in first]), "_wall1": F.coalesce(*[w for _, w in first]), "_fmt2": F.lit("mdy"), "_wall2": F.when(dmy.isNotNull() & (mdy != dmy), mdy)})
     # A zone word that is no zone leaves no interpretation.
-    lost = F.col("_has") & F.col("_offset").isNull() & F.col("_n").isNull()
-    df = df.withColumns({f"_wall{i}": F.when(~lost, F.col(f"_wall{i}")) for i in (1, 2)})
+    df = df.withColumn("_day", F.when(~(F.col("_has") & F.col("_offset").isNull()), F.col("_day")))
+
+    order, plain, day = F.col("date_order"), ("iso", "day_name", "name_day", "dots"), F.col("_day")
+    against = lambda k: F.when(F.coalesce(order != k, F.lit(False)), RULED_OUT).otherwise(0.0)
+    named = F.coalesce(*[F.when(F.col(f"_{k}").isNotNull(), F.lit(k)) for k in plain])
+    same = F.col("_dmy") == F.col("_mdy")
+    df = df.withColumns({
+        "_fmt1": F.coalesce(named, F.when(same & (order == "mdy"), "mdy").otherwise("dmy")), "_wall1": F.coalesce(*[F.col(f"_{k}") for k in plain], "_dmy") + day,
+        "_cost1": F.when(named.isNotNull() | F.coalesce(same, F.lit(False)), 0.0).otherwise(against("dmy")),
+        "_fmt2": F.lit("mdy"), "_wall2": F.when(~F.coalesce(same, F.lit(False)), F.col("_mdy")) + day, "_cost2": against("mdy"),
+    })
 
     shift = lambda u: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(u), F.col("zone_name"))) - u
-    absolute = F.col("_has") | F.col("_n").isNotNull()
     for i in (1, 2):
-        wall = F.when(~absolute, F.col(f"_wall{i}"))
+        wall = F.when(~F.col("_has"), F.col(f"_wall{i}"))
         df = df.withColumns({f"_b{i}": wall - shift(wall - _DAY), f"_a{i}": wall - shift(wall + _DAY)})
         df = df.withColumns({f"_{x}ok{i}": F.col(f"_{x}{i}") + shift(F.col(f"_{x}{i}")) == F.col(f"_wall{i}") for x in "ab"})
+
+    reading = lambda fmt, at, utc, reason, cost: F.struct(fmt.alias("fmt"), at.alias("at"), utc.alias("utc"), reason.alias("reason"), cost.cast("double").alias("cost"))
+    none = F.lit(None).cast("string")
+    low, high = (int((pd.Timestamp(f"{y}-01-01") - pd.Timestamp(0)).total_seconds()) * 1_000_000 for y in (first_year, last_year + 1))
     out = []
+    for unit, size in {"seconds": 1_000_000, "millis": 1000, "micros": 1}.items():
+        at = F.try_multiply(F.col("_n"), F.lit(size).cast("long"))
+        out.append(F.when(at.isNotNull(), reading(F.lit(unit), at, at, none, F.when((at >= low) & (at < high), 0.0).otherwise(RULED_OUT))))
     for i in (1, 2):
-        wall, b, a, bok, aok = (F.col(f"_{x}{i}") for x in ("wall", "b", "a", "bok", "aok"))
-        utc = F.when(F.col("_n").isNotNull(), wall).when(F.col("_has"), wall - F.col("_offset") * 60_000_000)
-        utc = utc.when(bok & (~aok | (a == b)), b).when(aok & ~bok, a)
-        reason = F.when(~absolute & F.col("zone_name").isNull(), "no_zone").when(~absolute & bok & aok & (a != b), "ambiguous").when(~absolute & ~bok & ~aok, "nonexistent")
-        out.append(F.when(wall.isNotNull(), F.struct(F.col(f"_fmt{i}").alias("fmt"), wall.alias("wall"), utc.alias("utc"), reason.alias("reason"))))
-    return df.select(*keep, F.array_compact(F.array(*out)).alias("readings"))
+        fmt, wall, cost, b, a, bok, aok = (F.col(f"_{x}{i}") for x in ("fmt", "wall", "cost", "b", "a", "bok", "aok"))
+        fold = ~F.col("_has") & bok & aok & (a != b)
+        utc = F.when(F.col("_has"), wall - F.col("_offset") * 60_000_000).when(bok & (~aok | (a == b)), b).when(aok & ~bok, a)
+        reason = F.when(~F.col("_has") & F.col("zone_name").isNull(), "no_zone").when(fold, "ambiguous").when(~F.col("_has") & ~bok & ~aok, "nonexistent")
+        said_so, guessed = (NO_READING, 0.0) if guess_folds else (0.0, RULED_OUT)
+        out.append(F.when(wall.isNotNull(), reading(fmt, F.coalesce(utc, b, wall), utc, reason, cost + F.when(fold, said_so).otherwise(0.0))))
+        out += [F.when(wall.isNotNull() & fold, reading(fmt, x, x, none, cost + guessed)) for x in (b, a)]
+    df = df.withColumn("_all", F.array_compact(F.array(*out)))
+    nothing = reading(none, F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit("unreadable"), F.lit(NO_READING))
+    least = F.array_min(F.transform("_all", lambda r: r["cost"]))
+    return df.select(*keep, F.when(least >= RULED_OUT, F.array_append("_all", nothing)).otherwise(F.col("_all")).alias("readings"))
 
 
 def _cost(a, b) -> float:
-    """From reading ``a`` to the next record's reading ``b``."""
-    return SWITCH_COST * (a["fmt"] != b["fmt"]) + BACKWARD_COST * (b["wall"] < a["wall"])
+    """From reading ``a`` to the next record's reading ``b``; giving no reading has no neighbours."""
+    if a["at"] is None or b["at"] is None:
+        return 0.0
+    return SWITCH_COST * (a["fmt"] != b["fmt"]) + BACKWARD_COST * (b["at"] < a["at"])
 
 
 def _best(rows: list, start: list[float]) -> tuple[list[float], list[list[int]]]:
-    """Least cost to each reading of the last row, and the back pointers."""
+    """Least cost to each reading of the last row, and the back pointers; ``start`` has the first row's costs."""
     cost, back = start, []
     for prev, now in zip(rows, rows[1:], strict=False):
         ways = [[c + _cost(a, b) for c, a in zip(cost, prev, strict=True)] for b in now]
         back.append([min(range(len(w)), key=w.__getitem__) for w in ways])
-        cost = [min(w) for w in ways]
+        cost = [min(w) + b["cost"] for w, b in zip(ways, now, strict=True)]
     return cost, back
 
 
+def _only(n: int, k: int) -> list[float]:
+    return [0.0 if i == k else math.inf for i in range(n)]
+
+
+def _certain(series: list) -> list[int]:
+    """Places of values with one reading: what lies between two of them is decided on its own."""
+    return [i for i, r in enumerate(series) if len(r) == 1]
+
+
 _KEYS = ["source", "field"]
 
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per series within a chunk: its first and last readings and the least cost between them."""
+    """Per series within a chunk: its first and last readings and the least cost between them.
+
+    Costs are up to a constant of the series and chunk.
+    """
     rows = [b for b in batches if len(b)]
     if not rows:
         return
     for (part, source, field), g in pd.concat(rows).groupby(["part", *_KEYS], dropna=False, sort=False):
         series = g.sort_values(["at", "row_id"])["readings"].tolist()
-        costs = [_best(series, [0.0 if i == k else math.inf for i in range(len(series[0]))])[0] for k in range(len(series[0]))]
-        yield pd.DataFrame({"part": [part], "source": [source], "field": [field], "first": [list(series[0])], "last": [list(series[-1])], "costs": [[c for row in costs for c in row]]})
+        sure, n = _certain(series), len(series[0])
+        if sure:
+            before = [_best(series[: sure[0] + 1], _only(n, k))[0][0] for k in range(n)]
+            after = _best(series[sure[-1] :], [0.0])[0]
+            costs = [x + y for x in before for y in after]
+        else:
+            costs = [c for k in range(n) for c in _best(series, _only(n, k))[0]]
+        yield pd.DataFrame({"part": [part], "source": [source], "field": [field], "first": [list(series[0])], "last": [list(series[-1])], "costs": [costs]})
 
 
 def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +184,7 @@ def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
     trail = []
     for i, c in enumerate(pdf.itertuples()):
         n, m = len(c.first), len(c.last)
-        enter = [0.0] * n if not i else [min(x + _cost(a, b) for x, a in zip(cost, pdf["last"][i - 1], strict=True)) for b in c.first]
+        enter = [b["cost"] for b in c.first] if not i else [min(x + _cost(a, b) for x, a in zip(cost, pdf["last"][i - 1], strict=True)) + b["cost"] for b in c.first]
         come = [0] * n if not i else [min(range(len(cost)), key=lambda k, b=b, i=i, cost=cost: cost[k] + _cost(pdf["last"][i - 1][k], b)) for b in c.first]
         ways = [[enter[a] + c.costs[a * m + z] for a in range(n)] for z in range(m)]
         pick = [min(range(n), key=w.__getitem__) for w in ways]
@@ -164,6 +199,15 @@ def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["part", "source", "field", "enter", "leave"]]
 
 
+def _walk(series: list, enter: int, leave: int) -> list[int]:
+    """The choices of the cheapest way between two given readings of the first and the last row."""
+    _, back = _best(series, _only(len(series[0]), enter))
+    out = [leave]
+    for step in reversed(back):
+        out.append(step[out[-1]])
+    return out[::-1]
+
+
 def _decode(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
     """Choose a reading for every row of a chunk, given where the path enters and leaves it."""
     at = {(s, f): (a, z) for s, f, a, z in ends[["source", "field", "enter", "leave"]].itertuples(index=False)}
@@ -171,12 +215,13 @@ def _decode(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
     for (source, field), g in pdf.groupby(_KEYS, dropna=False, sort=False):
         g = g.sort_values(["at", "row_id"])
         series = g["readings"].tolist()
-        a, z = at[source if isinstance(source, str) else None, field]
-        _, back = _best(series, [0.0 if i == a else math.inf for i in range(len(series[0]))])
-        chosen = [int(z)]
-        for step in reversed(back):
-            chosen.append(step[chosen[-1]])
-        out.append(pd.DataFrame({"row_id": g["row_id"].tolist(), "field": field, "choice": chosen[::-1]}))
+        a, z = (int(x) for x in at[source if isinstance(source, str) else None, field])
+        cuts = [(0, a), *((i, 0) for i in _certain(series)), (len(series) - 1, z)]
+        chosen = [0] * len(series)
+        for (i, enter), (j, leave) in zip(cuts, cuts[1:], strict=False):
+            if j > i + 1 or enter or leave:
+                chosen[i : j + 1] = _walk(series[i : j + 1], enter, leave)
+        out.append(pd.DataFrame({"row_id": g["row_id"].tolist(), "field": field, "choice": chosen}))
     return pd.concat(out) if out else pd.DataFrame({"row_id": [], "field": [], "choice": []})
 
 
@@ -187,40 +232,33 @@ def choose(read: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     into chunks by ranges of its order, each chunk is summarised by a small matrix of least costs,
     the matrices of a series are chained, and each chunk is decoded between its fixed ends.
     """
-    spark = read.sparkSession
     uncertain = read.where(F.size("readings") > 1).select(*_KEYS).distinct()
     key = lambda d: d.withColumn("series", F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("field")))
     rows = stored(key(read.where(F.size("readings") > 0)).join(key(uncertain).select("series"), "series", "left_semi").drop("series"))
-    n = rows.count()
-    if not n:
-        return spark.createDataFrame([], "row_id string, field string, choice int")
-    cut = stored(rows.repartitionByRange(max(1, math.ceil(n / chunk_rows)), "source", "field", "at", "row_id").withColumn("part", F.spark_partition_id()))
+    cut = stored(rows.repartitionByRange(max(1, math.ceil(rows.count() / chunk_rows)), "source", "field", "at", "row_id").withColumn("part", F.spark_partition_id()))
     kind = cut.schema["readings"].dataType.simpleString()
     sums = cut.groupBy("part").applyInPandas(
-        lambda pdf: pd.concat([*_summaries(iter([pdf]))]), f"part int, source string, field string, first {kind}, last {kind}, costs array<double>"
+        lambda pdf: pd.concat([*_summaries(iter([pdf]))]) if len(pdf) else pdf, f"part int, source string, field string, first {kind}, last {kind}, costs array<double>"
     )
     ends = key(sums).groupBy("series").applyInPandas(lambda pdf: _stitch(pdf), "part int, source string, field string, enter int, leave int")
     ends = stored(ends).select(F.col("part").alias("to"), "source", "field", "enter", "leave")
     return cut.groupBy("part").cogroup(ends.groupBy("to")).applyInPandas(_decode, "row_id string, field string, choice int")
 
 
-def normalise(values: DataFrame, writers: DataFrame, first_year: int = 2023, last_year: int = 2027, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def normalise(values: DataFrame, writers: DataFrame, first_year: int = 2023, last_year: int = 2027, chunk_rows: int = CHUNK_ROWS, guess_folds: bool = False) -> DataFrame:
     """(row_id, field, utc_micros, reason) of each non-NULL value.
 
     ``values``: row_id string, source, field, at (record order), value. ``writers``: source, zone_name,
     date_order (unique per source; small and fixed, its size left to the planner). ``reason`` is NULL
     with an instant, else ``unreadable``, ``no_zone``, ``ambiguous`` or ``nonexistent``. Blank text is
-    unreadable; a NULL or unknown source has no zone; equal (row_id, field) rows count once.
+    unreadable; a NULL or unknown source has no zone; equal (row_id, field) rows count once. With
+    ``guess_folds`` an hour that occurs twice gets the instant that fits the source's order best.
     """
     known = writers.select("source", "zone_name", "date_order").dropDuplicates(["source"])
     read = values.select("row_id", "source", "field", "at", "value").where(F.col("value").isNotNull()).dropDuplicates(["row_id", "field"]).join(known, "source", "left")
     read = read.withColumn("text", F.coalesce(trimmed(F.col("value")), F.lit("")))
-    read = stored(with_readings(read, first_year, last_year).select("row_id", "source", "field", "at", "readings"))
-    chosen = read
-    if not read.where(F.size("readings") > 1).isEmpty():
-        chosen = read.join(choose(read, chunk_rows), ["row_id", "field"], "left")
-    else:
-        chosen = read.withColumn("choice", F.lit(None).cast("int"))
+    read = stored(with_readings(read, first_year, last_year, guess_folds).select("row_id", "source", "field", "at", "readings"))
+    chosen = read.join(choose(read, chunk_rows), ["row_id", "field"], "left")
     one = F.try_element_at("readings", F.coalesce("choice", F.lit(0)) + 1)
     return chosen.select("row_id", "field", one["utc"].alias("utc_micros"), F.when(one.isNull(), "unreadable").otherwise(one["reason"]).alias("reason"))
 

@@ -21,9 +21,8 @@ def brute(parent):
     return paths, below
 
 
-@pytest.mark.parametrize(("n", "fragment", "worth"), [(60, 7, 0.8), (250, 40, 0.8), (250, 20, 0.05)])
-def test_matches_walking_up(spark, monkeypatch, n, fragment, worth):
-    monkeypatch.setattr(hierarchy, "WORTH_RECURSING", worth)
+@pytest.mark.parametrize(("n", "fragment"), [(60, 7), (250, 40), (250, 20)])
+def test_matches_walking_up(spark, n, fragment):
     rng = random.Random(n)
     ids = [f"n{i:04d}" for i in range(n)]
     parent = {ids[i]: ids[max(0, i - rng.randint(1, 3))] if rng.random() < 0.9 else rng.choice(ids) for i in range(1, n) if rng.random() < 0.9}
@@ -43,9 +42,7 @@ def test_nulls_repeats_self_links_and_extra_columns(spark):
     assert got == {"a": ("b", 1, 0), "b": ("b", 0, 1), "s": ("cycle", -1, -1), "d": ("y", 1, 0), "y": ("y", 0, 1), "z": ("z", 0, 0)}
 
 
-@pytest.mark.parametrize("worth", [0.8, 0.0])
-def test_cycle_inside_a_fragment_entered_from_others(spark, monkeypatch, worth):
-    monkeypatch.setattr(hierarchy, "WORTH_RECURSING", worth)
+def test_cycle_inside_a_fragment_entered_from_others(spark):
     links = [("a0", "a1"), ("a1", "a0")] + [(f"m{i}", "a0") for i in range(6)] + [(f"z{i}", f"m{i}") for i in range(6)] + [("y1", "y0"), ("z9", "y1")]
     got = {r.node: (r.root, r.depth, r.descendants, r.path) for r in hierarchy.resolve_hierarchy(spark.createDataFrame(links, "node string, parent string"), 4, True).collect()}
     assert all(got[n] == ("cycle", -1, -1, None) for n in ["a0", "a1", *[f"{c}{i}" for c in "mz" for i in range(6)]])
@@ -63,3 +60,14 @@ def test_hot_parent_and_closure(spark):
     rows = {r.node: r for r in got.collect()}
     assert (rows["top"].descendants, rows["hub"].descendants, rows["c007"].path) == (201, 200, ["top", "hub", "c007"])
     assert hierarchy.closure(got).count() == 200 * 2 + 1
+
+
+def test_long_chain_under_random_keys_contracts_every_round(spark):
+    rng, n = random.Random(3), 3000
+    keys = [f"k{i:05d}" for i in rng.sample(range(100_000), n)]
+    parent = dict(zip(keys[1:], keys, strict=False))
+    sizes = []
+    got = {r.node: (r.root, r.depth, r.descendants) for r in hierarchy.resolve_hierarchy(spark.createDataFrame(list(parent.items()), "node string, parent string"), 250, sizes=sizes).collect()}
+    assert got == {k: (keys[0], i, n - 1 - i) for i, k in enumerate(keys)}
+    # The first cut goes by key, which is random here; from then on nodes go with the heads above them.
+    assert len(sizes) > 3 and all(b < 0.6 * a for a, b in zip(sizes[1:], sizes[2:], strict=False))

@@ -45,7 +45,7 @@ def test_empty_and_unreadable(spark):
 
 
 def test_leaves_and_assignment():
-    assert sd.leaves("0.70") == sd.leaves(0.7) == sd.leaves(70) == ["n7"]
+    assert sd.leaves("0.70") == sd.leaves(0.7) == ["n0.7"] and sd.leaves(70) == sd.leaves("70.0") == ["n70"]
     assert sd.leaves("2024-04-21T23:24:04.974Z") == sd.leaves(1713741844974)
     assert set(sd.leaves({"src/a.ts": "abc"})) == set(sd.leaves([{"file": "src/a.ts", "sha": "abc"}])) == set(sd.leaves("src/a.ts@abc"))
     assert sd.assignment([[5, 4], [4, 0]]) == [(0, 1), (1, 0)]
@@ -70,3 +70,30 @@ def test_lines_may_end_in_any_white_space(spark):
     i = ids(3)
     files = {("s", k): [json.dumps({"id": x, "v": n}) + end for n, x in enumerate(i)] for k, end in enumerate(("", "\r", "\t", " \r\n"), 1)}
     assert found(spark, files)[0] == set()
+
+
+def test_unrelated_columns_are_no_rename(spark):
+    """Flags that agree by chance, and numbers that only share their digits."""
+    i = ids(9)
+    flags = {("s", 1): [{"id": x, "archived": False} for x in i], ("s", 2): [{"id": x, "public": False} for x in i]}
+    assert found(spark, flags)[0] == {("s", 2, "removed", "archived", ""), ("s", 2, "added", "", "public")}
+    numbers = {("s", 1): [{"id": x, "retries": k + 1} for k, x in enumerate(i)], ("s", 2): [{"id": x, "timeout_ms": (k + 1) * 1000} for k, x in enumerate(i)]}
+    assert found(spark, numbers)[0] == {("s", 2, "removed", "retries", ""), ("s", 2, "added", "", "timeout_ms")}
+    one = {("s", 1): [{"id": i[0], "w": "one"}], ("s", 2): [{"id": i[0], "fresh": "one"}]}
+    assert found(spark, one)[0] == {("s", 2, "removed", "w", ""), ("s", 2, "added", "", "fresh")}
+
+
+def test_constant_columns():
+    same = lambda a, b, n: sd.evidence([(sd.leaves(a), sd.leaves(b))] * n)
+    assert sd.believable(same("active", "active", 6), 0.1, False) and not sd.believable(same("active", "active", 3), 0.1, False)
+    assert sd.believable(same("active", 1, 6), 0.1, True) and not sd.believable(same("active", 1, 6), 0.1, False)
+    assert sd.believable(same(False, False, 2), 0.7, False) and not sd.believable(same(False, False, 500), 0.2, True)
+    tags = [(["a"], ["a", "b", "c"])] * 9
+    assert sd.evidence(tags).share == 0
+
+
+def test_one_factor_for_all_records():
+    share = [(sd.leaves(x), sd.leaves(round(x * 100))) for x in (0.7, 0.07, 0.5, 1.0, 0.25)]
+    assert sd.agreement(share) == 1.0
+    mixed = [(sd.leaves(a), sd.leaves(b)) for a, b in ((0.7, 7), (0.5, 500), (0.2, 20), (0.3, 3), (0.9, 9000))]
+    assert sd.agreement(mixed) < 0.5

@@ -71,5 +71,41 @@ def test_unknown_order_follows_its_neighbours(spark, writers, chunk):
     assert run(spark, writers, rows, chunk_rows=chunk) == want
 
 
+def test_what_is_known_of_the_writer_outweighs_the_neighbours(spark, writers):
+    """A known date order holds even against a jump back, and a date it makes impossible is not turned round."""
+    at = lambda k: datetime(2024, 1, 1) + timedelta(hours=k)
+    said = ["04/01/2024 10:00", "04/02/2024 10:00", "01/05/2024 10:00", "31/12/2024 10:00", "1711906598", "99"]
+    rows = [(str(k), "ny", "created", at(k), v, "") for k, v in enumerate(said)]
+    want = ["2024-04-01T14:00:00.000000Z", "2024-04-02T14:00:00.000000Z", "2024-01-05T15:00:00.000000Z", "unreadable", "2024-03-31T17:36:38.000000Z", "unreadable"]
+    for chunk in (2, 1000):
+        assert run(spark, writers, rows, chunk_rows=chunk) == {str(k): w for k, w in enumerate(want)}
+
+
+def test_an_hour_that_occurs_twice_can_be_guessed_from_its_neighbours(spark, writers):
+    at = lambda k: datetime(2024, 1, 1) + timedelta(hours=k)
+    rows = [(str(k), "ny", "created", at(k), v, "") for k, v in enumerate(["2024-11-03 01:20:00", "2024-11-03 01:50:00", "2024-11-03 01:10:00", "2024-11-03 04:00:00"])]
+    assert [run(spark, writers, rows)[str(k)] for k in range(3)] == ["ambiguous"] * 3
+    got = run(spark, writers, rows, guess_folds=True)
+    assert got["2"] == "2024-11-03T06:10:00.000000Z" and got["1"] == "2024-11-03T05:50:00.000000Z"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chunks_find_the_cheapest_series(seed):
+    """Chunked decoding against all series of readings of a random case."""
+    from itertools import product
+
+    import pandas as pd
+
+    rng = random.Random(seed)
+    series = [[{"fmt": rng.choice("ab"), "at": rng.randrange(20), "cost": float(rng.randrange(3))} for _ in range(rng.choice([1, 1, 2, 3]))] for _ in range(8)]
+    total = lambda picks: sum(r[k]["cost"] for r, k in zip(series, picks, strict=True)) + sum(timestamps._cost(series[i][picks[i]], series[i + 1][picks[i + 1]]) for i in range(7))
+    best = min(total(p) for p in product(*[range(len(r)) for r in series]))
+    rows = pd.DataFrame({"part": [0, 0, 0, 1, 1, 2, 2, 2], "source": "s", "field": "f", "at": range(8), "row_id": [str(i) for i in range(8)], "readings": series})
+    sums = pd.concat(list(timestamps._summaries(iter([g])))[0] for _, g in rows.groupby("part"))
+    ends = timestamps._stitch(sums)
+    got = pd.concat(timestamps._decode(g, ends[ends["part"] == p]) for p, g in rows.groupby("part"))
+    assert abs(total(got.sort_values("row_id")["choice"].tolist()) - best) < 1e-9
+
+
 def test_empty(spark, writers):
     assert run(spark, writers, []) == {}

@@ -33,7 +33,10 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a live and an archived record with similar tags, the join between two tables."""
-    rows = both_records(spark, sf_dir, "id", "tags").select(canonical_id("id").alias("id"), F.when(F.col("ref_table") == "memory_records", "left").otherwise("right").alias("side"), F.col("tags").alias("tokens"))
+    rows = both_records(spark, sf_dir, "id", "tags").select(
+        canonical_id("id").alias("id"), F.when(F.col("ref_table") == "memory_records", "left").otherwise("right").alias("side"),
+        F.col("tags").alias("tokens"),
+    )
     members, sets = set_join.distinct_sets(rows, 4)
     members = stored(members)
     return set_join.between(members, stored(set_join.similar_sets(sets, 0.6)))
@@ -78,21 +81,28 @@ def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.sized(table(spark, sf_dir, "documents", "doc_id", "source", "text"), targets, mixing.default_tokenizer()), targets
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes, targets = _sizes(spark, sf_dir)
+    block = mixing.block_size(sizes)
+    slots, supplies = mixing.mixture(sizes, targets, block)
+    return mixing.assembled(slots, mixing.packed(sizes, block)), supplies
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots, supplies = mixing.mixture(*_sizes(spark, sf_dir))
-    return mixing.report(slots, supplies).where(~F.col("reachable")).select("source")
+    """Sources that stayed below their weight in the mixture, as even all their repeats had to."""
+    # A source out of reach ends below its weight however the draw falls; the sizes tell it from one
+    # that the draw alone left a little short.
+    return mixing.reached(*_mixed(spark, sf_dir)).where((F.col("drawn_tokens") < F.col("target_tokens")) & ~F.col("reachable")).select("source")
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture: which tokens of which document fill which slot of which shard."""
-    sizes, targets = _sizes(spark, sf_dir)
-    slots, _ = mixing.mixture(sizes, targets)
-    return mixing.assembled(slots, mixing.packed(sizes))
+    return _mixed(spark, sf_dir)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots, supplies = mixing.mixture(*_sizes(spark, sf_dir))
-    return mixing.report(slots, supplies)
+    """What each source was to have and what it has of the mixture."""
+    return mixing.reached(*_mixed(spark, sf_dir))
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +165,19 @@ many AS (SELECT side, id, t, n FROM tag JOIN big USING (side, id))
 SELECT a.id AS id_left, b.id AS id_right FROM many a JOIN many b ON a.t = b.t AND a.side = 'left' AND b.side = 'right'
 GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))""",
     "p6_found": f"WITH {_BAGS} SELECT id_a, id_b FROM near_",
+    "p6_groups": f"""WITH RECURSIVE {_BAGS},
+key AS (SELECT id, list_sort(list(w || '#' || k)) AS k FROM bag GROUP BY id),
+member AS (SELECT id, min(id) OVER (PARTITION BY k) AS rep FROM key),
+link AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM near_ n JOIN member a ON a.id = n.id_a JOIN member b ON b.id = n.id_b WHERE a.rep <> b.rep),
+both_ AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(rep, other) AS (SELECT DISTINCT rep, rep FROM member UNION SELECT r.rep, l.b FROM reach r JOIN both_ l ON l.a = r.other),
+root AS (SELECT rep, min(other) AS group_id FROM reach GROUP BY rep), ends AS (SELECT a AS rep, count(*) AS links FROM both_ GROUP BY a)
+SELECT id, group_id, coalesce(links, 0) AS links FROM member JOIN root USING (rep) LEFT JOIN ends USING (rep)""",
+    "p7_spans": f"""WITH {_WINDOWS},
+at_ AS (SELECT DISTINCT doc_id, item_id, k FROM (SELECT doc_id, unnest(range(0, len(w) - 12)) AS k, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM doc) JOIN iw USING (g)),
+cut AS (SELECT *, CAST(k - lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k) > 13 AS INTEGER) AS fresh FROM at_),
+span AS (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY k), 0) AS s FROM cut)
+SELECT doc_id, item_id, CAST(min(k) AS INTEGER) AS start_word, CAST(max(k) + 13 AS INTEGER) AS end_word FROM span GROUP BY doc_id, item_id, s""",
     "p7_found": f"WITH {_WINDOWS} SELECT doc_id, item_id FROM hit",
     "p7_items": f"WITH {_WINDOWS} SELECT i.item_id, i.split, count(h.doc_id) AS documents, count(h.doc_id) > 0 AS leaked FROM eval_items i LEFT JOIN hit h USING (item_id) GROUP BY i.item_id, i.split",
 }

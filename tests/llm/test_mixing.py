@@ -13,7 +13,9 @@ def frames(spark, docs, targets):
 
 @pytest.fixture(scope="module")
 def world(spark):
-    docs = [(i, "Big " if i % 7 else "BIG", "alpha beta gamma delta " * 20) for i in range(300)] + [(1000 + i, "small", "one two " * 15) for i in range(30)] + [(2000, "other", "x"), (2001, None, "y"), (2002, "small", None), (2003, "small", "")]
+    docs = [(i, "Big " if i % 7 else "BIG", "alpha beta gamma delta " * 20) for i in range(300)] + [(1000 + i, "small", "one two " * 15) for i in range(30)] + [
+        (2000, "other", "x"), (2001, None, "y"), (2002, "small", None), (2003, "small", ""),
+    ]
     d, t = frames(spark, docs, [("big", 0.6, 1), ("SMALL", 0.3, 2), ("none", 0.1, 5)])
     return mixing.sized(d, t, mixing.default_tokenizer()), t
 
@@ -80,3 +82,28 @@ def test_empty(spark):
     d, t = frames(spark, [(1, "a", "hello")], [])
     slots, supplies = mixing.mixture(mixing.sized(d, t, mixing.default_tokenizer()), t)
     assert slots.count() == 0 and supplies.count() == 0
+
+
+def test_shares_meet_the_weights_within_the_stated_bound(spark):
+    import random
+
+    rng = random.Random(1)
+    weights = {f"s{k}": w for k, w in enumerate((0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05))}
+    sizes = spark.createDataFrame([(i, f"s{i % 8}", rng.randint(50, 900)) for i in range(1600)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([(s, w, 4) for s, w in weights.items()], "source string, weight double, max_repeats int")
+    block = mixing.block_size(sizes)
+    slots, supplies = mixing.mixture(sizes, targets, block)
+    got = {r.source: r for r in mixing.reached(mixing.assembled(slots, mixing.packed(sizes, block)), supplies).collect()}
+    assert mixing.LEAST_BLOCK <= block < mixing.BLOCK_TOKENS
+    assert all(abs(got[s].share - w) < 0.005 and abs(got[s].share_of_asked - w) < 0.005 for s, w in weights.items())
+    by_slots = {r.source: r.drawn_tokens for r in mixing.report(slots, supplies, block).collect()}
+    assert by_slots == {s: r.drawn_tokens for s, r in got.items()}
+
+
+def test_a_source_that_runs_out_leaves_its_slots_empty(spark):
+    sizes = spark.createDataFrame([(i, "big" if i % 10 else "small", 400) for i in range(1000)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 2), ("small", 0.5, 2)], "source string, weight double, max_repeats int")
+    slots, supplies = mixing.mixture(sizes, targets, 80)
+    got = {r.source: r for r in mixing.reached(mixing.assembled(slots, mixing.packed(sizes, 80)), supplies).collect()}
+    assert abs(got["small"].share_of_asked - 0.2) < 1e-6 and abs(got["big"].share_of_asked - 0.5) < 0.005
+    assert abs(got["small"].share - 0.2 / 0.7) < 0.005 and not got["small"].reachable

@@ -28,22 +28,30 @@ def prose(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?m)^\W*(?:\w+[ \t]+)?https?://.*$", "")
     t = F.regexp_replace(t, r"https?://\S+", " ")
     t = F.regexp_replace(t, r"\b(e\.g|i\.e|etc|sec|approx|vs|cf|no|fig)\.", "$1")
-    t = F.regexp_replace(t, r"(?m)^[ \t]*(?:>[ \t]?)*(?:[-*+][ \t]+|\d+[.)][ \t]+|(?:\d{4}-\d\d-\d\d[ \t]+)?\d\d:\d\d(?:[ \t]+-)?[ \t]+|\*{0,2}[A-Za-z]+\*{0,2}:\*{0,2}[ \t]+)?", "")
+    t = F.regexp_replace(
+        t,
+        r"(?m)^[ \t]*(?:>[ \t]?)*(?:[-*+][ \t]+|\d+[.)][ \t]+|(?:\d{4}-\d\d-\d\d[ \t]+)?\d\d:\d\d(?:[ \t]+-)?[ \t]+|\*{0,2}[A-Za-z]+\*{0,2}:\*{0,2}[ \t]+)?",
+        "",
+    )
     return F.regexp_replace(t, "`[^`\n]*`", " code ")
 
 
 def measured(texts: DataFrame) -> DataFrame:
-    """(id, sentence, w): median words of a sentence, and the words. The median stands passages of
-    another kind that were pasted into a text."""
+    """(id, sentence, w): words of a sentence, and the words.
+
+    The length is the mean of the middle half of the sentences: passages of another kind that were
+    pasted into a text do not move it, and it tells texts apart that share a median.
+    """
     clean = texts.select("id", prose(F.coalesce("text", F.lit(""))).alias("t"))
     parts = clean.select(
         "id", F.filter(F.split("t", r"[.!?]+[\"')\]*]*(?:\s+|$)|\n[ \t]*\n"), lambda s: s.rlike(r"[\p{L}\p{N}]")).alias("s"),
         F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w"),
     )
     sizes = parts.select("id", "w", F.array_sort(F.transform("s", lambda s: F.size(F.split(F.trim(s), r"\s+")))).alias("n"))
-    half = F.floor(F.size("n") / 2).cast("int")
-    middle = (F.try_element_at("n", half + 1) + F.when(F.size("n") % 2 == 1, F.try_element_at("n", half + 1)).when(half > 0, F.try_element_at("n", half))) / 2
-    return sizes.select("id", F.coalesce(middle, F.lit(0.0)).alias("sentence"), "w")
+    quarter = F.floor(F.size("n") / 4).cast("int")
+    middle = F.slice("n", quarter + 1, F.size("n") - 2 * quarter)
+    mean = F.when(F.size("n") > 0, F.aggregate(middle, F.lit(0), lambda x, y: x + y) / F.size(middle))
+    return sizes.select("id", F.coalesce(mean, F.lit(0.0)).alias("sentence"), "w")
 
 
 def ranked(words: DataFrame) -> DataFrame:
@@ -61,7 +69,7 @@ def ranked(words: DataFrame) -> DataFrame:
 
 
 def profiles(measures: DataFrame, ranks: DataFrame, covered: float = COVERED) -> DataFrame:
-    """(id, length, rank): logarithms of the median sentence length and of the coverage rank.
+    """(id, length, rank): logarithms of the sentence length and of the coverage rank.
 
     The coverage rank is the rank of the word at the covered share of a document's words in rank order.
     At most ``COMMON_WORDS`` words have the ranks that are broadcast; rarer words meet theirs in a
@@ -96,7 +104,9 @@ def levels(documents: DataFrame, samples: DataFrame, covered: float = COVERED) -
     marked = samples.where(F.col("level").isNotNull()).select(F.monotonically_increasing_id().alias("id"), "text", "level")
     marked = stored(marked)
     known = profiles(measured(marked.select("id", "text")), ranks, covered).join(marked.select("id", "level"), "id")
-    centre = known.groupBy("level").agg(*[F.avg(c).alias(f"{c}_mean") for c in ("length", "rank")], *[F.var_pop(c).alias(f"{c}_var") for c in ("length", "rank")])
+    centre = known.groupBy("level").agg(
+        *[F.avg(c).alias(f"{c}_mean") for c in ("length", "rank")], *[F.var_pop(c).alias(f"{c}_var") for c in ("length", "rank")],
+    )
     spread = centre.agg(*[F.sqrt(F.greatest(F.avg(f"{c}_var"), F.lit(1e-6))).alias(f"{c}_sd") for c in ("length", "rank")])
     # One row per level, a handful: the levels' values become constants of the plan.
     sd = spread.first()
@@ -106,4 +116,7 @@ def levels(documents: DataFrame, samples: DataFrame, covered: float = COVERED) -
     far = lambda x, y: F.sqrt(F.pow((F.col("length") - x) / sd.length_sd, 2) + F.pow((F.col("rank") - y) / sd.rank_sd, 2))
     best = F.array_min(F.array(*[F.struct(far(x, y).alias("distance"), F.lit(level).alias("level")) for level, x, y in board]))
     judged = seen.select("id", "length", best.alias("b"), F.lit(board[0][0]).alias("easiest"))
-    return judged.select("id", F.when(F.col("length") <= 0, F.col("easiest")).otherwise(F.col("b.level")).cast("int").alias("level"), F.col("b.distance").alias("distance"))
+    return judged.select(
+        "id", F.when(F.col("length") <= 0, F.col("easiest")).otherwise(F.col("b.level")).cast("int").alias("level"),
+        F.col("b.distance").alias("distance"),
+    )

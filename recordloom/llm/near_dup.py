@@ -84,7 +84,10 @@ def _fingerprint(min_words: int, bands: int, values: int, seed: int):
         for pdf in batches:
             lists = [words(t) if isinstance(t, str) else [] for t in pdf["text"]]
             keep = [i for i, ws in enumerate(lists) if len(ws) >= max(1, min_words)]
-            out = pd.DataFrame({"id": pdf["id"], "at": pdf["at"], "h": pdf["h"], "n": [len(ws) for ws in lists], "bag_a": np.int64(0), "bag_b": np.int64(0), "sketch": None, "bands": None})
+            out = pd.DataFrame({
+                "id": pdf["id"], "at": pdf["at"], "h": pdf["h"], "n": [len(ws) for ws in lists], "bag_a": np.int64(0), "bag_b": np.int64(0),
+                "sketch": None, "bands": None,
+            })
             if keep:
                 sig, key = _signatures([lists[i] for i in keep], evaluations, seed)
                 with np.errstate(over="ignore"):
@@ -93,7 +96,10 @@ def _fingerprint(min_words: int, bands: int, values: int, seed: int):
                     band = _scramble((_scramble(sig[:, : bands * values]) * power).reshape(len(keep), bands, values).sum(2))
                     bit = _scramble(sig[:, : 64 * SKETCH_WORDS] + _MIX) >> np.uint64(63)
                     sketch = (bit.reshape(len(keep), SKETCH_WORDS, 64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
-                for name, found in (("bag_a", key[:, 0].view(np.int64)), ("bag_b", key[:, 1].view(np.int64)), ("sketch", list(sketch.view(np.int64))), ("bands", list(band.view(np.int64)))):
+                for name, found in (
+                    ("bag_a", key[:, 0].view(np.int64)), ("bag_b", key[:, 1].view(np.int64)), ("sketch", list(sketch.view(np.int64))),
+                    ("bands", list(band.view(np.int64))),
+                ):
                     column = out[name].to_numpy(copy=True)
                     column[keep] = found if name.startswith("bag") else pd.Series(found, dtype=object)
                     out[name] = column
@@ -130,7 +136,9 @@ def classes(texts: DataFrame, min_words: int = 20, bands: int = BANDS, values: i
     prints = stored(fingerprints(texts.where(F.col("id").isNotNull()), min_words, bands, values).withColumn("row", F.monotonically_increasing_id()))
     first = F.min_by(F.struct("row", "h", "n", "bag_a", "bag_b"), F.struct("at", "h", "row"))
     rows = prints.select("id", "at", "h", "n", "row", "bag_a", "bag_b").groupBy("id").agg(first.alias("r")).select("id", "r.*").where(F.col("n") >= max(1, min_words))
-    best = rows.groupBy("bag_a", "bag_b").agg(F.min_by(F.struct("id", "row"), "id").alias("r")).select("bag_a", "bag_b", F.col("r.id").alias("rep"), F.col("r.row").alias("row"))
+    best = rows.groupBy("bag_a", "bag_b").agg(F.min_by(F.struct("id", "row"), "id").alias("r")).select(
+        "bag_a", "bag_b", F.col("r.id").alias("rep"), F.col("r.row").alias("row"),
+    )
     best = stored(best)
     members = stored(rows.select("id", "bag_a", "bag_b").join(best.drop("row"), ["bag_a", "bag_b"]).select("id", "rep"))
     # The long rows stay where they are: what is dropped is named, not what is kept.
@@ -153,7 +161,10 @@ def in_blocks(keyed: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     hot = keyed.join(large, "band").withColumn("block", F.pmod(F.xxhash64("row", "band"), "blocks").cast("int"))
     left = hot.select("band", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), "row", "s")
-    right = hot.select("band", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("row").alias("row_b"), F.col("s").alias("s_b"))
+    right = hot.select(
+        "band", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("row").alias("row_b"),
+        F.col("s").alias("s_b"),
+    )
     return left, right
 
 
@@ -170,7 +181,9 @@ def banded(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
     # The planner makes one exchange of these rows and reads it for both sides.
     small = keyed.join(large, "band", "left_anti")
     a, b = small.alias("a"), small.alias("b")
-    met = a.join(b, F.col("a.band") == F.col("b.band")).where((F.col("a.row") < F.col("b.row")) & near(F.col("a.s"), F.col("b.s"))).select(F.col("a.row").alias("row_a"), F.col("b.row").alias("row_b"))
+    met = a.join(b, F.col("a.band") == F.col("b.band")).where((F.col("a.row") < F.col("b.row")) & near(F.col("a.s"), F.col("b.s"))).select(
+        F.col("a.row").alias("row_a"), F.col("b.row").alias("row_b"),
+    )
     left, right = in_blocks(keyed, large)
     hot = left.join(right, ["band", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("row") < F.col("row_b"))) & near(F.col("s"), F.col("s_b")))
     hot = hot.select(F.least("row", "row_b").alias("row_a"), F.greatest("row", "row_b").alias("row_b"))
@@ -274,5 +287,7 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
             break
         before = now
     root = edges.select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    got = members.join(root, "rep", "left").join(count, "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    got = members.join(root, "rep", "left").join(count, "rep", "left").select(
+        "id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"),
+    )
     return got

@@ -166,7 +166,10 @@ def _asked(threshold: float, frequent: dict[str, int], total: int):
                             low[p.every, here] = np.minimum(was, f)
                         bare, one = p.count == 0, p.count == 1
                         whole = np.where(bare, _LAST_RESORT * most, low)
-                        single = np.where(bare, 2 * _LAST_RESORT * most, np.where(one, _LAST_RESORT * most, 0.0) + np.where(bare, 0.0, low * (p.count + 1)) + np.where(p.count > 1, next_, 0.0))
+                        single = np.where(
+                            bare, 2 * _LAST_RESORT * most,
+                            np.where(one, _LAST_RESORT * most, 0.0) + np.where(bare, 0.0, low * (p.count + 1)) + np.where(p.count > 1, next_, 0.0),
+                        )
                         plan = cheapest(whole, single, most_differing(a, b, threshold) + 1)
                         for i in range(m):
                             for k, key in ((np.flatnonzero(plan[:, i] >= 0), p.whole(i)), (np.flatnonzero(plan[:, i] == 1), p.whole(i) ^ np.uint64(1))):
@@ -190,7 +193,9 @@ def distinct_sets(records: DataFrame, min_size: int = 1) -> tuple[DataFrame, Dat
     """
     clean = F.transform("tokens", lambda t: F.lower(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")))
     # Almost all rows of an id are equal, so whole arrays are united, not exploded.
-    one = records.where(F.col("id").isNotNull()).select("id", "side", F.array_sort(F.array_distinct(F.filter(clean, lambda t: t.isNotNull() & (t != "")))).alias("tokens"))
+    one = records.where(F.col("id").isNotNull()).select(
+        "id", "side", F.array_sort(F.array_distinct(F.filter(clean, lambda t: t.isNotNull() & (t != "")))).alias("tokens"),
+    )
     one = one.where(F.col("tokens").isNotNull()).groupBy("id", "side").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("tokens"))
     rows = stored(one.where(F.size("tokens") >= min_size))
     side = F.when(F.col("side") == "left", LEFT).when(F.col("side") == "right", RIGHT).otherwise(BOTH)
@@ -216,7 +221,10 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6) -> DataFrame:
     # One key per length and segment at most.
     bare = stored(ask.where("bare").select("key", F.lit(True).alias("wanted")).distinct())
     hold = source.mapInPandas(_held(threshold), _KEYS).join(bare, "key", "left").where(~F.col("bare") | F.col("wanted"))
-    hold = hold.select("key", F.col("sid").alias("held"), F.col("sides").alias("held_sides"), F.col("size").alias("held_size"), F.col("bits").alias("held_bits"))
+    hold = hold.select(
+        "key", F.col("sid").alias("held"), F.col("sides").alias("held_sides"), F.col("size").alias("held_size"),
+        F.col("bits").alias("held_bits"),
+    )
     n = F.col("size") + F.col("held_size")
     apart = n - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * n - 1e-9)
     order = (F.col("held_size") < F.col("size")) | ((F.col("held_size") == F.col("size")) & (F.col("held") < F.col("sid")))

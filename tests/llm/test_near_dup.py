@@ -62,7 +62,10 @@ def test_groups_are_connected_components(spark):
 
 def test_nulls_empty_long_and_repeated(spark):
     long = " ".join(f"word{i % 5000}" for i in range(60_000))
-    rows = [("a", "one two three " * 10), ("a", "one two three " * 10), ("b", "ONE, two; three! " * 10), ("c", None), ("d", ""), ("e", "short"), (None, "one two three " * 10), ("f", long), ("g", long + " more")]
+    rows = [
+        ("a", "one two three " * 10), ("a", "one two three " * 10), ("b", "ONE, two; three! " * 10), ("c", None), ("d", ""), ("e", "short"),
+        (None, "one two three " * 10), ("f", long), ("g", long + " more"),
+    ]
     members, links = near_dup.similar_classes(frame(spark, rows), 0.7, 20)
     assert {r.id for r in members.collect()} == {"a", "b", "f", "g"}
     assert {tuple(r) for r in near_dup.expand(members, links).collect()} == {("a", "b"), ("f", "g")}

@@ -59,7 +59,9 @@ def valid_as_of(at: Column) -> Column:
 
 def infer_source_kind(source: Column, settings: Settings = Settings()) -> Column:
     s = F.coalesce(source, F.lit(""))
-    return F.when(s.rlike(settings.operator_pattern) | F.lower(s).startswith("human:"), "operator").when(s.rlike(settings.import_pattern), "import").otherwise("agent")
+    return F.when(
+        s.rlike(settings.operator_pattern) | F.lower(s).startswith("human:"), "operator",
+    ).when(s.rlike(settings.import_pattern), "import").otherwise("agent")
 
 
 def effective_source_kind(settings: Settings = Settings()) -> Column:
@@ -89,7 +91,9 @@ def evidence(ext: Column) -> Column:
 
 def infer_verified_with(kind: Column) -> Column:
     return (
-        F.when(has_anchors() & F.col("last_verified").isNotNull(), "anchor").when(evidence(F.col("ext")), "evidence").when(kind == "operator", "operator").otherwise("assertion")
+        F.when(
+            has_anchors() & F.col("last_verified").isNotNull(), "anchor",
+        ).when(evidence(F.col("ext")), "evidence").when(kind == "operator", "operator").otherwise("assertion")
     )
 
 
@@ -100,7 +104,10 @@ def witness_marker(now: Column) -> Column:
 
 def format_line(now: Column, settings: Settings = Settings()) -> Column:
     body = truncate_body(F.col("body"))
-    head = F.concat(F.lit("- "), "id", F.lit(" "), F.coalesce("type", F.lit("observation")), F.lit(" ["), effective_source_kind(settings), F.lit("] "), witness_marker(now), F.lit(": "), F.coalesce("title", F.lit("")))
+    head = F.concat(
+        F.lit("- "), "id", F.lit(" "), F.coalesce("type", F.lit("observation")), F.lit(" ["), effective_source_kind(settings), F.lit("] "),
+        witness_marker(now), F.lit(": "), F.coalesce("title", F.lit("")),
+    )
     return F.when(body != "", F.concat(head, F.lit(" — "), body)).otherwise(head)
 
 
@@ -120,7 +127,9 @@ def parse_ttl(text: Column, default: str = "7d") -> Column:
 
 
 def route_path(settings: Settings = Settings()) -> Column:
-    area = F.when((F.col("kind") == "observation") | F.col("type").isNull(), "observations").when(effective_source_kind(settings) == "operator", F.concat(F.lit("memory/operator/"), "type", F.lit("s")))
+    area = F.when((F.col("kind") == "observation") | F.col("type").isNull(), "observations").when(
+        effective_source_kind(settings) == "operator", F.concat(F.lit("memory/operator/"), "type", F.lit("s")),
+    )
     return F.concat(area.otherwise(F.concat(F.lit("memory/"), "type", F.lit("s"))), F.lit("/"), "id", F.lit(".md"))
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and the plain letters they are searched as.
-ACCENTED = "ñéèêëàâäáãåçíìîïóòôöõúùûüýÿ"
-PLAIN = "neeeeaaaaaaciiiiooooouuuuyy"
+def _accents() -> tuple[str, str]:
+    """Letters that are a plain Latin letter and one mark, and those plain letters."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])}
+    found = {c: d[0] for c, d in parts.items() if len(d) == 2 and d[0] in "abcdefghijklmnopqrstuvwxyz"}
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def tokens(c: Column) -> Column:

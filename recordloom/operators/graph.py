@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators import hierarchy
 from recordloom.runtime import canonical_id, stored
 
 # The link fields in their default order.
@@ -18,7 +19,10 @@ def edges_view(records: DataFrame, edge_types: tuple[str, ...] = EDGE_TYPES) ->
 
     def one(pos: int, name: str):
         values = F.array(name) if name == "superseded_by" else F.coalesce(name, none)
-        return F.transform(values, lambda x, i: F.struct(F.lit(name).alias("edge_type"), F.lit(pos).alias("edge_pos"), i.alias("arr_pos"), canonical_id(x).alias("dst")))
+        return F.transform(
+            values, lambda x,
+            i: F.struct(F.lit(name).alias("edge_type"), F.lit(pos).alias("edge_pos"), i.alias("arr_pos"), canonical_id(x).alias("dst")),
+        )
 
     each = records.select(F.col("id").alias("src"), F.explode(F.concat(*[one(i, t) for i, t in enumerate(edge_types)])).alias("e"))
     return each.select("src", "e.*").where(F.col("dst").isNotNull())
@@ -41,7 +45,10 @@ def expand_graph(seeds: DataFrame, edges: DataFrame, depth: int = 1, cap: int =
         first = way.groupBy("dst").agg(F.min(F.struct("pos", "edge_pos", "arr_pos", "seed", "edge_type")).alias("f"))
         cut = first.orderBy("f.pos", "f.edge_pos", "f.arr_pos", "dst").limit(cap - taken)
         # At most ``cap`` rows: numbering them in one task is bounded.
-        step = cut.select(F.col("dst").alias("id"), F.col("f.seed").alias("from_id"), F.col("f.edge_type").alias("edge_type"), F.lit(hop).alias("hops"), F.row_number().over(Window.orderBy("f.pos", "f.edge_pos", "f.arr_pos", "dst")).cast("long").alias("pos"))
+        step = cut.select(
+            F.col("dst").alias("id"), F.col("f.seed").alias("from_id"), F.col("f.edge_type").alias("edge_type"), F.lit(hop).alias("hops"),
+            F.row_number().over(Window.orderBy("f.pos", "f.edge_pos", "f.arr_pos", "dst")).cast("long").alias("pos"),
+        )
         step = stored(step)
         out = out.unionByName(step.withColumn("pos", F.col("pos") + taken))
         taken += step.count()
@@ -62,27 +69,48 @@ def relation_chain(records: DataFrame, field: str, depth: int = CHAIN_DEPTH) ->
     reach = edges.select(F.col("src").alias("id"), F.col("dst").alias("target"), F.lit(1).alias("hops"))
     step = reach
     for hop in range(2, depth + 1):
-        step = step.select("id", F.col("target").alias("src")).join(edges, "src").select("id", F.col("dst").alias("target"), F.lit(hop).alias("hops")).where(F.col("id") != F.col("target"))
+        step = step.select("id", F.col("target").alias("src")).join(edges, "src").select(
+            "id", F.col("dst").alias("target"), F.lit(hop).alias("hops"),
+        ).where(F.col("id") != F.col("target"))
         step = stored(step.distinct())
         reach = reach.unionByName(step)
     return reach.groupBy("id", "target").agg(F.min("hops").alias("hops"))
 
 
+def _one_each(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first, rest): of every record its smallest link, and the links beside it."""
+    first = edges.groupBy("src").agg(F.min("dst").alias("dst"))
+    return first, edges.join(first, ["src", "dst"], "left_anti")
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst): every record reachable over any number of links, by repeated squaring.
+    """(src, dst): every record reachable over any number of links.
 
-    The number of rounds is the logarithm of the longest way; cycles close without repeating.
+    Links of which every record has one at most form trees, whose paths the hierarchy operator gives.
+    From there a frontier of newly reached pairs walks the links that are no part of the trees, and
+    every pair it finds brings the tree above its end along. Cycles close without repeating.
     """
-    reach = stored(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
-    size = reach.count()
-    while size:
-        longer = reach.select("src", F.col("dst").alias("mid")).join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        reach = stored(reach.unionByName(longer.where(F.col("src") != F.col("dst"))).distinct())
-        now = reach.count()
-        if now == size:
-            break
-        size = now
-    return reach
+    links = stored(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    first, rest = _one_each(links)
+    solved = stored(hierarchy.resolve_hierarchy(first.select(F.col("src").alias("node"), F.col("dst").alias("parent")), paths=True))
+    above = stored(hierarchy.closure(solved).select(F.col("descendant").alias("src"), F.col("ancestor").alias("dst")))
+    # What the trees do not carry: second links, and the links of records caught in cycles.
+    caught = solved.where(F.col("root") == hierarchy.CYCLE).select(F.col("node").alias("src"))
+    rest = stored(rest.unionByName(first.join(caught, "src", "left_semi")).distinct())
+    reach = above
+    if rest.isEmpty():
+        return reach
+    up = above.unionByName(above.select(F.col("src"), F.col("src").alias("dst")).distinct()).unionByName(links.select(F.col("dst").alias("src"), "dst").distinct()).distinct()
+    up = stored(up)
+    # One step: a link beside the trees, then everything above its end.
+    step = stored(rest.select("src", F.col("dst").alias("mid")).join(up.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct())
+    reach = stored(above.unionByName(step).distinct())
+    fresh = reach
+    while not fresh.isEmpty():
+        further = fresh.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        fresh = stored(further.join(reach, ["src", "dst"], "left_anti"))
+        reach = reach.unionByName(fresh)
+    return reach.where(F.col("src") != F.col("dst"))
 
 
 def lineage(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,3 +124,17 @@ def lineage(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges = edges_view(records, (field,)).select("src", "dst").join(ids, "dst", "left_semi")
         ways.append(closure(edges))
     return ways[0].toDF("id", "ancestor"), ways[1].toDF("id", "descendant")
+
+
+def with_lineage(records: DataFrame) -> DataFrame:
+    """Records with ancestors, descendants and the chains of refines, supports and depends_on as sorted
+    lists in place of the links; empty where there are none."""
+    before, after = lineage(records)
+    ways = {"ancestors": before.toDF("id", "x"), "descendants": after.toDF("id", "x")}
+    ways |= {f: relation_chain(records, f).select("id", F.col("target").alias("x")) for f in ("refines", "supports", "depends_on")}
+    out = records.drop("refines", "supports", "depends_on")
+    for name, pairs in ways.items():
+        out = out.join(
+            pairs.groupBy("id").agg(F.sort_array(F.collect_set("x")).alias(name)), "id", "left",
+        ).withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out

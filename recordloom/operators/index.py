@@ -6,13 +6,17 @@ Terms are Porter stems unless ``stem=False``. Scores are those of ``search.match
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.utils import AnalysisException
 
-from recordloom.operators.search import B, K1, STAGES, WEIGHTS, query_phrases, stemmed_vocabulary, tokenized
+from recordloom.functions import porter
+from recordloom.operators.search import B, K1, STAGES, WEIGHTS, query_phrases, tokenized
 
 FIELDS = ("title", "tags", "body")
 
@@ -24,28 +28,57 @@ class Index:
     mean_length: float
     fingerprint: int
     stemmed: bool
+    version: str | None = None
+
+
+def _row_key() -> Column:
+    return F.xxhash64("id", "type", "title", F.array_join("tags", "\x00"), "body").cast("decimal(38,0)")
 
 
 def fingerprint(records: DataFrame) -> int:
     """One number for the searched content of a snapshot, whatever its order."""
-    row = F.xxhash64("id", "type", "title", F.array_join("tags", "\x00"), "body")
-    return int(records.agg(F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0))).first()[0] % (1 << 62))
+    return _number(records.agg(F.sum(_row_key())).first()[0])
+
+
+def _number(total) -> int:
+    return int((total or 0) % (1 << 62))
+
+
+def _stemmed(tokens: Column) -> Column:
+    """Arrays of tokens as stems; every worker stems a word once."""
 
+    @F.pandas_udf(ArrayType(StringType()))
+    def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, str] = {}
+        for words in batches:
+            for w in set().union(*words) - known.keys():
+                known[w] = porter.stem(w)
+            yield words.map(lambda ws: [known[w] for w in ws])
 
-def build(records: DataFrame, path: str, files: int | None = None, stem: bool = True) -> Index:
-    """Index ``records`` (id, type, title, tags, body) under ``path``, replacing what is there."""
+    return stems(tokens)
+
+
+def build(records: DataFrame, path: str, files: int | None = None, stem: bool = True, version: str | None = None) -> Index:
+    """Index ``records`` (id, type, title, tags, body) under ``path``, replacing what is there.
+
+    The records are read once: what the searches need to know of the whole is observed on the way.
+    ``version`` names the snapshot for ``open_or_build``.
+    """
     t = tokenized(records.select("id", "type", "title", "tags", "body")).withColumnRenamed("_length", "length")
-    places = F.concat(*[_places(f) for f in FIELDS])
-    each = t.select("id", "type", "length", F.explode(places).alias("p")).select("id", "type", "length", "p.*")
+    corpus = Observation()
+    t = t.observe(corpus, F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean_length"), F.sum(_row_key()).alias("content"))
+    if stem:
+        t = t.withColumns({f"_t_{f}": _stemmed(F.col(f"_t_{f}")) for f in FIELDS})
+    each = t.select("id", "type", "length", F.explode(F.concat(*[_places(f) for f in FIELDS])).alias("p")).select("id", "type", "length", "p.*")
     lists = [F.sort_array(F.collect_list(F.when(F.col("field") == k, F.col("at")))).alias(f"in_{f}") for k, f in enumerate(FIELDS)]
     rows = each.groupBy("term", "id", "type", "length").agg(*lists)
-    if stem:
-        joined = rows.join(stemmed_vocabulary(each.select("term")), "term").withColumn("term", F.col("stem"))
-        rows = joined.groupBy("term", "id", "type", "length").agg(*[F.sort_array(F.flatten(F.collect_list(f"in_{f}"))).alias(f"in_{f}") for f in FIELDS])
     spread = rows.repartitionByRange(files, "term", "id") if files else rows.repartitionByRange("term", "id")
     spread.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    stats = t.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean_length")).withColumn("fingerprint", F.lit(fingerprint(records))).withColumn("stemmed", F.lit(stem))
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    seen = corpus.get
+    facts = [(seen["records"], seen["mean_length"], _number(seen["content"]), stem, version)]
+    records.sparkSession.createDataFrame(
+        facts, "records long, mean_length double, fingerprint long, stemmed boolean, version string",
+    ).write.mode("overwrite").parquet(f"{path}/stats")
     return load(records.sparkSession, path)
 
 
@@ -56,18 +89,23 @@ def _places(field: str) -> Column:
 
 def load(spark: SparkSession, path: str) -> Index:
     s = spark.read.parquet(f"{path}/stats").first()
-    return Index(spark.read.parquet(f"{path}/postings"), s.records, s.mean_length, s.fingerprint, "stemmed" in s and s.stemmed)
+    return Index(spark.read.parquet(f"{path}/postings"), s.records, s.mean_length, s.fingerprint, s.stemmed, s.version)
+
 
+def open_or_build(records: DataFrame, path: str, stem: bool = True, version: str | None = None) -> Index:
+    """The index under ``path`` if it was built from this content in this form, else a new one.
 
-def open_or_build(records: DataFrame, path: str, stem: bool = True) -> Index:
-    """The index under ``path`` if it was built from this content in this form, else a new one."""
+    With ``version`` (of a table, a commit, a date of load) the snapshots are told apart by it and the
+    records are not read at all; without it by what they hold, which takes a pass over them.
+    """
     try:
         index = load(records.sparkSession, path)
-        if index.stemmed == stem and index.fingerprint == fingerprint(records):
+        same = index.version == version if version is not None else index.fingerprint == fingerprint(records)
+        if index.stemmed == stem and same:
             return index
-    except AnalysisException:
+    except (AnalysisException, AttributeError):
         pass
-    return build(records, path, stem=stem)
+    return build(records, path, stem=stem, version=version)
 
 
 def _hits(name: str, field: str, length: int) -> Column:

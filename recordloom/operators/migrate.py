@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from recordloom.functions import records as R
+from recordloom.runtime import stored
+from recordloom.sources import markdown
+from recordloom.sources.markdown import LEGACY, OLD_STATES
 
-# Old states and what they are now; the text given where no reason was kept.
-OLD_STATES = {"captured": "active", "corrected": "superseded", "decayed": "retired", "archived": "retired"}
+# Fixed value: the text given where no reason was kept.
 NO_REASON = "(predates reason tracking)"
-LEGACY = "decay_after string, confidence double, corrects array<string>, corrected_by string, correction_reason string, code_anchors array<struct<file:string,sha:string,repo:string>>"
 
 
 def with_legacy_columns(records: DataFrame) -> DataFrame:
@@ -23,7 +28,8 @@ def plan(records: DataFrame, now, settings: R.Settings = R.Settings(), overrides
     """Records in today's shape with ``target_path`` and ``changes``, the list of what was changed.
 
     Rules apply in a fixed order, each seeing the outcome of those before; a rewritten record has no
-    further changes. A new name wins where both are present; ext keeps a retired confidence.
+    further changes. A new name wins where both are present; ext keeps a retired confidence and gives
+    up its anchors.
     """
     df = with_legacy_columns(records)
     log: list = []
@@ -53,6 +59,7 @@ def plan(records: DataFrame, now, settings: R.Settings = R.Settings(), overrides
         "was_path": F.col("file_path"), "was_witness": F.col("verified_with"), "was_stale": F.coalesce("stale", F.lit(False)), "early": F.array(*log),
         "state": state, "kind": F.coalesce("kind", F.lit("claim")), "check_by": F.coalesce("check_by", "decay_after"), "supersedes": F.coalesce("supersedes", "corrects"), "superseded_by": by,
         "supersede_reason": F.when(bare, NO_REASON).otherwise(why), "anchors": F.coalesce("anchors", "code_anchors"), "source_kind": kind,
+        "ext": F.when(F.col("confidence").isNull() & F.col("code_anchors").isNull(), F.col("ext")).otherwise(_extended("ext", "confidence")),
     })
     witness = F.coalesce("verified_with", R.infer_verified_with(F.col("source_kind")))
     late = (F.col("state") == "active") & ~F.col("was_stale") & (R.stamp(F.col("check_by")) < now)
@@ -69,6 +76,44 @@ def plan(records: DataFrame, now, settings: R.Settings = R.Settings(), overrides
     return shaped.drop("was_witness", "was_stale", "early", "late", *drop)
 
 
+@F.pandas_udf(StringType())
+def _extended(ext: pd.Series, confidence: pd.Series) -> pd.Series:
+    """``ext`` without anchors and with a confidence it has not yet."""
+
+    def one(text, sure):
+        try:
+            bag = json.loads(text or "{}")
+        except ValueError:
+            return text
+        if not isinstance(bag, dict):
+            return text
+        bag.pop("code_anchors", None)
+        if sure == sure and sure is not None:
+            bag.setdefault("legacy_confidence", sure)
+        return json.dumps(bag, sort_keys=True) if bag else None
+
+    return pd.Series([one(t, c) for t, c in zip(ext, confidence, strict=True)], dtype=object)
+
+
+def read(spark: SparkSession, root: str) -> DataFrame:
+    """The records of a store as their headers say them, older columns included, ready for ``plan``."""
+    rows = markdown.scan_records(spark, root, legacy=True).where(F.col("error").isNull())
+    times = {c: R.stamp(F.col(c)) for c in ("created", "last_verified", "expires", "valid_from", "valid_to")}
+    return rows.withColumns(times | {"file_path": F.regexp_extract("path", r"((?:memory|observations|archive)/.*)$", 1)}).drop("path", "area", "is_operator", "error")
+
+
+def apply(spark: SparkSession, root: str, now, settings: R.Settings = R.Settings(), overrides: dict[str, str] | None = None) -> DataFrame:
+    """(path, outcome) of every file that was rewritten in today's shape, moved, or gave way to another.
+
+    Files that need no change are not touched, files that are no records neither; a second run finds
+    nothing to do.
+    """
+    changed = plan(read(spark, root), now, settings, overrides).where(F.size("changes") > 0)
+    texts = markdown.serialize(changed.withColumn("file_path", F.col("target_path")))
+    moves = stored(texts.join(changed.select("id", F.col("was_path").alias("was")), "id"))
+    return stored(markdown.relocate(moves, root))
+
+
 #: Label of a change by how its text begins.
 LABELS = {
     "state ": "state remapped", "kind:": "kind defaulted to claim", "decay_after": "decay_after -> check_by", "corrects": "corrects -> supersedes", "corrected_by": "corrected_by -> superseded_by",

@@ -1,8 +1,9 @@
 """References to records that do not exist, kept as signed counts per key.
 
 Every change of a table is a delta: a record that appears counts +1 existence, one that goes -1, a
-reference that is made +1, one that is dropped -1. Summing deltas per key gives the state; summing a
-state with later deltas gives the next state. Keys with references and no existence are orphans.
+reference that is made +1, one that is dropped -1. Summing deltas per key and load gives the state;
+summing a state with later deltas gives the next state, in any order. Keys with references and no
+existence are orphans.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ def reference_deltas(references: DataFrame, sign: int = 1) -> DataFrame:
 
 
 def existence_deltas(loads: DataFrame, sign: int = 1) -> DataFrame:
-    """Deltas of distinct records (columns ``id``, ``first_load``) that appear (+1) or go (-1)."""
+    """Deltas of distinct records (columns ``id``, ``first_load``) that appear (+1) or go (-1).
+
+    A record goes with the load it came with, so that the loads that are left still tell the first.
+    """
     return loads.where(F.col("id").isNotNull()).select(
         F.col("id").alias("key"), F.lit(0).cast("long").alias("refs"), F.lit(sign).cast("long").alias("exists"),
         F.lit(0).cast("long").alias("removals"), F.col("first_load").cast("timestamp_ntz").alias("first_load"),
@@ -38,21 +42,29 @@ def removal_deltas(removed: DataFrame) -> DataFrame:
 
 
 def fold(*deltas: DataFrame) -> DataFrame:
-    """One row per key: the state after all ``deltas``, which may themselves be earlier states.
+    """The state after all ``deltas``, which may themselves be earlier states: one row per key and load.
 
-    The sums combine on the map side, so a key that holds a third of all rows moves one row per task.
+    What cancels out is dropped. The sums combine on the map side, so a key that holds a third of all
+    rows moves a few rows per task.
     """
     rows = deltas[0].select(*_STATE)
     for d in deltas[1:]:
         rows = rows.unionByName(d.select(*_STATE))
-    return rows.groupBy("key").agg(
-        F.sum("refs").alias("refs"), F.sum("exists").alias("exists"), F.sum("removals").alias("removals"), F.min("first_load").alias("first_load"),
-    )
+    sums = rows.groupBy("key", "first_load").agg(*[F.sum(c).alias(c) for c in ("refs", "exists", "removals")])
+    return sums.where((F.col("refs") != 0) | (F.col("exists") != 0) | (F.col("removals") != 0)).select(*_STATE)
+
+
+def current(state: DataFrame) -> DataFrame:
+    """One row per key: its counts, and the first of the loads that still exist."""
+    there = F.when(F.col("exists") > 0, F.col("first_load"))
+    return state.groupBy("key").agg(
+        F.sum("refs").alias("refs"), F.sum("exists").alias("exists"), F.sum("removals").alias("removals"), F.min(there).alias("first_load"),
+    )
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
     """Keys with positive references and no existence, and whether they were deleted or never there."""
-    return state.where((F.col("refs") > 0) & (F.col("exists") <= 0)).select(
+    return current(state).where((F.col("refs") > 0) & (F.col("exists") <= 0)).select(
         "key", "refs", F.when(F.col("removals") > 0, "deleted").otherwise("missing").alias("reason")
     )
 
@@ -61,10 +73,10 @@ def report(references: DataFrame, state: DataFrame, late_exempt: tuple[str, ...]
     """Each reference that leads nowhere, or to a record first loaded after the one that refers.
 
     ``references``: ref_table, id, field, target_id, first_load (of the referring record). ``late_exempt``
-    fields may point ahead. The state is unique per key; it is reduced to keys that are orphans or have
-    a load time before the join, and a hot target skews only the reference side.
+    fields may point ahead. The state comes to one row per key before the join, so a hot target skews
+    only the reference side.
     """
-    keys = state.where(F.col("refs") > 0).select(
+    keys = current(state).where(F.col("refs") > 0).select(
         F.col("key").alias("target_id"), F.col("exists") > 0, F.col("removals") > 0, F.col("first_load").alias("target_load")
     ).toDF("target_id", "there", "deleted", "target_load")
     reason = (

@@ -53,7 +53,10 @@ def decay_candidates(records: DataFrame, drifted: DataFrame, now: Column, settin
     Without a check-by date the deadline is the last verification plus the type's term. ``never`` and
     unreadable dates have none. An expired record is not listed as drifted.
     """
-    due = F.when(F.col("check_by").isNull(), R.add_days(F.coalesce("last_verified", "created"), F.coalesce(R.lookup(F.col("type"), settings.decay_days), F.lit(90)))).otherwise(R.stamp(F.col("check_by")))
+    due = F.when(
+        F.col("check_by").isNull(),
+        R.add_days(F.coalesce("last_verified", "created"), F.coalesce(R.lookup(F.col("type"), settings.decay_days), F.lit(90))),
+    ).otherwise(R.stamp(F.col("check_by")))
     rows = records.where(F.col("state") == "active").withColumn("due", due).join(drifted.select("id", F.lit(True).alias("drift")), "id", "left")
     expired = F.coalesce(F.lit(now) > F.col("due"), F.lit(False))
     return rows.where(expired | F.col("drift")).select(
@@ -66,41 +69,72 @@ def declared_conflicts(active: DataFrame) -> DataFrame:
     from recordloom.operators.graph import edges_view
 
     pairs = edges_view(active, ("conflicts_with",)).select(F.least("src", "dst").alias("id_a"), F.greatest("src", "dst").alias("id_b")).distinct()
-    return pairs.join(active.select(F.col("id").alias("id_b"), F.col("title").alias("title_b")), "id_b", "left").select("id_a", "id_b", F.coalesce("title_b", F.lit("(not in active set)")).alias("title_b"))
+    return pairs.join(
+        active.select(F.col("id").alias("id_b"), F.col("title").alias("title_b")), "id_b", "left",
+    ).select("id_a", "id_b", F.coalesce("title_b", F.lit("(not in active set)")).alias("title_b"))
 
 
-def title_bucket_pairs(active: DataFrame) -> DataFrame:
-    """(id_a, id_b): typed records whose titles begin alike, joined on type and the beginning."""
+def title_buckets(active: DataFrame) -> DataFrame:
+    """(id, class_id, members): typed records whose titles begin alike, by the smallest id of the bucket.
+
+    A bucket of any size is one class, not a list of its pairs; titles without letters are in none.
+    """
     keyed = active.where(F.col("type").isNotNull()).select("id", "type", X.title_key(F.col("title")).alias("key")).where(F.col("key") != "")
-    return keyed.join(keyed.toDF("other", "type", "key"), ["type", "key"]).where(F.col("id") < F.col("other")).select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
+    sizes = keyed.groupBy("type", "key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    return keyed.join(sizes, ["type", "key"]).select("id", "class_id", "members")
+
+
+def conflict_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): typed records with equal title words and tags are one class, named by the smallest id.
+
+    members: id, class_id. classes: class_id, type, words, tags, members. NULL and repeated tags do not count.
+    """
+    tags = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("tags", F.array().cast("array<string>")))))
+    rows = stored(records.where(F.col("type").isNotNull()).select(
+        "id", "type", F.array_sort(X.title_tokens(F.col("title"))).alias("words"), tags.alias("tags"),
+    ))
+    classes = stored(rows.groupBy("type", "words", "tags").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")))
+    return rows.join(classes.drop("members"), ["type", "words", "tags"]).select("id", "class_id"), classes
 
 
 def conflict_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(id_a, id_b, shared_tokens, shared_tags): same type, a shared tag, two shared title words.
+    """(id_a, id_b, shared_tokens, shared_tags): classes of the same type with a shared tag and two shared title words.
 
-    The nested loop becomes a join on pairs of title words, which every match shares; the rest is
-    checked on the candidates. With ``right``, pairs go from left to right records, else id_a < id_b.
+    ``left`` and ``right`` are classes (see ``conflict_classes``), named by their ids. Without ``right``
+    id_a < id_b, and a class of several records that conflict with each other is paired with itself. A
+    join on pairs of title words, which every match shares, gives the candidates; what they share is
+    read once per candidate.
     """
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        t = F.array_sort(X.title_tokens(F.col("title")))
-        rows = df.where(F.col("type").isNotNull()).select(F.col("id").alias(f"id_{name}"), "type", F.coalesce("tags", F.array().cast("array<string>")).alias(f"tags_{name}"), t.alias(f"t_{name}"))
-        here = F.col(f"t_{name}")
+        here = F.col("words")
         pairs = F.flatten(F.transform(here, lambda x, i: F.transform(F.slice(here, i + 2, F.size(here)), lambda y: F.concat_ws(" ", x, y))))
-        return rows.withColumn("key", F.explode(pairs))
-
-    a, b = keyed(left, "a"), keyed(left if right is None else right, "b")
-    order = F.col("id_a") < F.col("id_b") if right is None else F.col("id_a") != F.col("id_b")
-    hit = a.join(b, ["type", "key"]).where(order & F.arrays_overlap("tags_a", "tags_b"))
-    return hit.groupBy("id_a", "id_b").agg(
-        F.first(F.size(F.array_intersect("t_a", "t_b"))).alias("shared_tokens"), F.first(X.overlap(F.col("tags_a"), F.col("tags_b"))).alias("shared_tags")
+        return df.select(F.col("class_id").alias(name), "type", F.explode(pairs).alias("key"))
+
+    other = left if right is None else right
+    order = F.col("id_a") < F.col("id_b") if right is None else F.lit(True)
+    met = keyed(left, "id_a").join(keyed(other, "id_b"), ["type", "key"]).where(order).select("id_a", "id_b").distinct()
+    if right is None:
+        met = met.unionByName(left.where((F.col("members") > 1) & (F.size("words") > 1)).select(
+            F.col("class_id").alias("id_a"), F.col("class_id").alias("id_b"),
+        ))
+    side = lambda df, name: df.select(F.col("class_id").alias(f"id_{name}"), F.col("words").alias(f"w_{name}"), F.col("tags").alias(f"t_{name}"))
+    both = met.join(side(left, "a"), "id_a").join(side(other, "b"), "id_b").where(F.arrays_overlap("t_a", "t_b"))
+    return both.select(
+        "id_a", "id_b", F.size(F.array_intersect("w_a", "w_b")).alias("shared_tokens"),
+        F.size(F.array_intersect("t_a", "t_b")).alias("shared_tags"),
     )
 
 
-def nearest(pairs: DataFrame) -> DataFrame:
-    """Of each id_a the one id_b with most shared title words, then tags, then the smallest id."""
+def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, id_b): of each left record the right one with most shared title words, then tags, then the smallest id.
+
+    Equal records have equal neighbours, so classes are compared and their members told.
+    """
+    members, classes = conflict_classes(left)
+    pairs = conflict_pairs(classes, conflict_classes(right)[1])
     best = pairs.groupBy("id_a").agg(F.min(F.struct(-F.col("shared_tokens"), -F.col("shared_tags"), "id_b")).alias("m"))
-    return best.select("id_a", F.col("m.id_b").alias("id_b"))
+    return members.join(best.select(F.col("id_a").alias("class_id"), F.col("m.id_b").alias("id_b")), "class_id").select("id", "id_b")
 
 
 def boot_rank(active: DataFrame, uses: DataFrame, now: Column) -> DataFrame:
@@ -111,10 +145,15 @@ def boot_rank(active: DataFrame, uses: DataFrame, now: Column) -> DataFrame:
 def attention(active: DataFrame, drifted: DataFrame, now: Column) -> DataFrame:
     """(id, note, is_drift, overdue): drifted records, then stale ones by how long they are overdue."""
     due = F.floor(R.days_between(now, R.stamp(F.col("check_by"))))
-    rows = active.join(drifted.select("id", "note"), "id", "left").withColumn("stale_now", R.lazy_stale(now) & (F.coalesce("kind", F.lit("claim")) != "observation"))
+    rows = active.join(drifted.select("id", "note"), "id", "left").withColumn(
+        "stale_now", R.lazy_stale(now) & (F.coalesce("kind", F.lit("claim")) != "observation"),
+    )
     keep = rows.where(F.col("note").isNotNull() | F.col("stale_now"))
     overdue = F.greatest(F.coalesce(due, F.lit(0)), F.lit(0)).cast("int")
-    return keep.select("id", F.coalesce("note", F.concat(F.lit("check-by passed "), overdue.cast("string"), F.lit("d ago"))).alias("note"), F.col("note").isNotNull().alias("is_drift"), F.when(F.col("note").isNotNull(), 0).otherwise(overdue).alias("overdue"))
+    return keep.select(
+        "id", F.coalesce("note", F.concat(F.lit("check-by passed "), overdue.cast("string"), F.lit("d ago"))).alias("note"),
+        F.col("note").isNotNull().alias("is_drift"), F.when(F.col("note").isNotNull(), 0).otherwise(overdue).alias("overdue"),
+    )
 
 
 def pinned(active: DataFrame, cap: int = PINNED_CAP) -> DataFrame:
@@ -135,7 +174,10 @@ def budget(sections: list[tuple[DataFrame, int]], budget_tokens: int, total_limi
         one = one.withColumns({"section": F.lit(i), "cap": F.lit(cap)})
         rows = one if rows is None else rows.unionByName(one)
     items = rows.agg(F.array_sort(F.collect_list(F.struct("section", "pos", "id", F.col("cost").cast("int").alias("cost"), "cap"))).alias("items"))
-    start = F.struct(F.lit(used).alias("used"), F.lit(0).alias("total"), F.lit(-1).alias("section"), F.lit(0).alias("n"), F.lit(False).alias("closed"), F.array().cast("array<boolean>").alias("out"))
+    start = F.struct(
+        F.lit(used).alias("used"), F.lit(0).alias("total"), F.lit(-1).alias("section"), F.lit(0).alias("n"), F.lit(False).alias("closed"),
+        F.array().cast("array<boolean>").alias("out"),
+    )
 
     def step(s: Column, x: Column) -> Column:
         fresh = s["section"] != x["section"]
@@ -170,7 +212,13 @@ def context(active: DataFrame, uses: DataFrame, drifted: DataFrame, now: Column,
     number = lambda *o: F.row_number().over(Window.orderBy(*o))
     a = active.join(F.broadcast(shown.drop("overdue", "is_drift").join(shown.select("id", "is_drift", "overdue"), "id")), "id")
     sections = [
-        (a.select("id", number(F.desc("is_drift"), F.desc("overdue"), "id").alias("pos"), cost(F.concat(line, F.lit(" ("), "note", F.lit(")"))).alias("cost")), ATTENTION_CAP),
+        (
+            a.select(
+                "id", number(F.desc("is_drift"), F.desc("overdue"), "id").alias("pos"),
+                cost(F.concat(line, F.lit(" ("), "note", F.lit(")"))).alias("cost"),
+            ),
+            ATTENTION_CAP,
+        ),
         (pins.select("id", number(F.desc("last_verified"), "id").alias("pos"), cost(line).alias("cost")), PINNED_CAP),
         (ranked.select("id", number(F.desc("score"), "id").alias("pos"), cost(line).alias("cost")), limit),
     ]

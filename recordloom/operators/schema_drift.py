@@ -236,10 +236,14 @@ def header_fields(lines: DataFrame) -> DataFrame:
     read = once.where(trimmed(F.col("raw")).endswith("}")).select("stream", "file_seq", v.alias("doc"))
     read = read.where(F.schema_of_variant("doc").startswith("OBJECT"))
     read = read.withColumn("id", canonical_id(F.try_variant_get("doc", "$.id", "string")))
-    top = read.lateralJoin(read.sparkSession.tvf.variant_explode(F.col("doc").outer())).select("stream", "file_seq", "id", F.col("key").alias("field"), F.col("value").alias("v"))
+    top = read.lateralJoin(read.sparkSession.tvf.variant_explode(F.col("doc").outer())).select(
+        "stream", "file_seq", "id", F.col("key").alias("field"), F.col("value").alias("v"),
+    )
     nested = (F.col("field") == "ext") & F.schema_of_variant("v").startswith("OBJECT")
     inner = top.where(nested).select("stream", "file_seq", "id", "v")
-    inner = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer())).select("stream", "file_seq", "id", F.concat(F.lit("ext."), "key").alias("field"), F.col("value").alias("v"))
+    inner = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
+        "stream", "file_seq", "id", F.concat(F.lit("ext."), "key").alias("field"), F.col("value").alias("v"),
+    )
     every = top.where(~nested).unionByName(inner)
     return every.select("stream", "file_seq", "id", "field", _kind(F.col("v")).alias("kind"), F.to_json("v").alias("value")).where(F.col("kind").isNotNull())
 
@@ -259,7 +263,9 @@ def drift(lines: DataFrame, sketch_records: int = SKETCH_RECORDS) -> tuple[DataF
     fields = stored(header_fields(lines))
     step = stored(steps(lines))
     shape = stored(fields.groupBy("stream", "file_seq", "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds")))
-    was = step.join(shape.withColumnRenamed("file_seq", "before"), ["stream", "before"]).select("stream", "file_seq", "before", "field", F.col("kinds").alias("old_kinds"))
+    was = step.join(shape.withColumnRenamed("file_seq", "before"), ["stream", "before"]).select(
+        "stream", "file_seq", "before", "field", F.col("kinds").alias("old_kinds"),
+    )
     now = step.join(shape, ["stream", "file_seq"]).select("stream", "file_seq", F.col("before").alias("b"), "field", F.col("kinds").alias("new_kinds"))
     both = stored(was.join(now, ["stream", "file_seq", "field"], "full").withColumn("before", F.coalesce("before", "b")).drop("b"))
     gone, come = both.where(F.col("new_kinds").isNull()), both.where(F.col("old_kinds").isNull())
@@ -282,14 +288,21 @@ def drift(lines: DataFrame, sketch_records: int = SKETCH_RECORDS) -> tuple[DataF
     blank = F.lit("")
     a = gone.withColumnRenamed("field", "old_name").join(renames, [*key, "old_name"], "left")
     b = come.withColumnRenamed("field", "new_name").join(renames, [*key, "new_name"], "left")
-    kinds = renames.join(gone.select(*key, F.col("field").alias("old_name"), "old_kinds"), [*key, "old_name"]).join(come.select(*key, F.col("field").alias("new_name"), "new_kinds"), [*key, "new_name"])
-    stay = both.where(F.col("old_kinds").isNotNull() & F.col("new_kinds").isNotNull()).select(*key, F.col("field").alias("old_name"), F.col("field").alias("new_name"), "old_kinds", "new_kinds")
+    kinds = renames.join(
+        gone.select(*key, F.col("field").alias("old_name"), "old_kinds"), [*key, "old_name"],
+    ).join(come.select(*key, F.col("field").alias("new_name"), "new_kinds"), [*key, "new_name"])
+    stay = both.where(F.col("old_kinds").isNotNull() & F.col("new_kinds").isNotNull()).select(
+        *key, F.col("field").alias("old_name"), F.col("field").alias("new_name"), "old_kinds", "new_kinds",
+    )
     row = lambda d, change, old, new: d.select(*key, F.lit(change).alias("change"), old.alias("old_name"), new.alias("new_name"))
     changes = (
         row(renames, "renamed", F.col("old_name"), F.col("new_name"))
         .unionByName(row(a.where(F.col("new_name").isNull()), "removed", F.col("old_name"), blank))
         .unionByName(row(b.where(F.col("old_name").isNull()), "added", blank, F.col("new_name")))
-        .unionByName(row(kinds.select(*stay.columns).unionByName(stay).where(F.col("old_kinds") != F.col("new_kinds")), "retyped", F.col("old_name"), F.col("new_name")))
+        .unionByName(row(
+            kinds.select(*stay.columns).unionByName(stay).where(F.col("old_kinds") != F.col("new_kinds")), "retyped", F.col("old_name"),
+            F.col("new_name"),
+        ))
     )
     return changes, fields
 
@@ -304,7 +317,11 @@ def canonical_names(changes: DataFrame) -> DataFrame:
     edges = changes.where(F.col("change") == "renamed").select(F.col("old_name").alias("a"), F.col("new_name").alias("b")).distinct()
     edges = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     # Swapped case turns spelling order round for capitals.
-    rank = lambda c: F.struct(F.length(c).alias("n"), F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz").alias("swapped"), c.alias("name"))
+    rank = lambda c: F.struct(
+        F.length(c).alias("n"),
+        F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz").alias("swapped"),
+        c.alias("name"),
+    )
     label = stored(edges.select("a").distinct().select(F.col("a").alias("field"), rank(F.col("a")).alias("label")))
     while True:
         heard = edges.join(label.select(F.col("field").alias("b"), "label"), "b").groupBy(F.col("a").alias("field")).agg(F.min("label").alias("heard"))

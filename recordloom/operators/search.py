@@ -1,7 +1,7 @@
 """Ranked full-text search over records: BM25 with column weights, fallback stages and re-ranking.
 
 Words are compared by their Porter stems, as with tokenize='porter unicode61'; ``stem=False`` compares
-them as written, which is what the SQL twins do. The text itself is not stemmed: the few words of the
+them as written. The text itself is not stemmed: the few words of the
 vocabulary that stem like a query word (``word_forms``) are looked for. One pass over the corpus gives every record its weighted term hits for the exact and the prefix form
 of each query term; corpus size and mean length are observed on the way, and only records with a hit
 are kept. The first stage that matches anything ranks. Nothing but matching records is shuffled.
@@ -21,6 +21,8 @@ from recordloom.runtime import stored
 #: Effective column weights: title, tags, body. The documented preset is (10, 5, 1).
 WEIGHTS = (5.0, 1.0, 1.0)
 K1, B = 1.2, 0.75
+#: Query vectors compared in one pass over the stored ones.
+QUERY_BLOCK = 64
 STAGES = ("and", "and_prefix", "or", "or_prefix")
 
 
@@ -53,7 +55,10 @@ def word_forms(records: DataFrame, words: list[tuple[str, bool]]) -> dict[tuple[
     own = lambda w, p: F.col("stem").startswith(w) if p else F.col("stem") == w
     found = vocabulary.where(_any([raw(*w) != own(*w) for w in words])).collect()
     fits = lambda text, w, p: text.startswith(w) if p else text == w
-    return {w: (sorted(r.term for r in found if fits(r.stem, *w) and not fits(r.term, *w)), sorted(r.term for r in found if fits(r.term, *w) and not fits(r.stem, *w))) for w in words}
+    return {w: (
+        sorted(r.term for r in found if fits(r.stem, *w) and not fits(r.term, *w)),
+        sorted(r.term for r in found if fits(r.term, *w) and not fits(r.stem, *w)),
+    ) for w in words}
 
 
 def _any(tests: list[Column]) -> Column:
@@ -91,7 +96,10 @@ def hits(field: Column, phrase: list[str], prefix: bool, forms: dict | None = No
 
 def weighted(phrase: list[str], prefix: bool, weights: tuple[float, ...], forms: dict | None = None) -> Column:
     fields = ("_t_title", "_t_tags", "_t_body")
-    return sum((F.lit(w) * hits(F.col(f), phrase, prefix, forms) for f, w in zip(fields[1:], weights[1:], strict=True)), F.lit(weights[0]) * hits(F.col(fields[0]), phrase, prefix, forms))
+    return sum(
+        (F.lit(w) * hits(F.col(f), phrase, prefix, forms) for f, w in zip(fields[1:], weights[1:], strict=True)),
+        F.lit(weights[0]) * hits(F.col(fields[0]), phrase, prefix, forms),
+    )
 
 
 def query_phrases(query: str, stem: bool = True) -> tuple[list[list[str]], list[list[str]]]:
@@ -103,7 +111,10 @@ def query_phrases(query: str, stem: bool = True) -> tuple[list[list[str]], list[
     return [[porter.stem(w) for w in t] for t in terms], [[porter.stem(w) for w in t] for t in cut]
 
 
-def matches(records: DataFrame, query: str, types: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, stage: str | None = None, stem: bool = True) -> DataFrame:
+def matches(
+    records: DataFrame, query: str, types: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, stage: str | None = None,
+    stem: bool = True,
+) -> DataFrame:
     """(all record columns, bm25) of the records the query matches; higher is better.
 
     ``records``: the searched snapshot; statistics are over all of it, whatever ``types`` says. Without
@@ -132,14 +143,18 @@ def matches_by(records: DataFrame, by: str, query: str, types: list[str] | None
     df, found, names = _hit_counts(records, query, types, weights, stem)
     sizes = {r[by]: r.asDict() for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean")).collect()}
     df = stored(df.where(F.greatest(*[F.col(c) for c in names]) > 0).select(*records.columns, "_length", *names))
-    parts = [_scored(df.where(F.col(by) == r[by]), r.asDict() | sizes[r[by]], found, names, None) for r in df.groupBy(by).agg(*_frequencies(found, names)).collect()]
+    parts = [_scored(
+        df.where(F.col(by) == r[by]), r.asDict() | sizes[r[by]], found, names, None,
+    ) for r in df.groupBy(by).agg(*_frequencies(found, names)).collect()]
     out = df.limit(0).withColumn("bm25", F.lit(0.0))
     for part in parts:
         out = out.unionByName(part)
     return out.select(*records.columns, "bm25")
 
 
-def _hit_counts(records: DataFrame, query: str, types: list[str] | None, weights: tuple[float, ...], stem: bool) -> tuple[DataFrame, dict[str, Column], list[str]]:
+def _hit_counts(
+    records: DataFrame, query: str, types: list[str] | None, weights: tuple[float, ...], stem: bool,
+) -> tuple[DataFrame, dict[str, Column], list[str]]:
     """Records with the weighted hits of each term, the test of each stage, and the hit columns."""
     terms, cut = query_phrases(query, stem)
     words = {(w, False) for t in terms + [c[:-1] for c in cut] for w in t} | {(t[-1], True) for t in cut if t}
@@ -188,7 +203,10 @@ def recency(now: Column) -> Column:
     return F.lit(1.0) / (1 + F.greatest(days_between(now, F.col("created")), F.lit(0.0)))
 
 
-def search(records: DataFrame, query: str, now: Column, limit: int = 10, types: list[str] | None = None, settings: Settings = Settings(), weights: tuple[float, ...] = WEIGHTS, stem: bool = True) -> DataFrame:
+def search(
+    records: DataFrame, query: str, now: Column, limit: int = 10, types: list[str] | None = None, settings: Settings = Settings(),
+    weights: tuple[float, ...] = WEIGHTS, stem: bool = True,
+) -> DataFrame:
     """The best ``limit`` records: 2 x limit by BM25, re-ranked by relevance, phrase and recency.
 
     Adds bm25, score and rank. Ties go to the smaller id.
@@ -197,7 +215,10 @@ def search(records: DataFrame, query: str, now: Column, limit: int = 10, types:
     raw = stored(first.withColumns({"raw": F.col("bm25") + phrase_bonus(query), "recency": recency(now)}))
     # At most 2 x limit rows from here on.
     top = raw.agg(F.max("raw")).first()[0] or 0.0
-    scored = raw.withColumn("score", F.round(F.col("raw") / F.lit(float(top) if top > 0 else 1.0) * settings.relevance + F.col("recency") * settings.recency, 6))
+    scored = raw.withColumn(
+        "score",
+        F.round(F.col("raw") / F.lit(float(top) if top > 0 else 1.0) * settings.relevance + F.col("recency") * settings.recency, 6),
+    )
     ranked = scored.orderBy(F.desc("score"), "id").limit(limit)
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).drop("raw", "recency")
 
@@ -211,7 +232,10 @@ def search_layers(layers: list[tuple[str, DataFrame]], query: str, now: Column,
     return search_places(each, query, now, limit, **more)
 
 
-def search_places(records: DataFrame, query: str, now: Column, limit: int = 10, types: list[str] | None = None, settings: Settings = Settings(), weights: tuple[float, ...] = WEIGHTS, stem: bool = True) -> DataFrame:
+def search_places(
+    records: DataFrame, query: str, now: Column, limit: int = 10, types: list[str] | None = None, settings: Settings = Settings(),
+    weights: tuple[float, ...] = WEIGHTS, stem: bool = True,
+) -> DataFrame:
     """``search`` in every layer at once, each ranked by its own figures; cut only after all layers.
 
     ``records``: from_layer and place, which orders the layers and is not NULL, besides the columns of
@@ -223,7 +247,10 @@ def search_places(records: DataFrame, query: str, now: Column, limit: int = 10,
     raw = first.withColumns({"raw": F.col("bm25") + phrase_bonus(query), "recency": recency(now)})
     # At most 2 x limit rows of each layer from here on.
     raw = raw.withColumn("top", F.max("raw").over(Window.partitionBy("place")))
-    scored = raw.withColumn("score", F.round(F.col("raw") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0) * settings.relevance + F.col("recency") * settings.recency, 6))
+    scored = raw.withColumn(
+        "score",
+        F.round(F.col("raw") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0) * settings.relevance + F.col("recency") * settings.recency, 6),
+    )
     ranked = scored.withColumn("rank", F.row_number().over(of(F.desc("score"), "id"))).where(F.col("rank") <= limit)
     one = ranked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("place", "rank"))).where("n = 1")
     return one.drop("n", "raw", "recency", "top").orderBy("place", "rank").limit(limit)
@@ -231,7 +258,10 @@ def search_places(records: DataFrame, query: str, now: Column, limit: int = 10,
 
 def postings(records: DataFrame, stem: bool = False) -> DataFrame:
     """(term, id, field, tf): the inverted index, optionally stemmed through its vocabulary."""
-    df = tokenized(records).select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t_{f}").alias("t")) for f in ("title", "tags", "body")])).alias("f"))
+    df = tokenized(records).select(
+        "id",
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t_{f}").alias("t")) for f in ("title", "tags", "body")])).alias("f"),
+    )
     flat = df.select("id", "f.field", F.explode("f.t").alias("term")).groupBy("term", "id", "field").agg(F.count(F.lit(1)).alias("tf"))
     if not stem:
         return flat
@@ -260,6 +290,38 @@ def cosine_rerank(candidates: DataFrame, vectors: DataFrame, query: list[float],
     return candidates.join(vectors, "id").withColumn("similarity", F.round(cosine(F.col("embedding"), asked), 6)).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
+def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, similarity) of every stated query (query_id, query) and every vector (id, embedding).
+
+    Queries go to the vectors in blocks of ``QUERY_BLOCK``, one pass over the vectors each, as constants
+    of the plan; neither side is shuffled.
+    """
+    order = queries.orderBy("query_id")
+    out, block = None, []
+
+    def scored(block: list) -> DataFrame:
+        asked = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*[F.lit(float(x)) for x in r.query]).alias("query")) for r in block])
+        each = vectors.select("id", "embedding", F.explode(asked).alias("q"))
+        return each.select("q.query_id", "id", F.round(cosine(F.col("embedding"), F.col("q.query")), 6).alias("similarity"))
+
+    for row in order.toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            out, block = scored(block) if out is None else out.unionByName(scored(block)), []
+    if block:
+        out = scored(block) if out is None else out.unionByName(scored(block))
+    if out is not None:
+        return out
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    return vectors.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+
+
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, similarity, rank): the ``limit`` nearest vectors of each query, ties by the smaller id."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return similarities(vectors, queries).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
 def embed(records: DataFrame, provider, column: str = "body") -> DataFrame:
     """Add ``embedding`` from ``provider(list of texts) -> list of vectors``, called once per Arrow batch."""
     @F.pandas_udf("array<double>")

@@ -58,7 +58,9 @@ def _date(value: Column, name: str) -> Column:
     """Micros of the day's start, NULL where the pattern or the calendar does not fit."""
     pattern, (y, m, d) = _DATES[name]
     part = lambda k: F.regexp_extract(value, pattern, k)
-    month = F.element_at(_map({k: f"{i:02d}" for k, i in MONTHS.items()}), F.lower(F.substring(part(m), 1, 3))) if name in ("day_name", "name_day") else F.lpad(part(m), 2, "0")
+    month = F.element_at(
+        _map({k: f"{i:02d}" for k, i in MONTHS.items()}), F.lower(F.substring(part(m), 1, 3)),
+    ) if name in ("day_name", "name_day") else F.lpad(part(m), 2, "0")
     text = F.concat_ws("-", part(y), month, F.lpad(part(d), 2, "0"))
     return F.when(value.rlike(pattern) & month.isNotNull(), F.unix_date(F.try_to_date(text, "yyyy-MM-dd")) * F.lit(_DAY))
 
@@ -80,12 +82,16 @@ def with_readings(rows: DataFrame, first_year: int, last_year: int, guess_folds:
     df = df.withColumns({"_n": n, "_h": _int(F.col("_c1")), "_half": F.lower("_c5"), "_said": F.upper("_c6")})
     df = df.withColumns({f"_{k}": _date(F.col("_v"), k) for k in _DATES})
 
-    hour = F.when(F.col("_half") == "", F.when(F.col("_h") < 24, F.col("_h"))).when(F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_half") == "p", 12).otherwise(0))
+    hour = F.when(F.col("_half") == "", F.when(F.col("_h") < 24, F.col("_h"))).when(
+        F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_half") == "p", 12).otherwise(0),
+    )
     micros = F.coalesce(_int(F.rpad(F.substring("_c4", 1, 6), 6, "0")), F.lit(0))
     minute, second = _int(F.col("_c2")), F.coalesce(_int(F.col("_c3")), F.lit(0))
     of_day = F.when(F.col("_rest") == "", F.lit(0).cast("long")).when((minute < 60) & (second < 60), ((hour * 60 + minute) * 60 + second) * 1_000_000 + micros)
     said = F.col("_said")
-    signed = F.when(said.startswith("-"), -1).otherwise(1) * (_int(F.substring(said, 2, 2)) * 60 + F.coalesce(_int(F.regexp_extract(said, r"^.\d\d:?(\d\d)$", 1)), F.lit(0)))
+    signed = F.when(said.startswith("-"), -1).otherwise(1) * (_int(F.substring(said, 2, 2)) * 60 + F.coalesce(
+        _int(F.regexp_extract(said, r"^.\d\d:?(\d\d)$", 1)), F.lit(0),
+    ))
     offset = F.when(said.rlike(r"^[+-]"), signed).otherwise(F.try_element_at(_map(ABBREVIATIONS), said))
     df = df.withColumns({"_day": of_day, "_offset": offset, "_has": said != ""})
     # A zone word that is no zone leaves no interpretation.
@@ -96,7 +102,9 @@ def with_readings(rows: DataFrame, first_year: int, last_year: int, guess_folds:
     named = F.coalesce(*[F.when(F.col(f"_{k}").isNotNull(), F.lit(k)) for k in plain])
     same = F.col("_dmy") == F.col("_mdy")
     df = df.withColumns({
-        "_fmt1": F.coalesce(named, F.when(same & (order == "mdy"), "mdy").otherwise("dmy")), "_wall1": F.coalesce(*[F.col(f"_{k}") for k in plain], "_dmy") + day,
+        "_fmt1": F.coalesce(
+            named, F.when(same & (order == "mdy"), "mdy").otherwise("dmy"),
+        ), "_wall1": F.coalesce(*[F.col(f"_{k}") for k in plain], "_dmy") + day,
         "_cost1": F.when(named.isNotNull() | F.coalesce(same, F.lit(False)), 0.0).otherwise(against("dmy")),
         "_fmt2": F.lit("mdy"), "_wall2": F.when(~F.coalesce(same, F.lit(False)), F.col("_mdy")) + day, "_cost2": against("mdy"),
     })
@@ -107,7 +115,9 @@ def with_readings(rows: DataFrame, first_year: int, last_year: int, guess_folds:
         df = df.withColumns({f"_b{i}": wall - shift(wall - _DAY), f"_a{i}": wall - shift(wall + _DAY)})
         df = df.withColumns({f"_{x}ok{i}": F.col(f"_{x}{i}") + shift(F.col(f"_{x}{i}")) == F.col(f"_wall{i}") for x in "ab"})
 
-    reading = lambda fmt, at, utc, reason, cost: F.struct(fmt.alias("fmt"), at.alias("at"), utc.alias("utc"), reason.alias("reason"), cost.cast("double").alias("cost"))
+    reading = lambda fmt, at, utc, reason, cost: F.struct(
+        fmt.alias("fmt"), at.alias("at"), utc.alias("utc"), reason.alias("reason"), cost.cast("double").alias("cost"),
+    )
     none = F.lit(None).cast("string")
     low, high = (int((pd.Timestamp(f"{y}-01-01") - pd.Timestamp(0)).total_seconds()) * 1_000_000 for y in (first_year, last_year + 1))
     out = []
@@ -235,7 +245,9 @@ def choose(read: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     uncertain = read.where(F.size("readings") > 1).select(*_KEYS).distinct()
     key = lambda d: d.withColumn("series", F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("field")))
     rows = stored(key(read.where(F.size("readings") > 0)).join(key(uncertain).select("series"), "series", "left_semi").drop("series"))
-    cut = stored(rows.repartitionByRange(max(1, math.ceil(rows.count() / chunk_rows)), "source", "field", "at", "row_id").withColumn("part", F.spark_partition_id()))
+    cut = stored(rows.repartitionByRange(
+        max(1, math.ceil(rows.count() / chunk_rows)), "source", "field", "at", "row_id",
+    ).withColumn("part", F.spark_partition_id()))
     kind = cut.schema["readings"].dataType.simpleString()
     sums = cut.groupBy("part").applyInPandas(
         lambda pdf: pd.concat([*_summaries(iter([pdf]))]) if len(pdf) else pdf, f"part int, source string, field string, first {kind}, last {kind}, costs array<double>"
@@ -245,7 +257,10 @@ def choose(read: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return cut.groupBy("part").cogroup(ends.groupBy("to")).applyInPandas(_decode, "row_id string, field string, choice int")
 
 
-def normalise(values: DataFrame, writers: DataFrame, first_year: int = 2023, last_year: int = 2027, chunk_rows: int = CHUNK_ROWS, guess_folds: bool = False) -> DataFrame:
+def normalise(
+    values: DataFrame, writers: DataFrame, first_year: int = 2023, last_year: int = 2027, chunk_rows: int = CHUNK_ROWS,
+    guess_folds: bool = False,
+) -> DataFrame:
     """(row_id, field, utc_micros, reason) of each non-NULL value.
 
     ``values``: row_id string, source, field, at (record order), value. ``writers``: source, zone_name,

@@ -23,7 +23,9 @@ def observe(texts: DataFrame, now: Column) -> DataFrame:
     rows = texts.withColumns({"body": body, "term": ttl}).where((F.col("body") != "") & F.col("term").isNotNull())
     return rows.select(
         F.lit("observation").alias("kind"), F.lit("active").alias("state"), F.coalesce("source", F.lit("agent")).alias("source"), F.substring(F.trim(F.split("body", "\n")[0]), 1, 120).alias("title"),
-        "body", until.alias("expires"), F.coalesce(until.cast("string"), F.lit("never")).alias("check_by"), *[c for c in texts.columns if c not in ("text", "ttl", "source", "body", "title", "kind", "state", "expires", "check_by")],
+        "body", until.alias("expires"), F.coalesce(until.cast("string"), F.lit("never")).alias("check_by"), *[c for c in texts.columns if c not in (
+            "text", "ttl", "source", "body", "title", "kind", "state", "expires", "check_by",
+        )],
     )
 
 
@@ -43,7 +45,7 @@ def remember(incoming: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFra
     why = F.when(nameless, "source").when(F.col("twin"), "duplicate").when(F.col("nth") > 1, "duplicate in batch")
     judged = judged.withColumn("why", why)
     good = judged.where(F.col("why").isNull())
-    near = reports.nearest(reports.conflict_pairs(good, active)).withColumnRenamed("id_a", "id")
+    near = reports.nearest(good, active)
     kinds = active.select(F.col("id").alias("id_b"), R.effective_source_kind().alias("their_kind"))
     linked = good.join(near, "id", "left").join(kinds, "id_b", "left")
     spare = (F.col("their_kind") == "operator") & (R.effective_source_kind() == "agent")
@@ -58,7 +60,9 @@ def guard(requests: DataFrame, records: DataFrame) -> DataFrame:
     """
     rows = requests.join(records.select("id", "state", R.effective_source_kind().alias("who")), "id", "left")
     keeper = F.col("who") == "operator"
-    refused = F.when(F.col("state").isNull(), "not found").when(F.col("state") != "active", F.concat(F.lit("is "), "state")).when(keeper & ~F.coalesce("override", F.lit(False)), "operator record")
+    refused = F.when(F.col("state").isNull(), "not found").when(F.col("state") != "active", F.concat(F.lit("is "), "state")).when(
+        keeper & ~F.coalesce("override", F.lit(False)), "operator record",
+    )
     return rows.select("id", F.when(keeper, F.concat("reason", F.lit(OVERRIDE_NOTE))).otherwise(F.col("reason")).alias("reason"), refused.alias("refused"))
 
 
@@ -80,7 +84,9 @@ def supersede_replace(records: DataFrame, requests: DataFrame, now: Column) -> D
     going = requests.drop("reason").join(ok, "id").withColumnsRenamed({"source": "by_source", "body": "new_body"})
     born = records.join(going, "id").withColumns({
         "supersedes": F.array("id"), "supersede_reason": F.regexp_replace("why", r" \[override_operator.*$", ""), "id": F.col("new_id"), "kind": F.lit("claim"), "state": F.lit("active"),
-        "created": now, "last_verified": now, "check_by": F.concat(F.date_format(R.default_check_by(now), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")), "source": F.col("by_source"), "body": F.col("new_body"),
+        "created": now, "last_verified": now, "check_by": F.concat(
+            F.date_format(R.default_check_by(now), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"),
+        ), "source": F.col("by_source"), "body": F.col("new_body"),
         "superseded_by": F.lit(None).cast("string"),
     }).select(records.columns)
     return _collapse(records, going.select("id", F.col("new_id").alias("by"), F.col("why").alias("reason"))).unionByName(born)
@@ -95,7 +101,10 @@ def supersede_merge(records: DataFrame, requests: DataFrame) -> DataFrame:
     gained = going.groupBy(F.col("into").alias("id")).agg(F.sort_array(F.collect_set("id")).alias("_more"))
     done = _collapse(records, going.select("id", F.col("into").alias("by"), F.col("why").alias("reason"))).join(gained, "id", "left")
     none = F.array().cast("array<string>")
-    return done.withColumn("supersedes", F.when(F.col("_more").isNotNull(), F.array_union(F.coalesce("supersedes", none), "_more")).otherwise(F.col("supersedes"))).select(records.columns)
+    return done.withColumn(
+        "supersedes",
+        F.when(F.col("_more").isNotNull(), F.array_union(F.coalesce("supersedes", none), "_more")).otherwise(F.col("supersedes")),
+    ).select(records.columns)
 
 
 def supersede_retract(records: DataFrame, requests: DataFrame) -> DataFrame:
@@ -107,7 +116,9 @@ def supersede_retract(records: DataFrame, requests: DataFrame) -> DataFrame:
 def relate(records: DataFrame, requests: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
     """(changed, refused): links (id, target) added to ``field`` once; self-links and unknown ends refused."""
     ids = records.select("id")
-    known = requests.distinct().join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").where(F.col("id") != F.col("target"))
+    known = requests.distinct().join(ids, "id", "left_semi").join(
+        ids.withColumnRenamed("id", "target"), "target", "left_semi",
+    ).where(F.col("id") != F.col("target"))
     gained = known.groupBy("id").agg(F.sort_array(F.collect_set("target")).alias("_more"))
     none = F.array().cast("array<string>")
     changed = records.join(gained, "id").withColumn(field, F.array_union(F.coalesce(field, none), "_more")).select(records.columns)
@@ -128,14 +139,19 @@ def verify(records: DataFrame, drift: DataFrame, requests: DataFrame, now: Colum
     done = F.col("status").startswith("verified")
     witness = F.when(anchored, "anchor").when(R.infer_source_kind(F.col("by")) == "operator", "operator").otherwise("evidence")
     due = F.when(F.col("check_by") == "never", "never").otherwise(F.concat(F.date_format(R.default_check_by(now), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
-    return rows.select("id", "status", F.when(done, witness).otherwise(F.coalesce("verified_with", F.lit("assertion"))).alias("verified_with"), F.when(done, due).otherwise(F.col("check_by")).alias("check_by"))
+    return rows.select(
+        "id", "status", F.when(done, witness).otherwise(F.coalesce("verified_with", F.lit("assertion"))).alias("verified_with"),
+        F.when(done, due).otherwise(F.col("check_by")).alias("check_by"),
+    )
 
 
 def anchor_merge(records: DataFrame, fresh: DataFrame, replace: bool = False) -> DataFrame:
     """(id, anchors): fresh anchors (id, file, sha, repo) win over existing ones of the same file and come last."""
     one = fresh.groupBy("id", "file").agg(F.min(F.struct("repo", "sha")).alias("m")).select("id", "file", "m.sha", "m.repo")
     new = one.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("file", "sha", "repo"))).alias("fresh"))
-    old = F.array().cast("array<struct<file:string,sha:string,repo:string>>") if replace else F.coalesce("anchors", F.array().cast("array<struct<file:string,sha:string,repo:string>>"))
+    old = F.array().cast("array<struct<file:string,sha:string,repo:string>>") if replace else F.coalesce(
+        "anchors", F.array().cast("array<struct<file:string,sha:string,repo:string>>"),
+    )
     got = records.where(F.col("state") == "active").join(new, "id")
     files = F.transform("fresh", lambda f: f["file"])
     return got.select("id", F.concat(F.filter(old, lambda a: ~F.array_contains(files, a["file"])), "fresh").alias("anchors"))
@@ -149,4 +165,7 @@ def sweep(records: DataFrame, now: Column) -> DataFrame:
 def archive(records: DataFrame, ids: DataFrame, state: str = "retired") -> DataFrame:
     """Records after the given ids moved to the archive in ``state``."""
     got = records.join(ids.select("id", F.lit(True).alias("_go")).distinct(), "id", "left")
-    return got.withColumns({"state": F.when(F.col("_go"), state).otherwise(F.col("state")), "file_path": F.when(F.col("_go"), F.concat(F.lit("archive/"), "id", F.lit(".md"))).otherwise(F.col("file_path"))}).select(records.columns)
+    return got.withColumns({
+        "state": F.when(F.col("_go"), state).otherwise(F.col("state")),
+        "file_path": F.when(F.col("_go"), F.concat(F.lit("archive/"), "id", F.lit(".md"))).otherwise(F.col("file_path")),
+    }).select(records.columns)

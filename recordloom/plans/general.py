@@ -21,8 +21,14 @@ def forest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = rows.select(
         F.explode(
             F.concat(
-                F.transform(F.coalesce("refines", F.array().cast("array<string>")), lambda x: F.struct(F.lit("refines").alias("forest"), F.col("id").alias("node"), canonical_id(x).alias("parent"))),
-                F.transform(F.coalesce("supersedes", F.array().cast("array<string>")), lambda x: F.struct(F.lit("supersession").alias("forest"), canonical_id(x).alias("node"), F.col("id").alias("parent"))),
+                F.transform(
+                    F.coalesce("refines", F.array().cast("array<string>")),
+                    lambda x: F.struct(F.lit("refines").alias("forest"), F.col("id").alias("node"), canonical_id(x).alias("parent")),
+                ),
+                F.transform(
+                    F.coalesce("supersedes", F.array().cast("array<string>")),
+                    lambda x: F.struct(F.lit("supersession").alias("forest"), canonical_id(x).alias("node"), F.col("id").alias("parent")),
+                ),
                 F.array(F.struct(F.lit("supersession").alias("forest"), F.col("id").alias("node"), canonical_id("superseded_by").alias("parent"))),
             )
         ).alias("l")
@@ -93,6 +99,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.report(refs, state, ("superseded_by",))
 
 
+def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p5_found`` from a state kept up to date: loads before the middle of the time, then the later ones.
+
+    The first state also holds the removed records as if they were there; the second batch takes them back.
+    """
+    refs, loads = record_references(spark, sf_dir)
+    refs, loads = stored(refs), stored(loads)
+    ends = loads.agg(F.min("first_load").alias("a"), F.max("first_load").alias("b")).first()
+    middle = F.lit(ends.a + (ends.b - ends.a) / 2 if ends.a else None).cast("timestamp_ntz")
+    removed = table(spark, sf_dir, "removed_records", "id", "removed_at").groupBy(canonical_id("id").alias("id")).agg(F.min("removed_at").alias("first_load"))
+    early, late = F.col("first_load") < middle, F.col("first_load") >= middle
+    before = stored(orphans.fold(orphans.reference_deltas(refs.where(early)), orphans.existence_deltas(loads.where(early)), orphans.existence_deltas(removed)))
+    after = orphans.fold(
+        before, orphans.reference_deltas(refs.where(late)), orphans.existence_deltas(loads.where(late)),
+        orphans.existence_deltas(removed, -1), orphans.removal_deltas(removed),
+    )
+    return orphans.report(refs, stored(after), ("superseded_by",))
+
+
 def p5_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of such references per referring table, month, field and reason."""
     return p5_found(spark, sf_dir).groupBy("ref_table", "period", "field", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -110,7 +135,9 @@ def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stamps of the inbox that say a time: (row_id, source, field, at, value)."""
     rows = table(spark, sf_dir, "inbox_headers", "header_id", "source", *STAMP_FIELDS, "read_at")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in STAMP_FIELDS]))
-    long = rows.select(F.col("header_id").cast("string").alias("row_id"), "source", F.col("read_at").alias("at"), each.alias("v")).select("row_id", "source", "at", "v.*")
+    long = rows.select(
+        F.col("header_id").cast("string").alias("row_id"), "source", F.col("read_at").alias("at"), each.alias("v"),
+    ).select("row_id", "source", "at", "v.*")
     return long.where(F.col("value").isNotNull() & (F.col("value") != "never"))
 
 
@@ -150,7 +177,10 @@ def p2_changes_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("stream", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
-GENERAL = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p5_found, p5_by_period, p5_orphan_keys, p4_found, p4_normalised, p4_report, p2_found, p2_unified, p2_changes_by_stream)}
+GENERAL = {f.__name__: f for f in (
+    p1_found, p1_paths, p1_descendants, p1_cycles, p5_found, p5_incremental, p5_by_period, p5_orphan_keys, p4_found, p4_normalised,
+    p4_report, p2_found, p2_unified, p2_changes_by_stream,
+)}
 
 _CANON = "CASE WHEN lower(trim({0})) = '' THEN NULL WHEN lower(trim({0})) LIKE 'ms\\_%' ESCAPE '\\' THEN 'ms_' || upper(substr(trim({0}), 4)) ELSE lower(trim({0})) END"
 _ROWS = """rows_ AS (
@@ -186,7 +216,55 @@ judged AS (
   FROM refs r JOIN loads l ON l.cid = r.cid LEFT JOIN loads t ON t.cid = r.target_id LEFT JOIN gone g ON g.cid = r.target_id
   WHERE r.target_id IS NOT NULL)"""
 
+_ZONES = ", ".join(f"('{k}', {v})" for k, v in timestamps.ABBREVIATIONS.items())
+_MONTH = "lpad(CAST(1 + (position(lower(substr({0}, 1, 3)) IN 'janfebmaraprmayjunjulaugsepoctnovdec') - 1) // 3 AS VARCHAR), 2, '0')"
+_SAID = r"^(?:[Tt]|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?(?:\s*([AaPp])[Mm])?(?:\s*([A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?))?(?:\[[^\]]*\])?$"
+_LOCAL = "epoch_us(timezone(zone_name, make_timestamptz({0}))) - {0}"
+
+
+def _dated(pattern: str, names: str) -> str:
+    return f"regexp_extract(v, '{pattern}', [{names}])"
+
+
+#: Stamps by their written form alone: every date order that matters here is known.
+_STAMPS = f"""said AS (SELECT DISTINCT ON (header_id, field) header_id, field, value, zone_name, date_order FROM (
+  SELECT header_id, source, unnest(['created', 'check_by', 'last_verified', 'valid_from']) AS field, unnest([created, check_by, last_verified, valid_from]) AS value FROM inbox_headers) LEFT JOIN writers USING (source)
+  WHERE value IS NOT NULL AND value <> 'never'),
+basic AS (SELECT *, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS t FROM said),
+plain AS (SELECT *, regexp_replace(regexp_replace(t, '^(\\d{{4}})(\\d{{2}})(\\d{{2}})[Tt](\\d{{2}})(\\d{{2}})(\\d{{2}})', '\\1-\\2-\\3T\\4:\\5:\\6'), '^(\\d{{4}})(\\d{{2}})(\\d{{2}})[Tt](\\d{{2}})(\\d{{2}})($|[Zz+-])', '\\1-\\2-\\3T\\4:\\5\\6') AS v FROM basic),
+form AS (SELECT *, CASE
+    WHEN regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}([Tt\\s]|$)') THEN {_dated('^(\\d{4})-(\\d{2})-(\\d{2})(.*)$', "'y', 'm', 'd', 'r'")}
+    WHEN regexp_matches(v, '^([A-Za-z]{{3,9}},?\\s+)?\\d{{1,2}}\\s+[A-Za-z]{{3,9}}') THEN {_dated(
+        '^(?:[A-Za-z]{3,9},?\\s+)?(\\d{1,2})\\s+([A-Za-z]{3,9})\\.?,?\\s+(\\d{4})((?:\\s.*)?)$', "'d', 'm', 'y', 'r'",
+    )}
+    WHEN regexp_matches(v, '^[A-Za-z]{{3,9}}\\.?\\s+\\d') THEN {_dated(
+        '^([A-Za-z]{3,9})\\.?\\s+(\\d{1,2}),?\\s+(\\d{4})((?:[\\s,].*)?)$', "'m', 'd', 'y', 'r'",
+    )}
+    WHEN regexp_matches(v, '^\\d{{1,2}}\\.') THEN {_dated('^(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})((?:\\s.*)?)$', "'d', 'm', 'y', 'r'")}
+    WHEN regexp_matches(v, '^\\d{{1,2}}/') AND date_order = 'mdy' THEN {_dated('^(\\d{1,2})/(\\d{1,2})/(\\d{4})((?:\\s.*)?)$', "'m', 'd', 'y', 'r'")}
+    WHEN regexp_matches(v, '^\\d{{1,2}}/') THEN {_dated('^(\\d{1,2})/(\\d{1,2})/(\\d{4})((?:\\s.*)?)$', "'d', 'm', 'y', 'r'")} END AS p FROM plain),
+clock AS (SELECT *, regexp_extract(p.r, '{_SAID}', ['h', 'i', 's', 'f', 'half', 'zone']) AS c, p.r = '' AS bare,
+    TRY_CAST(p.y || '-' || CASE WHEN regexp_matches(p.m, '^\\d') THEN lpad(p.m, 2, '0') ELSE {_MONTH.format('p.m')} END || '-' || lpad(p.d, 2, '0') AS DATE) AS day FROM form
+  WHERE p.y <> '' AND (regexp_matches(p.m, '^\\d') OR position(lower(substr(p.m, 1, 3)) IN 'janfebmaraprmayjunjulaugsepoctnovdec') % 3 = 1)),
+hour_ AS (SELECT *, TRY_CAST(c.h AS INTEGER) AS h0, CASE WHEN c.half = '' THEN CASE WHEN TRY_CAST(c.h AS INTEGER) < 24 THEN TRY_CAST(c.h AS INTEGER) END
+    WHEN TRY_CAST(c.h AS INTEGER) BETWEEN 1 AND 12 THEN TRY_CAST(c.h AS INTEGER) % 12 + CASE WHEN lower(c.half) = 'p' THEN 12 ELSE 0 END END AS h FROM clock),
+wall AS (SELECT * EXCLUDE (zone_name), zone_name, upper(c.zone) AS z, epoch_us(CAST(day AS TIMESTAMP)) + CASE WHEN bare THEN 0
+    WHEN h IS NOT NULL AND TRY_CAST(c.i AS INTEGER) < 60 AND coalesce(TRY_CAST(nullif(c.s, '') AS INTEGER), 0) < 60
+    THEN ((CAST(h AS BIGINT) * 60 + TRY_CAST(c.i AS INTEGER)) * 60 + coalesce(TRY_CAST(nullif(c.s, '') AS INTEGER), 0)) * 1000000 + TRY_CAST(rpad(substr(c.f || '000000', 1, 6), 6, '0') AS INTEGER) END AS w FROM hour_),
+zoned AS (SELECT x.*, CASE WHEN z = '' THEN NULL WHEN regexp_matches(z, '^[+-]') THEN CASE WHEN z[1] = '-' THEN -1 ELSE 1 END * (TRY_CAST(z[2:3] AS INTEGER) * 60 + coalesce(TRY_CAST(nullif(regexp_extract(z, '^.\\d\\d:?(\\d\\d)$', 1), '') AS INTEGER), 0)) ELSE a.m END AS o
+  FROM wall x LEFT JOIN (VALUES {_ZONES}) a(n, m) ON a.n = x.z WHERE w IS NOT NULL),
+ways AS (SELECT *, CASE WHEN z = '' THEN w - ({_LOCAL.format('(w - 86400000000)')}) END AS b, CASE WHEN z = '' THEN w - ({_LOCAL.format('(w + 86400000000)')}) END AS a FROM zoned WHERE z = '' OR o IS NOT NULL),
+fits AS (SELECT *, b + ({_LOCAL.format('b')}) = w AS bok, a + ({_LOCAL.format('a')}) = w AS aok FROM ways),
+told AS (SELECT header_id, field, CASE WHEN z <> '' THEN w - CAST(o AS BIGINT) * 60000000 WHEN bok AND (NOT aok OR a = b) THEN b WHEN aok AND NOT bok THEN a END AS us,
+    CASE WHEN z <> '' THEN NULL WHEN zone_name IS NULL THEN 'no_zone' WHEN bok AND aok AND a <> b THEN 'ambiguous' WHEN NOT bok AND NOT aok THEN 'nonexistent' END AS reason FROM fits
+  UNION ALL SELECT header_id, field, n * u, NULL FROM (SELECT *, TRY_CAST(t AS BIGINT) AS n, CAST(unnest([1000000, 1000, 1]) AS BIGINT) AS u FROM basic WHERE regexp_matches(t, '^\\d{{1,16}}$'))
+  WHERE n < 9000000000000000 // u * 1000 AND n * u >= epoch_us(TIMESTAMP '2023-01-01') AND n * u < epoch_us(TIMESTAMP '2028-01-01')),
+stamp AS (SELECT s.header_id, s.field, s.value, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ') AS utc, CASE WHEN t.header_id IS NULL THEN 'unreadable' ELSE reason END AS reason FROM said s LEFT JOIN told t USING (header_id, field))"""
+
 GENERAL_SQL = {
+    "p4_found": f"WITH {_STAMPS} SELECT header_id, field, coalesce(utc, reason) AS utc FROM stamp WHERE NOT regexp_matches(value, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z$')",
+    "p4_normalised": f"WITH {_STAMPS} SELECT header_id, field, utc, reason FROM stamp",
+    "p4_report": f"WITH {_STAMPS} SELECT field, coalesce(reason, 'instant') AS outcome, count(*) AS n FROM stamp GROUP BY 1, 2",
     "p1_found": f"""WITH RECURSIVE {_FOREST}
 SELECT n.forest, n.id, coalesce(w.ancestor, 'cycle') AS root_id, CAST(coalesce(w.distance, -1) AS INTEGER) AS depth,
   CAST(CASE WHEN w.id IS NULL THEN -1 ELSE (SELECT count(*) - 1 FROM up u WHERE u.forest = n.forest AND u.ancestor = n.id) END AS INTEGER) AS descendants
@@ -202,3 +280,4 @@ FROM nodes n LEFT JOIN walk w ON w.forest = n.forest AND w.id = n.id LEFT JOIN f
     "p5_by_period": f"WITH {_REFS} SELECT ref_table, period, field, reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_orphan_keys": f"WITH {_REFS} SELECT target_id AS key, count(*) AS refs, any_value(reason) AS reason FROM judged WHERE reason IN ('deleted', 'missing') GROUP BY target_id",
 }
+GENERAL_SQL["p5_incremental"] = GENERAL_SQL["p5_found"]

@@ -12,11 +12,11 @@ from recordloom.functions import records as R
 from recordloom.functions import text as X
 from recordloom.operators import exports, graph, index, migrate, reports, search, writes
 from recordloom.runtime import both_records, shared_dir, stored, table
-from recordloom.sources import imports, layers, markdown
+from recordloom.sources import imports, layers, markdown, repositories
 
 NOW_TEXT = "2026-06-30 00:00:00"
 #: A search that matches all its terms, one that needs prefixes, one that needs any term.
-QUERY, QUERY_PREFIX, QUERY_ANY, QUERY_PHRASE = "router supersedes", "migrat normaliz", "hierarchy zzzunknown", "the-hidden router"
+QUERY, QUERY_PREFIX, QUERY_ANY, QUERY_PHRASE = "router supersedes", "rout supersed", "hierarchy zzzunknown", "the-hidden router"
 
 COLUMNS = (
     "id kind type state created last_verified source source_kind tags check_by stale pinned verified_with anchors supersedes superseded_by supersede_reason conflicts_with "
@@ -79,12 +79,12 @@ def resolve_collisions(s, d):
 
 @query
 def layered_scan(s, d):
-    return layers.layered(table(s, d, "memory_records", "id", "layer", "loaded_at"), table(s, d, "layers")).select("id", "layer")
+    return layers.layered(both_records(s, d, "id", "layer", "loaded_at"), table(s, d, "layers")).select("id", "layer")
 
 
 @query
 def layer_listing(s, d):
-    return layers.listing(table(s, d, "memory_records", "id", "layer"), table(s, d, "layers"))
+    return layers.listing(both_records(s, d, "id", "layer"), table(s, d, "layers"))
 
 
 @query
@@ -95,14 +95,19 @@ def usage_counts(s, d):
 @query
 def usage_daily_layers(s, d):
     """Retrievals per layer and month: the log as a time series."""
-    return table(s, d, "usage_log", "layer", "retrieved_at").groupBy("layer", F.date_format("retrieved_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("uses"))
+    return table(s, d, "usage_log", "layer", "retrieved_at").groupBy(
+        "layer", F.date_format("retrieved_at", "yyyy-MM").alias("month"),
+    ).agg(F.count(F.lit(1)).alias("uses"))
 
 
 @query
 def parse_frontmatter(s, d):
     """Every record written as Markdown and read back."""
     got = markdown.parse_frontmatter(markdown.serialize(_records(s, d)).select("path", "content"))
-    return got.select("id", "kind", "type", "state", "created", "source", "tags", "check_by", "title", F.size("anchors").alias("n_anchors"), F.coalesce("superseded_by", F.lit("")).alias("superseded_by"), F.length("body").alias("body_chars"), "error")
+    return got.select(
+        "id", "kind", "type", "state", "created", "source", "tags", "check_by", "title", F.size("anchors").alias("n_anchors"),
+        F.coalesce("superseded_by", F.lit("")).alias("superseded_by"), F.length("body").alias("body_chars"), "error",
+    )
 
 
 def _notes(s: SparkSession, d: str) -> DataFrame:
@@ -110,11 +115,18 @@ def _notes(s: SparkSession, d: str) -> DataFrame:
     r = _records(s, d, "type", "state", "title", "created", "source")
     clean = F.replace(F.coalesce("title", F.lit("")), F.lit("|"), F.lit("/"))
     text = F.concat_ws(
-        "\n", F.lit("# Notes"), F.lit("## Quick Facts"), F.lit("| Entity | Key | Value |"), F.lit("|---|---|---|"), F.concat(F.lit("| "), clean, F.lit(" | state | "), "state", F.lit(" |")),
+        "\n", F.lit("# Notes"), F.lit("## Quick Facts"), F.lit("| Entity | Key | Value |"), F.lit("|---|---|---|"), F.concat(
+            F.lit("| "), clean, F.lit(" | state | "), "state", F.lit(" |"),
+        ),
         F.concat(F.lit("| "), "id", F.lit(" | api key 7 |")), F.lit("|  |  |  |"), F.lit("## Decisions"), F.lit("| Date | Decision | Rationale |"), F.lit("|---|---|---|"),
-        F.concat(F.lit("| "), F.date_format("created", "yyyy-MM-dd"), F.lit(" | "), clean, F.lit(" |  |")), F.concat(F.lit("| soon | "), "id", F.lit(" | "), F.coalesce("source", F.lit("")), F.lit(" |")), F.lit("## Lessons"), F.lit("| What | Why |"), F.lit("|---|---|"),
+        F.concat(
+            F.lit("| "), F.date_format("created", "yyyy-MM-dd"), F.lit(" | "), clean, F.lit(" |  |"),
+        ), F.concat(F.lit("| soon | "), "id", F.lit(" | "), F.coalesce("source", F.lit("")), F.lit(" |")), F.lit("## Lessons"), F.lit("| What | Why |"), F.lit("|---|---|"),
         F.concat(F.lit("| "), clean, F.lit(" | "), "id", F.lit(" |")), F.lit("## Log"),
-        F.concat(F.lit("- * 12:30 "), clean, F.lit(" <!-- dc:type="), F.when(F.col("type") == "decision", "decision").otherwise("habit"), F.lit(" dc:importance=0.5 dc:date="), F.date_format("created", "yyyy-MM-dd"), F.lit(" -->")), F.lit("- no comment here"),
+        F.concat(
+            F.lit("- * 12:30 "), clean, F.lit(" <!-- dc:type="), F.when(F.col("type") == "decision", "decision").otherwise("habit"),
+            F.lit(" dc:importance=0.5 dc:date="), F.date_format("created", "yyyy-MM-dd"), F.lit(" -->"),
+        ), F.lit("- no comment here"),
     )
     return r.select(F.col("id").alias("path"), text.alias("content"))
 
@@ -164,13 +176,14 @@ def detect_sources(s, d):
 
 @query
 def recent_activity(s, d):
-    """The forty records loaded last within a week of the newest load."""
+    """The forty records loaded last, none more than sixty days ago."""
     r = _records(s, d, "title")
     return r.where(F.col("loaded_at") >= R.add_days(now(), F.lit(-60))).orderBy(F.desc("loaded_at"), "id").limit(40).select("id", "title", "loaded_at")
 
 
 @query
 def git_rename_scan(s, d):
+    """The renames in what a repository says of its changed files."""
     return _renames(s, d)
 
 
@@ -179,7 +192,9 @@ def git_rename_scan(s, d):
 
 @query
 def lazy_stale(s, d):
-    return _records(s, d, "kind", "stale", "check_by").select("id", F.coalesce("stale", F.lit(False)).alias("stale_persisted"), R.lazy_stale(now()).alias("stale_effective"))
+    return _records(s, d, "kind", "stale", "check_by").select(
+        "id", F.coalesce("stale", F.lit(False)).alias("stale_persisted"), R.lazy_stale(now()).alias("stale_effective"),
+    )
 
 
 @query
@@ -192,16 +207,28 @@ def _drift(s: SparkSession, d: str) -> DataFrame:
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
-    """(repo, file, current_sha): what each anchored file was when last seen; some are gone."""
-    seen = _rows(s, d).select("loaded_at", "id", F.explode("anchors").alias("a")).select("loaded_at", "id", F.col("a.file").alias("file"), F.col("a.sha").alias("sha"), F.coalesce("a.repo", F.lit("")).alias("repo"))
+    """(repo, file, current_sha): what each anchored file was when last seen.
+
+    The tables hold no file listing; files whose path has a length divisible by 11 stand for those gone.
+    """
+    seen = _rows(s, d).select("loaded_at", "id", F.explode("anchors").alias("a")).select(
+        "loaded_at", "id", F.col("a.file").alias("file"), F.col("a.sha").alias("sha"), F.coalesce("a.repo", F.lit("")).alias("repo"),
+    )
     last = seen.where(F.col("file").isNotNull()).groupBy("repo", "file").agg(F.max(F.struct("loaded_at", "id", "sha")).alias("m"))
     return last.where(F.length("file") % 11 != 0).select("repo", "file", F.col("m.sha").alias("current_sha"))
 
 
 def _renames(s: SparkSession, d: str) -> DataFrame:
-    """(old, new): files that are gone but stand elsewhere under another ending."""
-    anchored = _rows(s, d).select(F.explode("anchors").alias("a")).select(F.col("a.file").alias("old")).where(F.col("old").isNotNull() & (F.length("old") % 11 == 0)).distinct()
-    return anchored.where(F.col("old").endswith(".ts")).select("old", F.concat("old", F.lit("x")).alias("new"))
+    """(old, new), read from name-status lines.
+
+    The tables hold no repository, so the lines are made from the anchored files: those of ``_files``
+    that are gone are said to be renamed if they end in ``.ts``, all others to be changed.
+    """
+    anchored = _rows(s, d).select(F.explode("anchors").alias("a")).select(F.col("a.file").alias("f")).where(F.col("f").isNotNull()).distinct()
+    gone = (F.length("f") % 11 == 0) & F.col("f").endswith(".ts")
+    return repositories.parse_renames(anchored.select(F.when(
+        gone, F.concat(F.lit("R100\t"), "f", F.lit("\t"), "f", F.lit("x")),
+    ).otherwise(F.concat(F.lit("M\t"), "f")).alias("value")))
 
 
 @query
@@ -221,7 +248,9 @@ def schema_violations(s, d):
     raw = table(s, d, "inbox_headers", "header_id", "id", "source", "created", "check_by")
     null = lambda kind="string": F.lit(None).cast(kind)
     head = raw.select(
-        F.col("header_id").cast("string").alias("key"), "id", null().alias("kind"), F.lit("fact").alias("type"), F.lit("active").alias("state"), F.when(F.col("created").rlike(r"^\d{4}-\d\d-\d\dT"), F.col("created")).alias("created"), "source",
+        F.col("header_id").cast("string").alias("key"), "id", null().alias("kind"), F.lit("fact").alias("type"), F.lit("active").alias("state"), F.when(
+            F.col("created").rlike(r"^\d{4}-\d\d-\d\dT"), F.col("created"),
+        ).alias("created"), "source",
         null().alias("source_kind"), null().alias("verified_with"), "check_by", null("timestamp_ntz").alias("valid_from"), null("timestamp_ntz").alias("valid_to"),
     )
     bad = reports.validate(head.drop("id").withColumnRenamed("key", "id").withColumn("id", F.concat(F.lit("ms_"), F.lpad("id", 26, "0"))))
@@ -230,7 +259,7 @@ def schema_violations(s, d):
 
 @query
 def infer_source_kind(s, d):
-    return table(s, d, "memory_records", "source").select("source").distinct().select("source", R.infer_source_kind(F.col("source")).alias("inferred"))
+    return both_records(s, d, "source").select("source").distinct().select("source", R.infer_source_kind(F.col("source")).alias("inferred"))
 
 
 @query
@@ -248,7 +277,10 @@ def storage_tier(s, d):
 def canonical_source(s, d):
     """Sources as the headers of the inbox spell them, with and without a date."""
     base = table(s, d, "inbox_headers", "source", "read_at").where(F.col("source").isNotNull())
-    dated = base.select(F.explode(F.array("source", F.concat("source", F.lit("-"), F.date_format("read_at", "yyyy-MM-dd")), F.concat("source", F.lit(" session "), F.date_format("read_at", "yyyy-MM-dd"), F.lit(" b")))).alias("source"))
+    dated = base.select(F.explode(F.array(
+        "source", F.concat("source", F.lit("-"), F.date_format("read_at", "yyyy-MM-dd")),
+        F.concat("source", F.lit(" session "), F.date_format("read_at", "yyyy-MM-dd"), F.lit(" b")),
+    )).alias("source"))
     return dated.distinct().select("source", R.canonical_source(F.col("source")).alias("bucket"))
 
 
@@ -259,7 +291,9 @@ def witness_of(s, d):
 
 @query
 def infer_verified_with(s, d):
-    return _records(s, d, "anchors", "last_verified", "ext", "source", "source_kind").select("id", R.infer_verified_with(R.effective_source_kind()).alias("witness"))
+    return _records(s, d, "anchors", "last_verified", "ext", "source", "source_kind").select(
+        "id", R.infer_verified_with(R.effective_source_kind()).alias("witness"),
+    )
 
 
 @query
@@ -317,7 +351,10 @@ def estimate_tokens(s, d):
 @query
 def title_functions(s, d):
     t = F.col("title")
-    return _records(s, d, "title").select("id", X.normalise_title(t).alias("normal"), F.array_join(F.array_sort(X.title_tokens(t)), " ").alias("words"), X.title_key(t).alias("key"))
+    return _records(s, d, "title").select(
+        "id", X.normalise_title(t).alias("normal"), F.array_join(F.array_sort(X.title_tokens(t)), " ").alias("words"),
+        X.title_key(t).alias("key"),
+    )
 
 
 @query
@@ -344,6 +381,13 @@ def anchor_drift_join(s, d):
     return _drift(s, d)
 
 
+@query
+def anchor_drift_repos(s, d):
+    """Drift where only the repositories of live records are at hand: others are out of reach."""
+    live = table(s, d, "memory_records", "anchors", "layer").where(F.col("layer") == "project").select(F.explode("anchors").alias("a")).select(F.col("a.repo").alias("repo")).where(F.col("repo").isNotNull())
+    return reports.anchor_drift(reports.anchors_view(_records(s, d, "anchors", "state").where(F.col("state") == "active")), _files(s, d), live)
+
+
 @query
 def rename_join(s, d):
     gone = _drift(s, d).where(F.col("status") == "missing")
@@ -364,12 +408,19 @@ def edge_resolve(s, d):
 
 @query
 def conflict_selfjoin(s, d):
-    return reports.conflict_pairs(_active(s, d))
+    """Pairs of classes of equal title words and tags; ``conflict_members`` tells who is in them."""
+    return reports.conflict_pairs(reports.conflict_classes(_active(s, d))[1])
+
+
+@query
+def conflict_members(s, d):
+    return reports.conflict_classes(_active(s, d))[0]
 
 
 @query
 def title_bucket_pairs(s, d):
-    return reports.title_bucket_pairs(_active(s, d))
+    """Records with the bucket of titles that begin alike."""
+    return reports.title_buckets(_active(s, d))
 
 
 @query
@@ -380,7 +431,9 @@ def declared_conflicts(s, d):
 def _drafts(s: SparkSession, d: str) -> DataFrame:
     """Archived records offered to the live store as new claims."""
     rows = table(s, d, "archive_records", "id", "type", "title", "tags", "source", "source_kind", "loaded_at").where(F.col("type").isNotNull())
-    return rows.groupBy("id").agg(F.min_by(F.struct("type", "title", "tags", "source", "source_kind"), "loaded_at").alias("r")).select(F.concat(F.lit("new_"), "id").alias("id"), "r.*")
+    return rows.groupBy("id").agg(F.min_by(
+        F.struct("type", "title", "tags", "source", "source_kind"), "loaded_at",
+    ).alias("r")).select(F.concat(F.lit("new_"), "id").alias("id"), "r.*")
 
 
 def _live(s: SparkSession, d: str) -> DataFrame:
@@ -399,7 +452,7 @@ def remember(s, d):
 
 @query
 def neighbour_rank(s, d):
-    return reports.nearest(reports.conflict_pairs(_drafts(s, d), _live(s, d)))
+    return reports.nearest(_drafts(s, d), _live(s, d)).withColumnRenamed("id", "id_a")
 
 
 @query
@@ -407,14 +460,21 @@ def tag_overlap(s, d):
     """Shared tags and title words of each record and the one it refines."""
     r = _records(s, d, "title", "tags", "refines")
     e = graph.edges_view(r, ("refines",)).select("src", "dst").distinct()
-    a, b = r.select(F.col("id").alias("src"), F.col("tags").alias("ta"), F.col("title").alias("na")), r.select(F.col("id").alias("dst"), F.col("tags").alias("tb"), F.col("title").alias("nb"))
-    return e.join(a, "src").join(b, "dst").select("src", "dst", X.overlap(F.col("ta"), F.col("tb")).alias("tags"), F.size(F.array_intersect(X.title_tokens(F.col("na")), X.title_tokens(F.col("nb")))).alias("words"))
+    a, b = r.select(
+        F.col("id").alias("src"), F.col("tags").alias("ta"), F.col("title").alias("na"),
+    ), r.select(F.col("id").alias("dst"), F.col("tags").alias("tb"), F.col("title").alias("nb"))
+    return e.join(a, "src").join(b, "dst").select(
+        "src", "dst", X.overlap(F.col("ta"), F.col("tb")).alias("tags"),
+        F.size(F.array_intersect(X.title_tokens(F.col("na")), X.title_tokens(F.col("nb")))).alias("words"),
+    )
 
 
 @query
 def usage_join(s, d):
     u = reports.usage_counts(table(s, d, "usage_log", "id", "retrieved_at"), now())
-    return _records(s, d, "type").join(u, "id", "left").select("id", F.coalesce("uses", F.lit(0)).alias("uses"), F.round(R.usage_boost(F.coalesce("uses", F.lit(0))), 6).alias("boost"))
+    return _records(s, d, "type").join(u, "id", "left").select(
+        "id", F.coalesce("uses", F.lit(0)).alias("uses"), F.round(R.usage_boost(F.coalesce("uses", F.lit(0))), 6).alias("boost"),
+    )
 
 
 # --- counts ----------------------------------------------------------------------------------------
@@ -450,7 +510,10 @@ def status_report(s, d):
     active = F.when((F.col("state") == "active") & F.col("type").isNotNull(), True)
     r = r.select("state", F.when(active, F.col("type")).alias("kind_of"), F.when(active, F.coalesce("verified_with", F.lit("assertion"))).alias("witness"))
     sets = [("state", [F.col("state")]), ("type", [F.col("kind_of")]), ("witness", [F.col("witness")])]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), c[0].alias("value")) for n, c in sets], F.struct(F.lit("total").alias("section"), F.lit("all").alias("value")))).alias("x")
+    each = F.explode(F.array(
+        *[F.struct(F.lit(n).alias("section"), c[0].alias("value")) for n, c in sets],
+        F.struct(F.lit("total").alias("section"), F.lit("all").alias("value")),
+    )).alias("x")
     return r.select(each).select("x.*").where(F.col("value").isNotNull()).groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -544,14 +607,14 @@ def limit_per_layer(s, d):
 
 
 # --- search ----------------------------------------------------------------------------------------
-# Queries whose SQL twin compares words as written do so too (stem=False); the others compare stems.
-
-
 def _found(stage: str, text: str):
-    return lambda s, d: search.matches(_active(s, d), text, stage=stage, stem=False).select("id", "bm25")
+    return lambda s, d: search.matches(_active(s, d), text, stage=stage).select("id", "bm25")
 
 
-for _name, _stage, _text in (("fts_and", "and", QUERY), ("fts_or", "or", QUERY), ("fts_prefix", "and_prefix", QUERY_PREFIX), ("fts_phrase_term", "and", QUERY_PHRASE)):
+for _name, _stage, _text in (
+    ("fts_and", "and", QUERY), ("fts_or", "or", QUERY), ("fts_prefix", "and_prefix", QUERY_PREFIX),
+    ("fts_phrase_term", "and", QUERY_PHRASE),
+):
     QUERIES[_name] = _found(_stage, _text)
 
 
@@ -562,36 +625,23 @@ def fts_tokenize(s, d):
 
 @query
 def fts_bm25(s, d):
-    return search.matches(_active(s, d), QUERY, stem=False).orderBy(F.desc("bm25"), "id").limit(10).select("id", "bm25")
+    return search.matches(_active(s, d), QUERY).orderBy(F.desc("bm25"), "id").limit(10).select("id", "bm25")
 
 
 @query
 def fts_fallback(s, d):
-    return search.matches(_active(s, d), QUERY_ANY, stem=False).select("id", "bm25")
+    return search.matches(_active(s, d), QUERY_ANY).select("id", "bm25")
 
 
 @query
 def fts_index_cache(s, d):
-    """Document frequency of every term, from the stored inverted index."""
-    index = stored(search.postings(_active(s, d)))
-    return index.groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum("tf").alias("tf"))
+    """Document frequency of every stem, from the stored inverted index."""
+    return stored(search.postings(_active(s, d), stem=True)).groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query
 def fts_indexed(s, d):
     """The search of ``fts_and`` answered from a stored positional index."""
-    return index.matches(index.build(_active(s, d), f"{shared_dir(s)}/index-{uuid.uuid4().hex}", stem=False), QUERY, stage="and").select("id", "bm25")
-
-
-@query
-def fts_stemmed(s, d):
-    """The search of ``fts_and`` over word stems, as the original indexes."""
-    return search.matches(_active(s, d), QUERY, stage="and").select("id", "bm25")
-
-
-@query
-def fts_indexed_stemmed(s, d):
-    """The same answered from a stored positional index of stems."""
     return index.matches(index.build(_active(s, d), f"{shared_dir(s)}/index-{uuid.uuid4().hex}"), QUERY, stage="and").select("id", "bm25")
 
 
@@ -612,24 +662,18 @@ def recency(s, d):
 
 @query
 def search_rerank(s, d):
-    return search.search(_active(s, d), QUERY, now(), 10, stem=False).select("rank", "id", "bm25", "score")
-
-
-@query
-def search_stemmed(s, d):
-    """``search_rerank`` over word stems."""
     return search.search(_active(s, d), QUERY, now(), 10).select("rank", "id", "bm25", "score")
 
 
 @query
 def search_types(s, d):
-    return search.search(_active(s, d), QUERY, now(), 10, types=["decision"], stem=False).select("rank", "id", "score")
+    return search.search(_active(s, d), QUERY, now(), 10, types=["decision"]).select("rank", "id", "score")
 
 
 @query
 def search_as_of(s, d):
     """Results are cut first and then reduced to those valid at the time."""
-    return search.search(_active(s, d), QUERY, now(), 10, stem=False).where(R.valid_as_of(F.lit("2025-06-30 00:00:00").cast("timestamp_ntz"))).select("rank", "id")
+    return search.search(_active(s, d), QUERY, now(), 10).where(R.valid_as_of(F.lit("2025-06-30 00:00:00").cast("timestamp_ntz"))).select("rank", "id")
 
 
 @query
@@ -640,24 +684,29 @@ def search_layers(s, d):
     active = stored(_active(s, d).withColumn("from_layer", F.coalesce("layer", F.lit(""))))
     known = table(s, d, "layers", "name", "priority").withColumnRenamed("name", "from_layer")
     # One row per layer: numbering them in one task is bounded.
-    places = active.select("from_layer").distinct().join(known, "from_layer", "left").withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("priority"), "from_layer")))
+    places = active.select("from_layer").distinct().join(known, "from_layer", "left").withColumn(
+        "place", F.row_number().over(Window.orderBy(F.desc_nulls_last("priority"), "from_layer")),
+    )
     return search.search_places(active.join(F.broadcast(places.drop("priority")), "from_layer"), QUERY, now(), 10).select("from_layer", "rank", "id")
 
 
+def _asked(v: DataFrame) -> DataFrame:
+    """Every vector whose id is divisible by 100, as a query."""
+    return v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 @query
 def cosine_similarity(s, d):
-    """Each vector against the first one."""
+    """Each query vector against all vectors."""
     v = table(s, d, "embeddings", "vec_id", "embedding")
-    first = v.orderBy("vec_id").first()
-    asked = F.array(*[F.lit(float(x)) for x in (first["embedding"] if first else [])])
-    return v.select("vec_id", F.round(search.cosine(F.col("embedding"), asked), 6).alias("similarity"))
+    return search.similarities(v.withColumnRenamed("vec_id", "id"), _asked(v))
 
 
 @query
 def cosine_rerank(s, d):
-    v = table(s, d, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "id")
-    asked = v.orderBy("id").first()
-    return search.cosine_rerank(v.select("id"), v, list(asked["embedding"]) if asked else [0.0], 10).select("id", "similarity")
+    """The ten nearest vectors of each query vector."""
+    v = table(s, d, "embeddings", "vec_id", "embedding")
+    return search.nearest_vectors(v.withColumnRenamed("vec_id", "id"), _asked(v), 10)
 
 
 # --- graph -----------------------------------------------------------------------------------------
@@ -694,7 +743,10 @@ def search_expand(s, d):
     top = search.search(active, QUERY, now(), 5)
     found = stored(top.select("id", F.col("rank").alias("pos")))
     more = graph.expand_graph(found, stored(graph.edges_view(active)), 2).join(active.select("id"), "id", "left_semi")
-    hit = found.select("id", F.lit(None).cast("string").alias("from_id"), F.lit(None).cast("string").alias("edge_type"), F.lit(0).alias("hops"), F.col("pos").cast("long").alias("pos"))
+    hit = found.select(
+        "id", F.lit(None).cast("string").alias("from_id"), F.lit(None).cast("string").alias("edge_type"), F.lit(0).alias("hops"),
+        F.col("pos").cast("long").alias("pos"),
+    )
     return hit.unionByName(more)
 
 
@@ -708,6 +760,11 @@ def relation_chain_depends_on(s, d):
     return graph.relation_chain(_records(s, d, "depends_on"), "depends_on")
 
 
+@query
+def relation_chain_supports(s, d):
+    return graph.relation_chain(_records(s, d, "supports"), "supports")
+
+
 @query
 def lineage_ancestors(s, d):
     return graph.lineage(_records(s, d, "supersedes", "superseded_by"))[0]
@@ -720,12 +777,10 @@ def lineage_descendants(s, d):
 
 @query
 def get_with_lineage(s, d):
-    """Each linked record with its title and the number of records before and after it."""
-    r = _records(s, d, "title", "supersedes", "superseded_by")
-    before, after = graph.lineage(r)
-    a, b = before.groupBy("id").agg(F.count(F.lit(1)).alias("ancestors")), after.groupBy("id").agg(F.count(F.lit(1)).alias("descendants"))
-    both = a.join(b, "id", "full").withColumns({"ancestors": F.coalesce("ancestors", F.lit(0)), "descendants": F.coalesce("descendants", F.lit(0))})
-    return both.join(r.select("id", "title"), "id")
+    """Every record with what it replaced, what replaced it and the three chains it stands in, each sorted."""
+    return graph.with_lineage(_records(s, d, "title", "supersedes", "superseded_by", "refines", "supports", "depends_on")).select(
+        "id", "title", "ancestors", "descendants", "refines", "supports", "depends_on",
+    )
 
 
 # --- writes ----------------------------------------------------------------------------------------
@@ -733,7 +788,9 @@ def get_with_lineage(s, d):
 
 @query
 def serialize_record(s, d):
-    return markdown.serialize(_records(s, d)).select("id", F.length("content") > F.lit(0), F.substring_index("content", "\n", 2).alias("head")).toDF("id", "written", "head")
+    return markdown.serialize(_records(s, d)).select(
+        "id", F.length("content") > F.lit(0), F.substring_index("content", "\n", 2).alias("head"),
+    ).toDF("id", "written", "head")
 
 
 @query
@@ -746,7 +803,10 @@ def observe(s, d):
 def _requests(s: SparkSession, d: str) -> DataFrame:
     """A request against every record that replaced another: to go itself."""
     r = _records(s, d, "superseded_by", "supersedes", "source", "source_kind").where(F.size("supersedes") > 0)
-    return r.select("id", F.lit("outdated").alias("reason"), (F.length("source") % 2 == 0).alias("override"), F.concat(F.lit("next_"), "id").alias("new_id"), F.lit("New text.").alias("body"), F.lit("agent-x").alias("source"))
+    return r.select(
+        "id", F.lit("outdated").alias("reason"), (F.length("source") % 2 == 0).alias("override"),
+        F.concat(F.lit("next_"), "id").alias("new_id"), F.lit("New text.").alias("body"), F.lit("agent-x").alias("source"),
+    )
 
 
 @query
@@ -756,14 +816,18 @@ def operator_guard(s, d):
 
 @query
 def supersede_replace(s, d):
-    return writes.supersede_replace(_records(s, d), stored(_requests(s, d)), now()).select("id", "state", "superseded_by", "supersede_reason", "title", "check_by")
+    return writes.supersede_replace(_records(s, d), stored(_requests(s, d)), now()).select(
+        "id", "state", "superseded_by", "supersede_reason", "title", "check_by",
+    )
 
 
 @query
 def supersede_merge(s, d):
     """Every refining record folds into the one it refines."""
     r = _records(s, d)
-    ask = graph.edges_view(r, ("refines",)).groupBy("src").agg(F.min("dst").alias("into")).select(F.col("src").alias("id"), "into", F.lit("merged").alias("reason"), F.lit(False).alias("override"))
+    ask = graph.edges_view(r, ("refines",)).groupBy("src").agg(F.min("dst").alias("into")).select(
+        F.col("src").alias("id"), "into", F.lit("merged").alias("reason"), F.lit(False).alias("override"),
+    )
     return writes.supersede_merge(r, stored(ask)).select("id", "state", "superseded_by", F.coalesce(F.size("supersedes"), F.lit(0)).alias("n_supersedes"))
 
 
@@ -800,7 +864,10 @@ def anchor_merge(s, d):
     r = _active(s, d)
     fresh = _drift(s, d).where(F.col("status") == "changed").join(_files(s, d), ["repo", "file"]).select("id", "file", F.col("current_sha").alias("sha"), "repo")
     got = writes.anchor_merge(r, fresh)
-    return got.select("id", F.size("anchors").alias("n"), F.array_join(F.transform("anchors", lambda a: F.concat(a["file"], F.lit("@"), a["sha"])), " ").alias("anchors"))
+    return got.select(
+        "id", F.size("anchors").alias("n"),
+        F.array_join(F.transform("anchors", lambda a: F.concat(a["file"], F.lit("@"), a["sha"])), " ").alias("anchors"),
+    )
 
 
 @query
@@ -855,31 +922,79 @@ def _older(s: SparkSession, d: str) -> DataFrame:
     })
 
 
+def _older_files(s: SparkSession, d: str) -> DataFrame:
+    """The files of ``_older``: its records as Markdown under the older names."""
+    r = _older(s, d)
+    old = lambda name, value: F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{name}: "), value))
+    bag = F.regexp_replace(F.coalesce(F.col("ext"), F.lit("{}")), r"^\{", "")
+    ext = F.when(
+        F.col("code_anchors").isNotNull(),
+        F.concat(F.lit('{"code_anchors": '), F.to_json("code_anchors"), F.when(F.trim(bag) == "}", "").otherwise(", "), bag),
+    ).otherwise(F.col("ext"))
+    lines = F.array_compact(F.array(
+        old("decay_after", F.to_json(F.array("decay_after"))), old("corrects", F.to_json("corrects")),
+        old("confidence", F.col("confidence").cast("string")),
+    ))
+    texts = markdown.serialize(r.withColumn("ext", ext)).join(r.select("id", F.array_join(lines, "\n").alias("more")), "id")
+    # A list of one text is read as that text.
+    more = F.regexp_replace("more", r"(?m)^decay_after: \[(.*)\]$", "decay_after: $1")
+    return texts.select(
+        "path",
+        F.when(more == "", F.col("content")).otherwise(F.concat(F.lit("---\n"), more, F.lit("\n"), F.substring("content", 5, 100_000_000))).alias("content"),
+    )
+
+
+def _migrated(s: SparkSession, d: str) -> DataFrame:
+    """The plan for ``_older``, read from its files."""
+    rows = markdown.parse_frontmatter(_older_files(s, d), legacy=True).drop("error")
+    times = {c: R.stamp(F.col(c)) for c in ("created", "last_verified", "expires", "valid_from", "valid_to")}
+    return migrate.plan(rows.withColumns(times).withColumnRenamed("path", "file_path"), now())
+
+
 @query
 def normalize_legacy(s, d):
     """Older headers read in today's shape give today's headers again."""
-    return migrate.plan(_older(s, d), now()).select("id", "kind", "state", "check_by", F.coalesce(F.size("anchors"), F.lit(0)).alias("n_anchors"), F.coalesce(F.size("supersedes"), F.lit(0)).alias("n_supersedes"))
+    got = markdown.parse_frontmatter(_older_files(s, d))
+    return got.select(
+        "id", "kind", "state", "check_by", F.coalesce(F.size("anchors"), F.lit(0)).alias("n_anchors"),
+        F.coalesce(F.size("supersedes"), F.lit(0)).alias("n_supersedes"),
+    )
 
 
 @query
 def migrate_plan(s, d):
-    return migrate.plan(_older(s, d), now()).select("id", F.array_join("changes", "; ").alias("changes"), "target_path")
+    return _migrated(s, d).select("id", F.array_join("changes", "; ").alias("changes"), "target_path")
+
+
+@query
+def migrate_apply(s, d):
+    """A store of older headers, rewritten and moved: what became of each file, and that a second run has none to do."""
+    root = f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/older-{uuid.uuid4().hex}"
+    markdown.relocate(_older_files(s, d).withColumn("was", F.lit(None).cast("string")), root).agg(F.count(F.lit(1))).first()
+    first = migrate.apply(s, root, now())
+    again = migrate.apply(s, root, now())
+    return first.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).unionByName(again.groupBy(F.concat(F.lit("again "), "outcome").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def describe_schema(s, d):
+    return s.createDataFrame(markdown.describe(), "field string, type string, needed boolean, allowed string")
 
 
 @query
 def migration_summary(s, d):
-    return migrate.summary(migrate.plan(_older(s, d), now()))
+    return migrate.summary(_migrated(s, d))
 
 
 @query
 def operator_relocations(s, d):
-    return migrate.operator_relocations(migrate.plan(_older(s, d), now()))
+    return migrate.operator_relocations(_migrated(s, d))
 
 
 @query
 def union_layers(s, d):
     """Distinct records per layer and over all layers."""
-    r = table(s, d, "memory_records", "id", "layer")
+    r = both_records(s, d, "id", "layer").drop("ref_table")
     return r.select("id").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("layer"), "n").unionByName(r.distinct().groupBy("layer").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -897,7 +1012,7 @@ def same_ids_across_formats(s, d):
 
 @query
 def fts_meta_join(s, d):
-    return search.matches(_active(s, d), QUERY, ["fact", "decision"], stage="and", stem=False).select("id", "type", "bm25")
+    return search.matches(_active(s, d), QUERY, ["fact", "decision"], stage="and").select("id", "type", "bm25")
 
 
 @query
@@ -922,7 +1037,7 @@ QUERIES["usage_boost"] = usage_join
 
 @query
 def max_normalise(s, d):
-    found = stored(search.matches(_active(s, d), QUERY, stage="and", stem=False).select("id", "bm25"))
+    found = stored(search.matches(_active(s, d), QUERY, stage="and").select("id", "bm25"))
     top = found.agg(F.max("bm25")).first()[0] or 1.0
     return found.select("id", F.round(F.col("bm25") / F.lit(top), 6).alias("relevance"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from recordloom.functions.porter import stem
 from recordloom.functions.text import prefix_stem
+from recordloom.plans.porter_sql import stems
+from recordloom.sources.markdown import describe
 from recordloom.plans.records import NOW_TEXT, QUERY, QUERY_ANY, QUERY_PHRASE, QUERY_PREFIX
 
 NOW = f"TIMESTAMP '{NOW_TEXT}'"
@@ -36,6 +39,8 @@ _TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower(coalesce({0}, '
 _CANON = "CASE WHEN trim({0}) = '' THEN NULL WHEN starts_with(lower(trim({0})), 'ms_') THEN 'ms_' || upper(substr(trim({0}), 4)) ELSE lower(trim({0})) END"
 _OVERLAP = "len(list_filter(coalesce({0}, []), lambda x: list_contains(coalesce({1}, []), x)))"
 _SANITIZE = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+# What keeps the records of these tables from being loaded.
+_LOAD = "CASE WHEN check_by IS NULL THEN 'check_by: no date' END"
 _SECRET = "regexp_matches({0}, '(password|token|secret|api\\s*key)', 'i')"
 
 _EDGES = ["refines", "supports", "depends_on", "conflicts_with", "supersedes", "superseded_by"]
@@ -63,6 +68,8 @@ _CONFLICT = f"""w AS (SELECT id, type, tags, unnest({_WORDS.format('title')}) AS
 v AS (SELECT id, type, tags, unnest({_WORDS.format('title')}) AS t FROM {{1}} WHERE type IS NOT NULL),
 pairs AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared_tokens, {_OVERLAP.format('any_value(a.tags)', 'any_value(b.tags)')} AS shared_tags
   FROM w a JOIN v b ON a.type = b.type AND a.t = b.t AND {{2}} GROUP BY a.id, b.id HAVING count(*) >= 2 AND {_OVERLAP.format('any_value(a.tags)', 'any_value(b.tags)')} > 0)"""
+_CLASSES = f"""keyed AS (SELECT id, type, list_sort({_WORDS.format('title')}) AS words, list_sort(list_distinct(list_filter(coalesce(tags, []), lambda t: t IS NOT NULL))) AS tags FROM active WHERE type IS NOT NULL),
+class AS (SELECT type, words, tags, min(id) AS class_id, count(*) AS members FROM keyed GROUP BY ALL)"""
 _DRAFTS = """drafts AS (SELECT 'new_' || id AS id, type, title, tags, source, source_kind FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS rn FROM archive_records WHERE type IS NOT NULL) WHERE rn = 1),
 live AS (SELECT * FROM active WHERE ref_table = 'memory_records')"""
 _JUDGED = f"""judged AS (SELECT d.*, CASE WHEN lower(coalesce(trim(source), '')) IN ('', 'unknown') THEN 'source'
@@ -81,17 +88,27 @@ def _hits(field: str, phrase: list[str], prefix: bool) -> str:
     return f"len(list_filter(range(1, len({field}) - {len(phrase) - 2}), lambda i: {tests}))"
 
 
-def _bm25(terms: list[list[str]], prefix: bool, op: str, types: str = "") -> str:
-    """CTEs ending in ``found(id, type, ..., bm25)``."""
+_ALL_WORDS = f"""words_ AS (
+  SELECT id, 't' AS f, unnest(x) AS w, unnest(range(len(x))) AS k FROM (SELECT id, {_TOKENS.format('title')} AS x FROM active)
+  UNION ALL SELECT id, 'g', unnest(x), unnest(range(len(x))) FROM (SELECT id, {_TOKENS.format("array_to_string(tags, ' ')")} AS x FROM active)
+  UNION ALL SELECT id, 'b', unnest(x), unnest(range(len(x))) FROM (SELECT id, {_TOKENS.format('body')} AS x FROM active)),
+{stems("SELECT DISTINCT w FROM words_")},
+lists_ AS (SELECT id, list(s ORDER BY k) FILTER (WHERE f = 't') AS tt, list(s ORDER BY k) FILTER (WHERE f = 'g') AS tg, list(s ORDER BY k) FILTER (WHERE f = 'b') AS tb FROM words_ JOIN stem_ USING (w) GROUP BY id),
+tok AS (SELECT a.*, coalesce(tt, []) AS tt, coalesce(tg, []) AS tg, coalesce(tb, []) AS tb FROM active a LEFT JOIN lists_ USING (id))"""
+
+
+def _bm25(terms: list[list[str]], prefix: bool, op: str, types: str = "", by: str = "") -> str:
+    """CTEs ending in ``found(id, type, ..., bm25)``; words are compared by stem. ``by`` parts the corpus."""
+    terms = [[stem(w) for w in t] for t in terms]
     f = ", ".join(f"5.0 * {_hits('tt', t, prefix)} + {_hits('tg', t, prefix)} + {_hits('tb', t, prefix)} AS f{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(len(terms)))
     score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 0.000001) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(len(terms)))
     test = f" {op} ".join(f"f{i} > 0" for i in range(len(terms)))
-    return f"""{_REC},
-tok AS (SELECT *, {_TOKENS.format('title')} AS tt, {_TOKENS.format("array_to_string(tags, ' ')")} AS tg, {_TOKENS.format('body')} AS tb FROM active),
+    group, join = (f", {by} AS part", f"JOIN stat ON stat.part = {by}") if by else ("", "CROSS JOIN stat")
+    return f"""{_REC}, {_ALL_WORDS},
 hit AS (SELECT *, len(tt) + len(tg) + len(tb) AS dl, {f} FROM tok),
-stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS mean, {df} FROM hit),
-found AS (SELECT hit.*, round({score}, 6) AS bm25 FROM hit, stat WHERE ({test}) {types})"""
+stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS mean, {df}{group} FROM hit {"GROUP BY ALL" if by else ""}),
+found AS (SELECT hit.*, round({score}, 6) AS bm25 FROM hit {join} WHERE ({test}) {types})"""
 
 
 def _split(text: str) -> list[list[str]]:
@@ -145,7 +162,10 @@ def _datum(key: str, value: str) -> str:
     return f"'<data key=\"{key}\">' || {_xml(value)} || '</data>'"
 
 
-_MEMORY_XML = " || ".join([_datum("node_type", "'memory'"), _datum("memory_type", "type"), _datum("title", "title"), _datum("source_kind", "source_kind"), _datum("verified_with", "verified_with"), _datum("stale", "CAST(stale AS VARCHAR)"), _datum("state", "state")])
+_MEMORY_XML = " || ".join([
+    _datum("node_type", "'memory'"), _datum("memory_type", "type"), _datum("title", "title"), _datum("source_kind", "source_kind"),
+    _datum("verified_with", "verified_with"), _datum("stale", "CAST(stale AS VARCHAR)"), _datum("state", "state"),
+])
 _FILE_XML = " || ".join([_datum("node_type", "'file'"), _datum("path", "path")])
 
 _OLD = f"""older AS (SELECT id, title, length(title) % 2 = 0 AS old, kind AS k0, type, state AS s0, check_by AS c0, supersedes AS sup0, anchors AS a0, superseded_by, supersede_reason, source, source_kind AS sk0, verified_with AS v0, stale AS st0,
@@ -179,6 +199,19 @@ def _closure(field: str) -> str:
 
 _LINEAGE = f"""WITH RECURSIVE {_REC}, e_supersedes AS (SELECT DISTINCT src, dst FROM ({_edges()}) WHERE edge_type = 'supersedes' AND dst IN (SELECT id FROM records) AND src <> dst),
 e_superseded_by AS (SELECT DISTINCT src, dst FROM ({_edges()}) WHERE edge_type = 'superseded_by' AND dst IN (SELECT id FROM records) AND src <> dst), {_closure('supersedes')}, {_closure('superseded_by')}"""
+
+
+def _lineage_lists() -> str:
+    chains = "".join(f", t_{f} AS ({_chain(f)})" for f in ("refines", "supports", "depends_on"))
+    ways = {
+        "ancestors": ("c_supersedes", "src", "dst"), "descendants": ("c_superseded_by", "src", "dst"),
+    } | {f: (f"t_{f}", "id", "target") for f in ("refines", "supports", "depends_on")}
+    lists = ", ".join(f"coalesce((SELECT list(DISTINCT {y} ORDER BY {y}) FROM {t} WHERE {t}.{x} = r.id AND {x} <> {y}), []) AS {n}" for n, (t, x, y) in ways.items())
+    return f"{_LINEAGE}{chains} SELECT r.id, r.title, {lists} FROM records r"
+
+
+_COSINE = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near_ AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 6) AS similarity FROM v q CROSS JOIN v WHERE q.id % 100 = 0)"""
 _DEP = f"dep AS (SELECT DISTINCT src AS id, dst AS target FROM ({_edges()}) WHERE edge_type = 'depends_on')"
 
 SQL = {
@@ -186,12 +219,12 @@ SQL = {
     "scan_superseded": f"WITH {_REC} SELECT id FROM records WHERE state = 'superseded'",
     "get_by_id": f"WITH {_REC} SELECT id, state, title FROM records WHERE id = (SELECT id FROM usage_log WHERE starts_with(id, 'ms_') GROUP BY id ORDER BY count(*) DESC, id LIMIT 1)",
     "resolve_collisions": f"WITH {_REC} SELECT id, ref_table, file_path, state FROM records",
-    "layered_scan": "SELECT id, layer FROM (SELECT m.id, m.layer, row_number() OVER (PARTITION BY m.id ORDER BY l.priority DESC NULLS LAST, m.layer, m.loaded_at) AS rn FROM memory_records m LEFT JOIN layers l ON l.name = m.layer) WHERE rn = 1",
-    "layer_listing": "SELECT name, path, priority, CASE WHEN writable THEN 'rw' ELSE 'ro' END AS mode, (SELECT count(DISTINCT id) FROM memory_records m WHERE m.layer = l.name) AS items FROM layers l",
+    "layered_scan": f"WITH {_REC} SELECT id, layer FROM (SELECT m.id, m.layer, row_number() OVER (PARTITION BY m.id ORDER BY l.priority DESC NULLS LAST, m.layer NULLS FIRST, m.loaded_at) AS rn FROM rows_ m LEFT JOIN layers l ON l.name = m.layer) WHERE rn = 1",
+    "layer_listing": f"WITH {_REC} SELECT name, path, priority, CASE WHEN writable THEN 'rw' ELSE 'ro' END AS mode, (SELECT count(DISTINCT id) FROM rows_ m WHERE m.layer = l.name) AS items FROM layers l",
     "usage_counts": f"WITH {_USES} SELECT * FROM uses",
     "usage_daily_layers": "SELECT layer, strftime(retrieved_at, '%Y-%m') AS month, count(*) AS uses FROM usage_log GROUP BY ALL",
     "parse_frontmatter": f"""WITH {_REC} SELECT id, kind, type, state, strftime(created, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created, source, CASE WHEN len(tags) > 0 THEN tags END AS tags, check_by, title, CASE WHEN len(anchors) > 0 THEN len(anchors) END::INTEGER AS n_anchors,
-  coalesce(superseded_by, '') AS superseded_by, CAST(length(CASE WHEN starts_with(trim(body), '# ' || title || chr(10)) OR trim(body) = '# ' || title THEN trim(body) ELSE '# ' || title || chr(10) || chr(10) || trim(body) END) AS INTEGER) AS body_chars, NULL::VARCHAR AS error FROM records""",
+  coalesce(superseded_by, '') AS superseded_by, CAST(length(CASE WHEN starts_with(trim(body), '# ' || title || chr(10)) OR trim(body) = '# ' || title THEN trim(body) ELSE '# ' || title || chr(10) || chr(10) || trim(body) END) AS INTEGER) AS body_chars, {_LOAD} AS error FROM records""",
     "import_tables": f"WITH {_REC} SELECT id AS path, 0 AS row_no, [trim({_NOTE}), id] AS cells FROM records",
     "import_facts": f"""WITH {_REC} SELECT id AS path, trim({_NOTE}) || ' state' AS title, CASE WHEN {_SECRET.format('state')} THEN '[REDACTED]' ELSE state END AS body, list_filter([{_SANITIZE.format(f'trim({_NOTE})')}, 'state'], lambda x: x <> '') AS tags FROM records WHERE trim({_NOTE}) <> ''
   UNION ALL SELECT id, id, '[REDACTED]', [{_SANITIZE.format('id')}, 'fact'] FROM records""",
@@ -213,7 +246,7 @@ FROM d LEFT JOIN drifted x ON x.id = d.id WHERE coalesce({NOW} > due, false) OR
     "schema_violations": """SELECT DISTINCT 'ms_' || lpad(CAST(header_id AS VARCHAR), 26, '0') AS id, errors FROM (SELECT header_id, array_to_string(list_filter([
   CASE WHEN created IS NULL OR NOT regexp_matches(created, '^\\d{4}-\\d\\d-\\d\\dT') THEN 'created: missing' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'source: empty' END,
   CASE WHEN check_by IS NULL OR NOT (check_by = 'never' OR regexp_matches(check_by, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?(Z|[+-]\\d{2}:\\d{2})$')) THEN 'check_by: no date' END], lambda x: x IS NOT NULL), '; ') AS errors FROM inbox_headers) WHERE errors <> ''""",
-    "infer_source_kind": f"SELECT DISTINCT source, {_KIND.format('source')} AS inferred FROM memory_records",
+    "infer_source_kind": f"WITH {_REC} SELECT DISTINCT source, {_KIND.format('source')} AS inferred FROM rows_",
     "effective_source_kind": f"WITH {_REC} SELECT id, {_EFF} AS kind_of_source, CASE WHEN {_EFF} = 'operator' THEN 'operator' ELSE 'standard' END AS tier FROM records",
     "storage_tier": f"WITH {_REC} SELECT CASE WHEN {_EFF} = 'operator' THEN 'operator' ELSE 'standard' END AS tier, count(*) AS n FROM records GROUP BY 1",
     "canonical_source": "SELECT DISTINCT s AS source, b AS bucket FROM (SELECT source || x AS s, source || CASE WHEN contains(x, 'session') THEN ' session' ELSE '' END AS b FROM (SELECT source, unnest(['', '-' || strftime(read_at, '%Y-%m-%d'), ' session ' || strftime(read_at, '%Y-%m-%d') || ' b']) AS x FROM inbox_headers WHERE source IS NOT NULL))",
@@ -233,12 +266,19 @@ FROM d LEFT JOIN drifted x ON x.id = d.id WHERE coalesce({NOW} > due, false) OR
     "escape_functions": f"""WITH {_REC}, t AS (SELECT id, title || ' <&> "q" \\ ' || chr(10) AS x FROM records) SELECT id, {_xml('x')} AS xml, {_dot('x')} AS dot FROM t""",
     "blob_sha": "SELECT doc_id, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS sha FROM documents WHERE text IS NOT NULL",
     "route_path": f"WITH {_REC} SELECT id, {_ROUTE} AS path FROM records",
+    "anchor_drift_repos": f"""WITH {_REC}, {_FILES}, near_ AS (SELECT DISTINCT a.repo AS repo FROM (SELECT unnest(anchors) AS a FROM memory_records WHERE layer = 'project') WHERE a.repo IS NOT NULL)
+SELECT id, file, repo, CASE WHEN repo <> '' AND repo NOT IN (SELECT repo FROM near_) THEN 'repo_unavailable' ELSE status END AS status FROM drift""",
     "anchor_drift_join": f"WITH {_REC}, {_FILES} SELECT id, file, repo, status FROM drift",
     "rename_join": f"WITH {_REC}, {_FILES} SELECT d.id, d.file, r.new AS renamed_to FROM drift d LEFT JOIN renames r ON r.old = d.file WHERE status = 'missing'",
     "drift_agg": f"WITH {_REC}, {_FILES} SELECT id, CAST(files AS INTEGER) AS files, note FROM drifted",
     "edge_resolve": f"WITH {_REC}, e AS ({_edges()}) SELECT edge_type, count(*) AS links, count(r.title) AS resolved FROM e LEFT JOIN records r ON r.id = e.dst GROUP BY edge_type",
-    "conflict_selfjoin": f"WITH {_REC}, {_CONFLICT.format('active', 'active', 'a.id < b.id')} SELECT id_a, id_b, CAST(shared_tokens AS INTEGER) AS shared_tokens, CAST(shared_tags AS INTEGER) AS shared_tags FROM pairs",
-    "title_bucket_pairs": f"WITH {_REC}, k AS (SELECT id, type, {_KEY.format('title')} AS key FROM active WHERE type IS NOT NULL) SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.type = b.type AND a.key = b.key AND a.id < b.id WHERE a.key <> ''",
+    "conflict_selfjoin": f"""WITH {_REC}, {_CLASSES},
+pairs AS (SELECT a.class_id AS id_a, b.class_id AS id_b, len(list_intersect(a.words, b.words)) AS shared_tokens, len(list_intersect(a.tags, b.tags)) AS shared_tags FROM class a JOIN class b
+  ON a.type = b.type AND (a.class_id < b.class_id OR a.class_id = b.class_id AND a.members > 1) AND list_has_any(a.words, b.words) AND list_has_any(a.tags, b.tags))
+SELECT id_a, id_b, CAST(shared_tokens AS INTEGER) AS shared_tokens, CAST(shared_tags AS INTEGER) AS shared_tags FROM pairs WHERE shared_tokens >= 2""",
+    "conflict_members": f"WITH {_REC}, {_CLASSES} SELECT id, class_id FROM keyed JOIN class USING (type, words, tags)",
+    "title_bucket_pairs": f"""WITH {_REC}, k AS (SELECT id, type, {_KEY.format('title')} AS key FROM active WHERE type IS NOT NULL), n AS (SELECT type, key, min(id) AS class_id, count(*) AS members FROM k WHERE key <> '' GROUP BY ALL HAVING count(*) > 1)
+SELECT id, class_id, members FROM k JOIN n USING (type, key)""",
     "declared_conflicts": f"WITH {_REC}, e AS (SELECT DISTINCT least(src, dst) AS id_a, greatest(src, dst) AS id_b FROM ({_edges('active')}) WHERE edge_type = 'conflicts_with') SELECT id_a, id_b, coalesce(a.title, '(not in active set)') AS title_b FROM e LEFT JOIN active a ON a.id = e.id_b",
     "refuse_anti": f"WITH {_REC}, {_DRAFTS}, {_JUDGED} SELECT id, why AS reason FROM judged WHERE why IS NOT NULL",
     "neighbour_rank": f"WITH {_REC}, {_DRAFTS}, {_CONFLICT.format('drafts', 'live', 'a.id <> b.id')}, {_NEAR} SELECT id_a, id_b FROM near_",
@@ -271,21 +311,22 @@ SELECT src, dst, CAST({_OVERLAP.format('a.tags', 'b.tags')} AS INTEGER) AS tags,
     "fts_phrase_term": f"WITH {_bm25(_split(QUERY_PHRASE), False, 'AND')} SELECT id, bm25 FROM found",
     "fts_bm25": f"WITH {_bm25(_QT, False, 'AND')} SELECT id, bm25 FROM found ORDER BY bm25 DESC, id LIMIT 10",
     "fts_fallback": f"WITH {_bm25(_split(QUERY_ANY), False, 'OR')} SELECT id, bm25 FROM found",
-    "fts_index_cache": f"""WITH {_REC}, p AS (SELECT id, unnest(list_concat({_TOKENS.format('title')}, {_TOKENS.format(chr(97) + 'rray_to_string(tags, ' + chr(39) + ' ' + chr(39) + ')')}, {_TOKENS.format('body')})) AS term FROM active) SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM p GROUP BY term""",
+    "fts_index_cache": f"WITH {_REC}, {_ALL_WORDS} SELECT s AS term, count(DISTINCT id) AS df, count(*) AS tf FROM words_ JOIN stem_ USING (w) GROUP BY s",
+    "fts_porter": f"WITH {_REC}, {_ALL_WORDS} SELECT w AS term, s AS stem FROM stem_",
     "phrase_bonus": f"WITH {_REC}, b AS (SELECT id, {_bonus('the hidden router')} AS bonus FROM active) SELECT id, bonus FROM b WHERE bonus > 0",
     "recency": f"WITH {_REC} SELECT id, round({_RECENCY}, 6) AS recency FROM records",
     "search_rerank": f"{_search()} SELECT rank, id, bm25, score FROM ranked",
     "search_types": f"{_search('AND type = ' + chr(39) + 'decision' + chr(39))} SELECT rank, id, score FROM ranked",
     "search_as_of": f"{_search()} SELECT rank, id FROM ranked WHERE (valid_from IS NULL OR valid_from <= {AS_OF}) AND (valid_to IS NULL OR {AS_OF} <= valid_to)",
-    "cosine_similarity": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS similarity FROM embeddings",
-    "cosine_rerank": "SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10",
+    "cosine_similarity": f"WITH {_COSINE} SELECT query_id, id, similarity FROM near_",
+    "cosine_rerank": f"WITH {_COSINE} SELECT query_id, id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM near_) WHERE rank <= 10",
     "edges_view": f"WITH {_REC} {_edges()}",
     "relation_chain": _chain("refines"),
     "relation_chain_depends_on": _chain("depends_on"),
+    "relation_chain_supports": _chain("supports"),
     "lineage_ancestors": f"{_LINEAGE} SELECT src AS id, dst AS ancestor FROM c_supersedes WHERE src <> dst",
     "lineage_descendants": f"{_LINEAGE} SELECT src AS id, dst AS descendant FROM c_superseded_by WHERE src <> dst",
-    "get_with_lineage": f"""{_LINEAGE}, a AS (SELECT src AS id, count(*) AS ancestors FROM c_supersedes WHERE src <> dst GROUP BY src), b AS (SELECT src AS id, count(*) AS descendants FROM c_superseded_by WHERE src <> dst GROUP BY src)
-SELECT id, coalesce(ancestors, 0) AS ancestors, coalesce(descendants, 0) AS descendants, r.title FROM a FULL JOIN b USING (id) JOIN records r USING (id)""",
+    "get_with_lineage": _lineage_lists(),
     "serialize_record": f"""WITH {_REC} SELECT id, true AS written, '---' || chr(10) || 'id: "' || id || '"' AS head FROM records""",
     "observe": f"""SELECT doc_id, substr(trim(string_split(trim(text), chr(10))[1]), 1, 120) AS title, CASE doc_id % 3 WHEN 0 THEN {NOW} + INTERVAL 12 HOUR WHEN 2 THEN {NOW} + INTERVAL 7 DAY END AS expires, coalesce(source, 'agent') AS source FROM documents WHERE trim(text) <> ''""",
     "operator_guard": f"WITH {_REC}, {_ASK} SELECT * FROM judge",
@@ -316,10 +357,12 @@ UNION ALL SELECT 'edge', {_EKEY}, '<edge id="e' || substr(sha1({_EKEY}), 1, 16)
   ELSE 'label="' || {_dot('title')} || '", shape="' || CASE type WHEN 'fact' THEN 'box' WHEN 'decision' THEN 'diamond' ELSE 'ellipse' END || '", color="' || CASE type WHEN 'fact' THEN 'blue' WHEN 'decision' THEN 'orange' ELSE 'green' END || '", style="rounded' || CASE WHEN stale THEN ',dashed' ELSE '' END || '"' END || '];' AS line FROM nodes
 UNION ALL SELECT 'edge', {_EKEY}, '"' || {_dot('src')} || '" -> "' || {_dot('dst')} || '" [label="' || edge_type || '", color="' || CASE edge_type WHEN 'conflicts_with' THEN 'orange", style="dotted"' WHEN 'refines' THEN 'blue"' WHEN 'supports' THEN 'green"' WHEN 'depends_on' THEN 'purple"' ELSE 'gray", penwidth="0.5"' END || '];' FROM links""",
     "normalize_legacy": f"WITH {_REC} SELECT id, coalesce(kind, 'claim') AS kind, state, check_by, CAST(coalesce(len(anchors), 0) AS INTEGER) AS n_anchors, CAST(coalesce(len(supersedes), 0) AS INTEGER) AS n_supersedes FROM records",
+    "migrate_apply": f"""WITH {_REC}, {_OLD}, gone AS (SELECT was <> target_path AS moves FROM planned WHERE len(changes) > 0 AND check_by IS NOT NULL)
+SELECT CASE WHEN moves THEN 'moved' ELSE 'written' END AS outcome, count(*) AS n FROM gone GROUP BY 1""",
     "migrate_plan": f"WITH {_REC}, {_OLD} SELECT id, array_to_string(changes, '; ') AS changes, target_path FROM planned",
     "migration_summary": f"WITH {_REC}, {_OLD} SELECT {_LABEL} AS label, count(*) AS n FROM (SELECT unnest(changes) AS c FROM planned) GROUP BY 1",
     "operator_relocations": f"WITH {_REC}, {_OLD} SELECT id, was AS from_path, target_path AS to_path, source FROM planned WHERE target_path <> was AND contains(target_path, 'memory/operator')",
-    "union_layers": "SELECT 'all' AS layer, count(DISTINCT id) AS n FROM memory_records UNION ALL SELECT layer, count(DISTINCT id) FROM memory_records GROUP BY layer",
+    "union_layers": f"WITH {_REC} SELECT 'all' AS layer, count(DISTINCT id) AS n FROM rows_ UNION ALL SELECT layer, count(DISTINCT id) FROM rows_ GROUP BY layer",
     "same_ids_across_formats": "SELECT id AS key FROM memory_records WHERE false",
     "attention_list": f"""WITH {_REC}, {_FILES} SELECT a.id, coalesce(note, 'check-by passed ' || CAST(greatest(coalesce(CAST(floor({_DAYS.format(_DUE)}) AS INTEGER), 0), 0) AS VARCHAR) || 'd ago') AS note, note IS NOT NULL AS is_drift,
   CASE WHEN note IS NOT NULL THEN 0 ELSE greatest(coalesce(CAST(floor({_DAYS.format(_DUE)}) AS INTEGER), 0), 0) END AS overdue FROM active a LEFT JOIN drifted d ON d.id = a.id WHERE note IS NOT NULL OR ({_STALE} AND coalesce(kind, 'claim') <> 'observation')""",
@@ -329,7 +372,7 @@ SQL |= {
     "fts_meta_join": f"WITH {_bm25(_QT, False, 'AND', 'AND type IN (' + chr(39) + 'fact' + chr(39) + ', ' + chr(39) + 'decision' + chr(39) + ')')} SELECT id, type, bm25 FROM found",
     "hit_hydrate": f"{_search()} SELECT r.id, r.title, k.rank FROM ranked k JOIN records r ON r.id = k.id",
     "edge_semi_filter": f"WITH {_GRAPH} SELECT edge_type, count(*) AS n FROM links GROUP BY edge_type",
-    "layer_overlay": SQL["layered_scan"].replace("SELECT id, layer FROM (", "SELECT layer, count(*) AS n FROM (", 1) + " GROUP BY layer",
+    "layer_overlay": SQL["layered_scan"].replace("SELECT id, layer FROM (SELECT m.id", "SELECT layer, count(*) AS n FROM (SELECT m.id", 1) + " GROUP BY layer",
     "token_overlap": SQL["tag_overlap"],
     "max_normalise": f"WITH {_bm25(_QT, False, 'AND')} SELECT id, round(bm25 / (SELECT max(bm25) FROM found), 6) AS relevance FROM found",
     "usage_boost": SQL["usage_join"],
@@ -337,9 +380,74 @@ SQL |= {
     "minus_pinned": f"WITH {_REC}, top AS (SELECT id FROM active WHERE pinned ORDER BY last_verified DESC NULLS LAST, id LIMIT 5) SELECT id FROM active WHERE id NOT IN (SELECT id FROM top)",
     "dedupe_edges": f"WITH {_REC} SELECT src, edge_type, dst FROM ({_edges()}) GROUP BY ALL",
 }
-SQL["scan_records"] = f"WITH {_REC} SELECT id, state, title, regexp_extract('/' || file_path, '/(memory|observations|archive)/', 1) AS area, contains('/' || file_path, '/memory/operator/') AS is_operator, NULL::VARCHAR AS error FROM records WHERE ref_table = 'archive_records'"
+SQL["scan_records"] = f"WITH {_REC} SELECT id, state, title, regexp_extract('/' || file_path, '/(memory|observations|archive)/', 1) AS area, contains('/' || file_path, '/memory/operator/') AS is_operator, {_LOAD} AS error FROM records"
 SQL["fts_indexed"] = SQL["fts_and"]
 SQL["anchor_merge"] = f"""WITH {_REC}, {_FILES}, fresh AS (SELECT id, list(file ORDER BY file) AS fs, list(file || '@' || sha ORDER BY file) AS txt FROM (
   SELECT d.id, d.file, arg_min(f.current_sha, d.repo) AS sha FROM drift d JOIN files f USING (repo, file) WHERE d.status = 'changed' GROUP BY d.id, d.file) GROUP BY id),
 kept AS (SELECT a.id, fs, txt, list_transform(list_filter(coalesce(anchors, []), lambda x: NOT list_contains(fs, x.file)), lambda x: x.file || '@' || x.sha) AS old FROM active a JOIN fresh f ON f.id = a.id)
 SELECT id, CAST(len(old) + len(fs) AS INTEGER) AS n, array_to_string(list_concat(old, txt), ' ') AS anchors FROM kept"""
+
+
+def _walk(seeds: str, edges: str, depth: int, cap: int = 50) -> str:
+    """CTEs ending in ``walk(id, from_id, edge_type, hops, pos)`` from ``start(id, pos)``."""
+    out = [
+        f"start AS ({seeds})", f"links_ AS ({edges})",
+        "far0 AS (SELECT id, id AS from_id, NULL::VARCHAR AS edge_type, 0 AS hops, CAST(pos AS BIGINT) AS pos FROM start)",
+    ]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM far{j}" for j in range(k))
+        taken = " + ".join(f"(SELECT count(*) FROM far{j})" for j in range(1, k)) or "0"
+        out.append(
+            f"""step{k} AS (SELECT e.dst, f.pos, e.edge_pos, e.arr_pos, f.from_id, e.edge_type, row_number() OVER (PARTITION BY e.dst ORDER BY f.pos, e.edge_pos, e.arr_pos, f.from_id, e.edge_type) AS rn FROM links_ e JOIN far{k - 1} f ON f.id = e.src WHERE e.dst NOT IN ({seen})),
+far{k} AS (SELECT dst AS id, from_id, edge_type, {k} AS hops, {taken} + row_number() OVER (ORDER BY pos, edge_pos, arr_pos, dst) AS pos FROM step{k} WHERE rn = 1 QUALIFY {taken} + row_number() OVER (ORDER BY pos, edge_pos, arr_pos, dst) <= {cap})"""
+        )
+    return ", ".join([
+        *out,
+        "walk AS (" + " UNION ALL ".join(f"SELECT id, from_id, edge_type, CAST(hops AS INTEGER) AS hops, pos FROM far{k}" for k in range(1, depth + 1)) + ")",
+    ])
+
+
+_BUSY = f"SELECT src AS id, row_number() OVER (ORDER BY count(*) DESC, src) AS pos FROM ({_edges('active')}) GROUP BY src ORDER BY count(*) DESC, src LIMIT 10"
+_BY_LAYER = f"""WITH {_bm25(_QT, False, 'AND', by="coalesce(layer, '')")},
+placed AS (SELECT f.*, coalesce(f.layer, '') AS from_layer, l.priority FROM found f LEFT JOIN layers l ON l.name = coalesce(f.layer, '')),
+first_ AS (SELECT *, bm25 + {_bonus(QUERY)} AS raw, {_RECENCY} AS rec FROM placed QUALIFY row_number() OVER (PARTITION BY from_layer ORDER BY bm25 DESC, id) <= 20),
+scored AS (SELECT *, round(raw / CASE WHEN max(raw) OVER (PARTITION BY from_layer) > 0 THEN max(raw) OVER (PARTITION BY from_layer) ELSE 1 END * 0.4 + rec * 0.3, 6) AS score FROM first_),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY from_layer ORDER BY score DESC, id) AS rank FROM scored)
+SELECT from_layer, CAST(rank AS INTEGER) AS rank, id FROM ranked WHERE rank <= 10 ORDER BY priority DESC NULLS LAST, from_layer, rank LIMIT 10"""
+
+
+def _fold(items: str, budget: int, limit: int, used: str, skip: bool) -> str:
+    """CTE ``walk_``: the greedy fill of one budget over ``items(n, section, pos, id, cost, cap)`` in the order of n."""
+    fresh, count = "i.section <> w.section", "CASE WHEN i.section <> w.section THEN 0 ELSE w.cnt END"
+    take = f"(NOT (CASE WHEN {fresh} THEN false ELSE w.closed END) AND {count} < i.cap AND w.total < {limit} AND NOT (w.used + i.cost > {budget} AND w.total > 0))"
+    return f"""items AS ({items}),
+walk_(n, section, pos, id, cost, taken, used, total, cnt, closed) AS (
+  SELECT CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT), '', 0, false, CAST({used} AS BIGINT), 0, 0, false
+  UNION ALL SELECT i.n, i.section, i.pos, i.id, i.cost, {take}, w.used + CASE WHEN {take} THEN i.cost ELSE 0 END, w.total + CAST({take} AS INTEGER), {count} + CAST({take} AS INTEGER),
+    (CASE WHEN {fresh} THEN false ELSE w.closed END) OR (NOT {take} AND {str(not skip).lower()}) FROM walk_ w JOIN items i ON i.n = w.n + 1)"""
+
+
+_TAKEN = "SELECT section, CAST(pos AS INTEGER) AS pos, id, cost, taken FROM walk_ WHERE n > 0"
+_COST = "CAST(ceil((length({0}) + 1) / 4.0) AS INTEGER)"
+_BOOT = f"""{_FILES}, {_USES},
+att AS (SELECT a.*, note, note IS NOT NULL AS is_drift, CASE WHEN note IS NOT NULL THEN 0 ELSE greatest(coalesce(CAST(floor({_DAYS.format(_DUE)}) AS INTEGER), 0), 0) END AS overdue,
+  coalesce(note, 'check-by passed ' || CAST(greatest(coalesce(CAST(floor({_DAYS.format(_DUE)}) AS INTEGER), 0), 0) AS VARCHAR) || 'd ago') AS said FROM active a LEFT JOIN drifted d ON d.id = a.id WHERE note IS NOT NULL OR ({_STALE} AND coalesce(kind, 'claim') <> 'observation')),
+shown AS (SELECT * FROM att ORDER BY is_drift DESC, overdue DESC, id LIMIT 3),
+pins AS (SELECT * FROM active WHERE pinned AND id NOT IN (SELECT id FROM shown) ORDER BY last_verified DESC NULLS LAST, id LIMIT 5),
+main AS (SELECT a.*, {_SCORE} AS score FROM active a LEFT JOIN uses u ON u.id = a.id WHERE a.id NOT IN (SELECT id FROM shown) AND a.id NOT IN (SELECT id FROM pins) ORDER BY score DESC, a.id LIMIT 20),
+three AS (SELECT 0 AS section, row_number() OVER (ORDER BY is_drift DESC, overdue DESC, id) AS pos, id, {_COST.format(f"({_FORMAT}) || ' (' || said || ')'")} AS cost, 3 AS cap FROM shown
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY last_verified DESC NULLS LAST, id), id, {_COST.format(f"({_FORMAT})")}, 5 FROM pins
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY score DESC, id), id, {_COST.format(f"({_FORMAT})")}, 20 FROM main)"""
+_TITLE = "'## Project memory — ' || CAST((SELECT count(*) FROM active) AS VARCHAR) || ' active claims' || CASE WHEN (SELECT count(*) FROM att) > 0 THEN ', ' || CAST((SELECT count(*) FROM att) AS VARCHAR) || ' need attention' ELSE '' END"
+SQL |= {
+    "expand_graph": f"WITH {_REC}, {_walk(_BUSY, _edges('active'), 3)} SELECT * FROM walk",
+    "expand_include_superseded": f"WITH {_REC}, reachable AS (SELECT * FROM records WHERE state IN ('active', 'superseded')), {_walk(_BUSY, _edges('reachable'), 3)} SELECT * FROM walk",
+    "search_layers": _BY_LAYER,
+    "search_expand": f"""{_search()}, best AS (SELECT id, CAST(rank AS BIGINT) AS pos FROM ranked ORDER BY rank LIMIT 5), {_walk('SELECT id, pos FROM best', _edges('active'), 2)}
+SELECT id, NULL::VARCHAR AS from_id, NULL::VARCHAR AS edge_type, 0 AS hops, pos FROM best UNION ALL SELECT * FROM walk WHERE id IN (SELECT id FROM active)""",
+    "budget_break": f"""WITH RECURSIVE {_REC}, {_BOOT},
+{_fold("SELECT row_number() OVER (ORDER BY section, pos) AS n, * FROM three", 700, 20, f"ceil((length({_TITLE}) + 2) / 4.0)", False)} {_TAKEN}""",
+    "budget_skip": f"""{_search().replace("WITH", "WITH RECURSIVE", 1).replace("LIMIT 20)", "LIMIT 40)").replace("LIMIT 10)", "LIMIT 20)")},
+{_fold("SELECT CAST(rank AS BIGINT) AS n, 0 AS section, CAST(rank AS BIGINT) AS pos, id, CAST(ceil(length(body) / 4.0) AS INTEGER) AS cost, 20 AS cap FROM ranked", 1000, 20, "0", True)} {_TAKEN}""",
+    "describe_schema": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', {str(need).lower()}, '{v}')" for n, k, need, v in describe()) + ") t(field, type, needed, allowed)",
+}

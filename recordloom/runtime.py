@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -68,18 +69,37 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_KEPT: set[str] = set()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
     Unlike a cached plan the files outlive any executor, and unlike an RDD checkpoint they are
-    compressed, column-pruned on re-read and carry a size the planner can use.
+    compressed, column-pruned on re-read and carry a size the planner can use. They go when the driver
+    ends, or with ``forget``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordloom-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/recordloom-{spark.sparkContext.applicationId}"
+    if home not in _KEPT:
+        _KEPT.add(home)
+        atexit.register(forget, spark)
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the tables this application stored; results that still read them cannot be used any more."""
+    try:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for home in [h for h in _KEPT if h.endswith(spark.sparkContext.applicationId)]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(home)
+            place.getFileSystem(hadoop).delete(place, True)
+    except Exception:  # noqa: BLE001 - the session may have ended already, and its folder with it
+        return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A test table, reduced to ``columns`` when any are given (column pruning reaches the scan)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Columns of older headers, old states and what they are now.
+LEGACY = "decay_after string, confidence double, corrects array<string>, corrected_by string, correction_reason string, code_anchors array<struct<file:string,sha:string,repo:string>>"
+OLD_STATES = {"captured": "active", "corrected": "superseded", "decayed": "retired", "archived": "retired"}
+
 HEADER = (
     "id string, kind string, type string, state string, created string, source string, source_kind string, tags array<string>, check_by string, stale boolean, pinned boolean, "
     "last_verified string, verified_with string, anchors array<struct<file:string,sha:string,repo:string>>, supersedes array<string>, superseded_by string, supersede_reason string, "
@@ -15,69 +19,164 @@ HEADER = (
 )
 NAMES = [c.split(" ")[0] for c in HEADER.split(", ")]
 _LISTS = {c.split(" ")[0] for c in HEADER.split(", ") if "array<string>" in c}
-_TIMES = ("created", "last_verified", "expires", "valid_from", "valid_to", "check_by")
+
+
+# What the fields of a header may say, and its form.
+KINDS, TYPES, STATES = ("claim", "observation"), ("fact", "decision", "procedure"), ("active", "superseded", "retired")
+SOURCE_KINDS, WITNESSES = ("operator", "agent", "import"), ("anchor", "operator", "evidence", "assertion")
+ID_FORM = r"^ms_[A-Z0-9]{26}$"
+#: The columns of older headers, read beside today's with ``legacy``.
+OLD_NAMES = [f.split(" ")[0] for f in LEGACY.split(", ")]
+
+
+def _plain(v):
+    """Dates and times as ISO text, whatever YAML made of them."""
+    from datetime import date, datetime, timezone
+
+    if isinstance(v, datetime):
+        return (v.astimezone(timezone.utc) if v.tzinfo else v).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+    return f"{v.isoformat()}T00:00:00.000Z" if isinstance(v, date) else v
 
 
 def _value(name: str, v):
     import json
-    from datetime import date, datetime, timezone
 
+    v = _plain(v)
     if v is None:
         return None
-    if isinstance(v, datetime):
-        v = (v.astimezone(timezone.utc) if v.tzinfo else v).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
-    elif isinstance(v, date):
-        v = f"{v.isoformat()}T00:00:00.000Z"
-    if name in _LISTS:
+    if name in _LISTS or name == "corrects":
         return [str(x) for x in v if x is not None] if isinstance(v, list) else [str(v)]
-    if name == "anchors":
+    if name in ("anchors", "code_anchors"):
         return [{k: a.get(k) for k in ("file", "sha", "repo")} for a in v if isinstance(a, dict)] if isinstance(v, list) else None
     if name in ("stale", "pinned"):
         return v if isinstance(v, bool) else None
+    if name == "confidence":
+        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
     if name == "ext":
         return json.dumps(v, sort_keys=True, default=str)
     return str(v)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def modern(head: dict) -> dict:
+    """A header in today's shape: an older name gives its value where today's name has none."""
+    new = {k: v for k, v in head.items() if k not in OLD_NAMES}
+    ext = dict(head["ext"]) if isinstance(head.get("ext"), dict) else None
+    corrects = head.get("corrects")
+    older = {
+        "kind": "claim", "check_by": head.get("decay_after"), "superseded_by": head.get("corrected_by"), "supersede_reason": head.get("correction_reason"),
+        "supersedes": [corrects] if corrects is not None and not isinstance(corrects, list) else corrects, "anchors": ext.get("code_anchors") if ext and isinstance(ext.get("code_anchors"), list) else None,
+    }
+    for name, value in older.items():
+        if new.get(name) is None and value is not None:
+            new[name] = value
+    if isinstance(new.get("state"), str):
+        new["state"] = OLD_STATES.get(new["state"], new["state"])
+    sure = head.get("confidence")
+    if isinstance(sure, (int, float)) and not isinstance(sure, bool):
+        ext = {"legacy_confidence": sure} | (ext or {})
+    return new if ext is None else new | {"ext": ext}
+
+
+def problems(head: dict) -> list[str]:
+    """What keeps a header of today's shape from being a record's, as ``field: what is wrong``."""
     import re
 
-    import yaml
-
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    heading = re.compile(r"^#\s+(.+)$", re.M)
-    for pdf in batches:
-        rows = []
-        for path, text in zip(pdf["path"], pdf["content"], strict=True):
-            row = dict.fromkeys([*NAMES, "title", "body", "error"]) | {"path": path}
-            m = re.match(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)(.*)\Z", text or "", re.S)
-            try:
-                head = yaml.load(m[1], Loader=loader) if m else None  # noqa: S506 - a safe loader
-                if not isinstance(head, dict):
-                    raise ValueError("no header")
-                row |= {k: _value(k, head.get(k)) for k in NAMES}
-                row["body"] = m[2].strip()
-                found = heading.search(row["body"])
-                row["title"] = found[1].strip() if found else ""
-            except Exception as e:
-                row["error"] = f"{type(e).__name__}: {e}"[:200]
-            rows.append(row)
-        yield pd.DataFrame(rows, columns=["path", *NAMES, "title", "body", "error"], dtype=object)
-
-
-def parse_frontmatter(files: DataFrame) -> DataFrame:
+    def dated(v) -> bool:
+        v = _plain(v)
+        if not isinstance(v, str) or not re.search(r"\d{4}", v):
+            return False
+        try:
+            return not pd.isna(pd.Timestamp(v))
+        except ValueError:
+            return False
+
+    get = head.get
+    text = lambda v: isinstance(v, str)
+    texts = lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v)
+    one_of = lambda values: lambda v: isinstance(v, str) and v in values
+    anchor = lambda a: isinstance(a, dict) and text(a.get("file")) and text(a.get("sha")) and (a.get("repo") is None or text(a["repo"]))
+    needed = [
+        (
+            "id", lambda v: text(v) and re.match(ID_FORM, v), "bad form",
+        ), ("state", one_of(STATES), "unknown"), ("created", dated, "missing"), ("source", lambda v: text(v) and v != "", "empty"),
+        ("check_by", lambda v: v == "never" or dated(v), "no date"),
+    ]
+    free = [
+        ("kind", one_of(KINDS), "unknown"), ("type", one_of(TYPES), "unknown"), ("source_kind", one_of(SOURCE_KINDS), "unknown"), ("verified_with", one_of(WITNESSES), "unknown"),
+        *((n, texts, "no list of texts") for n in NAMES if n in _LISTS), *((n, lambda v: isinstance(v, bool), "no flag") for n in ("stale", "pinned")),
+        *((n, dated, "no date") for n in ("last_verified", "expires", "valid_from", "valid_to")), *((n, text, "no text") for n in ("superseded_by", "supersede_reason")),
+        ("anchors", lambda v: isinstance(v, list) and all(map(anchor, v)), "bad form"), ("ext", lambda v: isinstance(v, dict), "no object"),
+    ]
+    found = [f"{n}: {what}" for n, good, what in needed if not good(get(n))]
+    found += [f"{n}: {what}" for n, good, what in free if get(n) is not None and not good(get(n))]
+    if get("kind", "claim") != "observation" and get("type") is None:
+        found.append("type: required for claims")
+    return found
+
+
+def _parse(legacy: bool):
+    names = NAMES + (OLD_NAMES if legacy else [])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        heading = re.compile(r"^#\s+(.+)$", re.M)
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["content"], strict=True):
+                row = dict.fromkeys([*names, "title", "body", "error"]) | {"path": path}
+                m = re.match(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)(.*)\Z", text or "", re.S)
+                try:
+                    head = yaml.load(m[1], Loader=loader) if m else None  # noqa: S506 - a safe loader
+                    if not isinstance(head, dict):
+                        raise ValueError("no header")
+                    now = modern(head)
+                    row["error"] = "; ".join(problems(now)) or None
+                    ext = head.get("ext") if isinstance(head.get("ext"), dict) else {}
+                    said = head | {"code_anchors": ext.get("code_anchors")} if legacy else now
+                    row |= {k: _value(k, said.get(k)) for k in names}
+                    row["body"] = m[2].strip()
+                    found = heading.search(row["body"])
+                    row["title"] = found[1].strip() if found else ""
+                except Exception as e:
+                    row["error"] = f"{type(e).__name__}: {e}"[:200]
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["path", *names, "title", "body", "error"], dtype=object)
+
+    return run
+
+
+def parse_frontmatter(files: DataFrame, legacy: bool = False) -> DataFrame:
     """Header fields, title, body and ``error`` of each file (path, content).
 
-    A file without a readable header is kept with its error and NULL fields; nothing fails.
+    Older headers are read in today's shape; with ``legacy`` as written, the older columns beside
+    today's. ``error`` says what keeps a file from being a record: no readable header, or the fields
+    that have not the form they must have. Such a file is kept with what could be read; nothing fails.
     """
-    return files.select("path", "content").mapInPandas(_parse, f"path string, {HEADER}, title string, body string, error string")
+    extra = f", {LEGACY}" if legacy else ""
+    return files.select("path", "content").mapInPandas(_parse(legacy), f"path string, {HEADER}{extra}, title string, body string, error string")
+
+
+def describe() -> list[tuple[str, str, bool, str]]:
+    """(field, type, needed, values) of a header, in the order fields are written."""
+    values = {"kind": KINDS, "type": TYPES, "state": STATES, "source_kind": SOURCE_KINDS, "verified_with": WITNESSES}
+    kinds = [c.split(" ", 1) for c in HEADER.split(", ")]
+    return [(n, k, n in ("id", "state", "created", "source", "check_by"), "|".join(values.get(n, ()))) for n, k in kinds]
 
 
-def scan_records(spark: SparkSession, root: str) -> DataFrame:
-    """All Markdown files under ``root``, parsed, with their area and tier from the path."""
+def scan_records(spark: SparkSession, root: str, legacy: bool = False) -> DataFrame:
+    """All Markdown files under ``root``, parsed, with their area and tier from the path.
+
+    Rows with an ``error`` are the side output: they are no records.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    rows = parse_frontmatter(files.select("path", F.decode("content", "utf-8").alias("content")))
-    return rows.withColumns({"area": F.regexp_extract("path", r"/(memory|observations|archive)/", 1), "is_operator": F.col("path").contains("/memory/operator/")})
+    rows = parse_frontmatter(files.select("path", F.decode("content", "utf-8").alias("content")), legacy)
+    return rows.withColumns({
+        "area": F.regexp_extract("path", r"/(memory|observations|archive)/", 1), "is_operator": F.col("path").contains("/memory/operator/"),
+    })
 
 
 def recent_files(spark: SparkSession, root: str, since) -> DataFrame:
@@ -109,23 +208,43 @@ def serialize(records: DataFrame) -> DataFrame:
     head = F.array_join(F.array_compact(F.array(*[line(n) for n in NAMES if n in kinds])), "\n")
     body = F.trim(F.coalesce("body", F.lit("")))
     title = F.concat(F.lit("# "), F.coalesce("title", F.lit("")))
-    text = F.when(body.startswith(F.concat(title, F.lit("\n"))) | (body == title), body).when(F.coalesce("title", F.lit("")) == "", body).otherwise(F.concat(title, F.lit("\n\n"), body))
+    text = F.when(
+        body.startswith(F.concat(title, F.lit("\n"))) | (body == title), body,
+    ).when(F.coalesce("title", F.lit("")) == "", body).otherwise(F.concat(title, F.lit("\n\n"), body))
     return records.select("id", F.col("file_path").alias("path"), F.concat(F.lit("---\n"), head, F.lit("\n---\n\n"), text, F.lit("\n")).alias("content"))
 
 
 def write_store(records: DataFrame, root: str) -> None:
     """Write each record to its own file under ``root``; tasks write their rows independently."""
+    relocate(serialize(records).select("path", "content", F.lit(None).cast("string").alias("was")), root).agg(F.count(F.lit(1))).first()
+
+
+def relocate(files: DataFrame, root: str) -> DataFrame:
+    """(path, outcome) after each file (path, content, was) was written under ``root`` and left its old place.
+
+    A file is written before its old one goes, so that a task that fails in between leaves both and its
+    repetition ends the move. A move onto a file that is already there keeps that one: ``kept``. A NULL
+    content only removes the old file.
+    """
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pathlib import Path
 
-        n = 0
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                target = Path(root, path)
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_text(content, encoding="utf-8")
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    serialize(records).mapInPandas(put, "n long").agg(F.sum("n")).first()
+            out = []
+            for path, content, was in zip(pdf["path"], pdf["content"], pdf["was"], strict=True):
+                target, old = Path(root, path), Path(root, was) if isinstance(was, str) and was != path else None
+                if not isinstance(content, str):
+                    outcome = "removed"
+                elif old is not None and target.exists():
+                    outcome = "kept"
+                else:
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    target.write_text(content, encoding="utf-8")
+                    outcome = "written" if old is None else "moved"
+                if old is not None:
+                    old.unlink(missing_ok=True)
+                out.append((path, outcome))
+            yield pd.DataFrame(out, columns=["path", "outcome"])
+
+    return files.select("path", "content", "was").mapInPandas(put, "path string, outcome string")

@@ -44,7 +44,9 @@ def test_nulls_repeats_self_links_and_extra_columns(spark):
 
 def test_cycle_inside_a_fragment_entered_from_others(spark):
     links = [("a0", "a1"), ("a1", "a0")] + [(f"m{i}", "a0") for i in range(6)] + [(f"z{i}", f"m{i}") for i in range(6)] + [("y1", "y0"), ("z9", "y1")]
-    got = {r.node: (r.root, r.depth, r.descendants, r.path) for r in hierarchy.resolve_hierarchy(spark.createDataFrame(links, "node string, parent string"), 4, True).collect()}
+    got = {r.node: (r.root, r.depth, r.descendants, r.path) for r in hierarchy.resolve_hierarchy(
+        spark.createDataFrame(links, "node string, parent string"), 4, True,
+    ).collect()}
     assert all(got[n] == ("cycle", -1, -1, None) for n in ["a0", "a1", *[f"{c}{i}" for c in "mz" for i in range(6)]])
     assert got["z9"] == ("y0", 2, 0, ["y0", "y1", "z9"]) and got["y0"][2] == 2
 
@@ -67,7 +69,9 @@ def test_long_chain_under_random_keys_contracts_every_round(spark):
     keys = [f"k{i:05d}" for i in rng.sample(range(100_000), n)]
     parent = dict(zip(keys[1:], keys, strict=False))
     sizes = []
-    got = {r.node: (r.root, r.depth, r.descendants) for r in hierarchy.resolve_hierarchy(spark.createDataFrame(list(parent.items()), "node string, parent string"), 250, sizes=sizes).collect()}
+    got = {r.node: (r.root, r.depth, r.descendants) for r in hierarchy.resolve_hierarchy(
+        spark.createDataFrame(list(parent.items()), "node string, parent string"), 250, sizes=sizes,
+    ).collect()}
     assert got == {k: (keys[0], i, n - 1 - i) for i, k in enumerate(keys)}
     # The first cut goes by key, which is random here; from then on nodes go with the heads above them.
     assert len(sizes) > 3 and all(b < 0.6 * a for a, b in zip(sizes[1:], sizes[2:], strict=False))

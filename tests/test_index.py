@@ -10,7 +10,10 @@ def active(spark, sf):
     return rows.select("id", "type", "title", "tags", "body").cache()
 
 
-@pytest.mark.parametrize("query", ["router", "router supersedes", "migrat normaliz", "hierarchy zzzunknown", "the-hidden each", "v0-30 the", "", "!!", "nowhere"])
+@pytest.mark.parametrize(
+    "query",
+    ["router", "router supersedes", "migrat normaliz", "hierarchy zzzunknown", "the-hidden each", "v0-30 the", "", "!!", "nowhere"],
+)
 @pytest.mark.parametrize("types", [None, ["decision"]])
 def test_same_scores_as_without_an_index(spark, active, tmp_path_factory, query, types):
     path = str(tmp_path_factory.getbasetemp() / "index")
@@ -46,3 +49,11 @@ def test_stemmed_or_as_written(spark, active, tmp_path, stem):
     assert {(r.id, r.bm25) for r in got.collect()} == {(r.id, r.bm25) for r in want.collect()}
     rows = active.selectExpr("id", "lower(concat_ws(' ', title, array_join(tags, ' '), body)) AS t")
     assert got.count() > rows.where(r"t rlike '\\b(records|superseding)\\b'").count() or not stem
+
+
+def test_a_named_version_is_opened_without_reading_the_records(spark, active, tmp_path):
+    path = str(tmp_path / "v")
+    first = index.open_or_build(active, path, version="1")
+    unread = active.withColumn("body", F.raise_error(F.lit("read")).cast("string"))
+    assert index.open_or_build(unread, path, version="1").fingerprint == first.fingerprint
+    assert index.open_or_build(active.where("type = 'fact'"), path, version="2").records < first.records

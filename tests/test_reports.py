@@ -22,7 +22,10 @@ NAMES = [c.split(" ")[0] for c in SCHEMA.replace("file:string,sha:string,repo:st
 
 
 def records(spark, *rows):
-    base = dict.fromkeys(NAMES) | {"kind": "claim", "type": "fact", "state": "active", "created": datetime(2024, 1, 1), "source": "agent-x", "title": "", "body": "", "check_by": "never"}
+    base = dict.fromkeys(NAMES) | {
+        "kind": "claim", "type": "fact", "state": "active", "created": datetime(2024, 1, 1), "source": "agent-x", "title": "", "body": "",
+        "check_by": "never",
+    }
     return spark.createDataFrame([tuple((base | r)[n] for n in NAMES) for r in rows], SCHEMA)
 
 
@@ -52,17 +55,25 @@ def test_budget_is_the_greedy_fold(spark):
 
 def test_staleness_validity_and_witness(spark):
     df = records(
-        spark, {"id": "a", "check_by": "2024-05-31T23:59:59.999Z"}, {"id": "b", "check_by": "2024-06-01T00:00:00.000Z"}, {"id": "c", "check_by": "soon"}, {"id": "d", "kind": "observation", "type": None, "check_by": "2024-01-01T00:00:00.000Z"},
+        spark, {"id": "a", "check_by": "2024-05-31T23:59:59.999Z"}, {"id": "b", "check_by": "2024-06-01T00:00:00.000Z"}, {"id": "c", "check_by": "soon"}, {
+            "id": "d", "kind": "observation", "type": None, "check_by": "2024-01-01T00:00:00.000Z",
+        },
         {"id": "e", "stale": True}, {"id": "f", "check_by": None},
     )
     assert {r.id for r in df.where(R.lazy_stale(now())).collect()} == {"a", "e"}
     at = datetime(2024, 6, 1)
-    v = records(spark, {"id": "in", "valid_from": at, "valid_to": at}, {"id": "open"}, {"id": "late", "valid_from": datetime(2024, 6, 2)}, {"id": "past", "valid_to": datetime(2024, 5, 1)})
+    v = records(
+        spark, {"id": "in", "valid_from": at, "valid_to": at}, {"id": "open"}, {"id": "late", "valid_from": datetime(2024, 6, 2)},
+        {"id": "past", "valid_to": datetime(2024, 5, 1)},
+    )
     assert {r.id for r in v.where(R.valid_as_of(now())).collect()} == {"in", "open"}
 
 
 def test_pins_attention_and_context(spark):
-    rows = [{"id": f"p{i}", "pinned": True, "last_verified": datetime(2024, 2, 1 + i)} for i in range(7)] + [{"id": "s1", "check_by": "2024-05-01T00:00:00.000Z"}, {"id": "s2", "check_by": "2024-03-01T00:00:00.000Z"}, {"id": "dr"}, {"id": "s3", "stale": True}]
+    rows = [{"id": f"p{i}", "pinned": True, "last_verified": datetime(2024, 2, 1 + i)} for i in range(7)] + [
+        {"id": "s1", "check_by": "2024-05-01T00:00:00.000Z"}, {"id": "s2", "check_by": "2024-03-01T00:00:00.000Z"}, {"id": "dr"},
+        {"id": "s3", "stale": True},
+    ]
     df = records(spark, *rows)
     assert [r.id for r in reports.pinned(df).collect()] == ["p6", "p5", "p4", "p3", "p2"]
     drifted = spark.createDataFrame([("dr", 1, "anchor drift: x")], "id string, files int, note string")
@@ -76,7 +87,10 @@ def test_pins_attention_and_context(spark):
 
 
 def test_drift(spark):
-    df = records(spark, {"id": "a", "anchors": [("x", "1", None), ("y", "2", None), ("z", "3", "far"), ("x", "1", None), (None, "1", None)]}, {"id": "b", "anchors": []}, {"id": "c"})
+    df = records(
+        spark, {"id": "a", "anchors": [("x", "1", None), ("y", "2", None), ("z", "3", "far"), ("x", "1", None), (None, "1", None)]},
+        {"id": "b", "anchors": []}, {"id": "c"},
+    )
     files = spark.createDataFrame([("", "x", "1"), ("far", "z", "3")], "repo string, file string, current_sha string")
     repos = spark.createDataFrame([("near",)], "repo string")
     got = {r.file: r.status for r in reports.anchor_drift(reports.anchors_view(df), files, repos).collect()}
@@ -86,18 +100,42 @@ def test_drift(spark):
 
 def test_conflicts(spark):
     df = records(
-        spark, {"id": "a", "title": "Router cache expires early", "tags": ["x", "y"]}, {"id": "b", "title": "Early router expires", "tags": ["y"]}, {"id": "c", "title": "Early router expires", "tags": ["z"]},
-        {"id": "d", "title": "Early router expires", "tags": ["y"], "type": "decision"}, {"id": "e", "title": None, "tags": None, "conflicts_with": ["a", "q", None, ""]},
+        spark, {
+            "id": "a", "title": "Router cache expires early", "tags": ["x", "y"],
+        }, {"id": "b", "title": "Early router expires", "tags": ["y"]}, {"id": "c", "title": "Early router expires", "tags": ["z"]},
+        {"id": "d", "title": "Early router expires", "tags": ["y"], "type": "decision"}, {
+            "id": "e", "title": None, "tags": None, "conflicts_with": ["a", "q", None, ""],
+        },
     )
-    assert {(r.id_a, r.id_b, r.shared_tokens, r.shared_tags) for r in reports.conflict_pairs(df).collect()} == {("a", "b", 3, 1)}
-    assert {(r.id_a, r.id_b, r.title_b) for r in reports.declared_conflicts(df).collect()} == {("a", "e", "(not in active set)"), ("e", "q", "(not in active set)")}
-    assert {(r.id_a, r.id_b) for r in reports.title_bucket_pairs(df).collect()} == {("b", "c")}
+    members, classes = reports.conflict_classes(df)
+    assert {(r.id_a, r.id_b, r.shared_tokens, r.shared_tags) for r in reports.conflict_pairs(classes).collect()} == {("a", "b", 3, 1)}
+    assert {(r.id, r.class_id) for r in members.collect()} == {(x, x) for x in "abcde"}
+    assert {(r.id_a, r.id_b, r.title_b) for r in reports.declared_conflicts(df).collect()} == {
+        ("a", "e", "(not in active set)"), ("e", "q", "(not in active set)"),
+    }
+    assert {(r.id, r.class_id, r.members) for r in reports.title_buckets(df).collect()} == {("b", "b", 2), ("c", "b", 2)}
+    # A stock title is one class, however many records have it.
+    many = records(
+        spark, *[{"id": f"s{i:03d}", "title": "Weekly status report", "tags": ["x", "x", None]} for i in range(200)],
+        {"id": "z", "title": "Status report weekly late", "tags": ["x"]},
+    )
+    members, classes = reports.conflict_classes(many)
+    assert {(r.id_a, r.id_b, r.shared_tokens, r.shared_tags) for r in reports.conflict_pairs(classes).collect()} == {("s000", "s000", 3, 1), ("s000", "z", 3, 1)}
+    assert members.where("class_id = 's000'").count() == 200
 
 
 def test_remember_refuses_and_links(spark):
-    live = records(spark, {"id": "a", "title": "Router cache expires early", "tags": ["x"]}, {"id": "k", "title": "Token rotation happens weekly", "tags": ["x"], "source": "human:y"})
+    live = records(
+        spark, {"id": "a", "title": "Router cache expires early", "tags": ["x"]},
+        {"id": "k", "title": "Token rotation happens weekly", "tags": ["x"], "source": "human:y"},
+    )
     new = spark.createDataFrame(
-        [("1", "fact", " router  CACHE expires early", ["x"], "agent-x", None), ("2", "fact", "Router cache lives long", ["x"], "agent-x", None), ("3", "fact", "Router cache lives long", [], "agent-x", None), ("4", "fact", "New", [], " Unknown ", None), ("5", "fact", "Token rotation slow", ["x"], "agent-x", None), ("6", "decision", None, None, "human:z", None)],
+        [
+            ("1", "fact", " router  CACHE expires early", ["x"], "agent-x", None),
+            ("2", "fact", "Router cache lives long", ["x"], "agent-x", None), ("3", "fact", "Router cache lives long", [], "agent-x", None),
+            ("4", "fact", "New", [], " Unknown ", None), ("5", "fact", "Token rotation slow", ["x"], "agent-x", None),
+            ("6", "decision", None, None, "human:z", None),
+        ],
         "id string, type string, title string, tags array<string>, source string, source_kind string",
     )
     rejected, accepted = writes.remember(new, live)
@@ -107,11 +145,17 @@ def test_remember_refuses_and_links(spark):
 
 def test_supersede_relate_and_verify(spark):
     df = records(spark, {"id": "a", "tags": ["t"]}, {"id": "b", "source": "human:x"}, {"id": "c", "state": "retired"}, {"id": "d", "supersedes": ["z"]})
-    ask = spark.createDataFrame([(i, f"n{i}", "body", "why", i == "b", "agent-y") for i in "abcq"], "id string, new_id string, body string, reason string, override boolean, source string")
+    ask = spark.createDataFrame(
+        [(i, f"n{i}", "body", "why", i == "b", "agent-y") for i in "abcq"],
+        "id string, new_id string, body string, reason string, override boolean, source string",
+    )
     got = {r.id: r for r in writes.supersede_replace(df, ask, now()).collect()}
     assert got["a"].state == "superseded" and got["a"].superseded_by == "na" and got["na"].supersedes == ["a"] and got["na"].tags == ["t"]
     assert got["b"].supersede_reason.endswith(writes.OVERRIDE_NOTE) and got["nb"].supersede_reason == "why" and "nc" not in got and "nq" not in got
-    merge = spark.createDataFrame([("a", "d", "m", False), ("b", "d", "m", False), ("d", "d", "m", False), ("a", "c", "m", False)], "id string, into string, reason string, override boolean")
+    merge = spark.createDataFrame(
+        [("a", "d", "m", False), ("b", "d", "m", False), ("d", "d", "m", False), ("a", "c", "m", False)],
+        "id string, into string, reason string, override boolean",
+    )
     got = {r.id: r for r in writes.supersede_merge(df, merge).collect()}
     assert got["d"].supersedes == ["z", "a"] and got["a"].superseded_by == "d" and got["b"].state == "active"
     got = {r.id: r for r in writes.supersede_retract(df, ask).collect()}
@@ -120,11 +164,16 @@ def test_supersede_relate_and_verify(spark):
     assert changed.first().conflicts_with == ["b"] and {(r.id, r.target) for r in refused.collect()} >= {("a", "a"), ("a", "q")}
     drift = spark.createDataFrame([("a", "changed"), ("d", "unchanged")], "id string, status string")
     asked = spark.createDataFrame([("a", None, "x"), ("b", "saw it", "human:x"), ("d", None, "x")], "id string, evidence string, source string")
-    assert {r.id: (r.status, r.verified_with) for r in writes.verify(df, drift, asked, now()).collect()} == {"a": ("needs_review", "assertion"), "b": ("verified_inferred", "operator"), "d": ("verified", "anchor")}
+    assert {r.id: (r.status, r.verified_with) for r in writes.verify(df, drift, asked, now()).collect()} == {
+        "a": ("needs_review", "assertion"), "b": ("verified_inferred", "operator"), "d": ("verified", "anchor"),
+    }
 
 
 def test_observe_and_scalars(spark):
-    df = spark.createDataFrame([("  First\nsecond ", "2h", None), ("x" * 300, "never", "me"), ("  ", None, None), ("y", "bad", None), (None, None, None)], "text string, ttl string, source string")
+    df = spark.createDataFrame(
+        [("  First\nsecond ", "2h", None), ("x" * 300, "never", "me"), ("  ", None, None), ("y", "bad", None), (None, None, None)],
+        "text string, ttl string, source string",
+    )
     got = writes.observe(df, now()).collect()
     assert [(r.title, r.expires, r.source) for r in got] == [("First", datetime(2024, 6, 1, 2), "agent"), ("x" * 120, None, "me")]
     one = spark.range(1)
@@ -140,5 +189,8 @@ def test_observe_and_scalars(spark):
 
 def test_empty_records(spark):
     df = records(spark, {"id": "x"}).limit(0)
-    for out in (reports.conflict_pairs(df), reports.title_bucket_pairs(df), reports.declared_conflicts(df), reports.validate(df), writes.sweep(df, now())):
+    for out in (
+        reports.conflict_pairs(reports.conflict_classes(df)[1]), reports.title_buckets(df), reports.declared_conflicts(df),
+        reports.validate(df), writes.sweep(df, now()),
+    ):
         assert out.count() == 0

@@ -41,7 +41,9 @@ def test_nulls_repeats_and_unrelated_streams(spark):
 
 def test_empty_and_unreadable(spark):
     assert found(spark, {})[0] == set()
-    assert found(spark, {("s", 1): [{"id": ids(1)[0], "v": 1}], ("s", 2): ["[1, 2]", "nonsense"]})[0] == {("s", 2, "removed", "v", ""), ("s", 2, "removed", "id", "")}
+    assert found(
+        spark, {("s", 1): [{"id": ids(1)[0], "v": 1}], ("s", 2): ["[1, 2]", "nonsense"]},
+    )[0] == {("s", 2, "removed", "v", ""), ("s", 2, "removed", "id", "")}
 
 
 def test_leaves_and_assignment():

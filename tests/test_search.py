@@ -37,10 +37,19 @@ def full_text(rows, expression, tokenizer="unicode61"):
 def corpus():
     rng = random.Random(8)
     words = "cache token router café auth build deploy naïve schema index configured migration the of".split()
-    return [(f"r{i:02d}", rng.choice(["fact", "decision"]), " ".join(rng.choices(words, k=4)), rng.sample(words, 2), " ".join(rng.choices(words, k=rng.randint(0, 40))), 1 + i % 28) for i in range(60)]
-
-
-@pytest.mark.parametrize(("query", "expression", "stage"), [("cache router", '"cache" AND "router"', "and"), ("Cafe", '"cafe"', "and"), ("auth-token", '"auth token"', "and"), ("cache zzz", '"cache" OR "zzz"', "or"), ("configurat migrat", '"config"* AND "migrat"*', "and_prefix")])
+    return [(
+        f"r{i:02d}", rng.choice(["fact", "decision"]), " ".join(rng.choices(words, k=4)), rng.sample(words, 2),
+        " ".join(rng.choices(words, k=rng.randint(0, 40))), 1 + i % 28,
+    ) for i in range(60)]
+
+
+@pytest.mark.parametrize(
+    ("query", "expression", "stage"),
+    [
+        ("cache router", '"cache" AND "router"', "and"), ("Cafe", '"cafe"', "and"), ("auth-token", '"auth token"', "and"),
+        ("cache zzz", '"cache" OR "zzz"', "or"), ("configurat migrat", '"config"* AND "migrat"*', "and_prefix"),
+    ],
+)
 def test_scores_agree_with_a_full_text_engine(spark, corpus, query, expression, stage):
     if stage == "and_prefix":
         expression = " AND ".join(f'"{prefix_stem(t)}"*' for t in query.split())
@@ -61,7 +70,13 @@ def test_stages_fall_back(spark):
 
 
 def test_rerank_prefers_phrases_and_types(spark):
-    df = frame(spark, [("a", "fact", "token cache notes", [], "x", 1), ("b", "fact", "cache token", [], "x", 1), ("c", "decision", "cache", ["token"], "y", 28), *[(f"o{i}", "fact", "other", [], "words", 1) for i in range(9)]])
+    df = frame(
+        spark,
+        [
+            ("a", "fact", "token cache notes", [], "x", 1), ("b", "fact", "cache token", [], "x", 1),
+            ("c", "decision", "cache", ["token"], "y", 28), *[(f"o{i}", "fact", "other", [], "words", 1) for i in range(9)],
+        ],
+    )
     top = [r.id for r in search.search(df, "cache token", now(), 3).orderBy("rank").collect()]
     assert top[0] == "b" and set(top) == {"a", "b", "c"}
     assert [r.id for r in search.search(df, "cache token", now(), 3, types=["decision"]).collect()] == ["c"]
@@ -105,9 +120,17 @@ def test_cosine(spark):
 
 
 def test_words_are_found_by_their_stems(spark):
-    rows = [("a", "fact", "record of caches", ["running"], "happy 2020s auth tokens ponies", 1), ("b", "fact", "recorded", ["cache"], "records recording cached runs happily", 1), ("c", "fact", "recorder", [], "happiness 2020 auth token pony cat", 1)]
+    rows = [
+        ("a", "fact", "record of caches", ["running"], "happy 2020s auth tokens ponies", 1),
+        ("b", "fact", "recorded", ["cache"], "records recording cached runs happily", 1),
+        ("c", "fact", "recorder", [], "happiness 2020 auth token pony cat", 1),
+    ]
     rows += [(f"o{i}", "fact", "other", [], "words", 1) for i in range(9)]
-    for query, expression, stage in [("record", "record", "and"), ("records caching", "records AND caching", "and"), ("auth-token", '"auth token"', "and"), ("2020s", "2020s", "and"), ("ponies zzz", "ponies OR zzz", "or"), ("happiness", "happi*", "and_prefix"), ("recordings", "record*", "and_prefix"), ("auth-tokens", '"auth token" *', "and_prefix")]:
+    for query, expression, stage in [
+        ("record", "record", "and"), ("records caching", "records AND caching", "and"), ("auth-token", '"auth token"', "and"),
+        ("2020s", "2020s", "and"), ("ponies zzz", "ponies OR zzz", "or"), ("happiness", "happi*", "and_prefix"),
+        ("recordings", "record*", "and_prefix"), ("auth-tokens", '"auth token" *', "and_prefix"),
+    ]:
         want = full_text(rows, expression, "porter unicode61")
         got = {r.id: r.bm25 for r in search.matches(frame(spark, rows), query, stage=stage).collect()}
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want), query
@@ -132,7 +155,10 @@ def test_every_layer_is_searched_and_ranked_on_its_own(spark, sf, tmp_path):
         for name in ("memory_records", "archive_records"):
             rows = spark.read.parquet(f"{sf}/{name}.parquet")
             hit = F.col("id") == spark.read.parquet(f"{sf}/memory_records.parquet").where("state = 'active'").agg(F.min("id")).first()[0]
-            rows = rows.withColumns({"title": F.when(hit, "router supersedes").otherwise("other"), "body": F.lit("words"), "tags": F.array().cast("array<string>"), "layer": F.when(hit, layer).otherwise(F.lit(names[0]))})
+            rows = rows.withColumns({
+                "title": F.when(hit, "router supersedes").otherwise("other"), "body": F.lit("words"),
+                "tags": F.array().cast("array<string>"), "layer": F.when(hit, layer).otherwise(F.lit(names[0])),
+            })
             rows.write.parquet(str(d / f"{name}.parquet"))
         assert [(r.from_layer, r["rank"]) for r in records.search_layers(spark, str(d)).collect()] == [(layer, 1)]
 
@@ -143,3 +169,36 @@ def test_layers_at_once_equal_layers_one_by_one(spark, corpus):
         got = search.search_layers([(str(k), p) for k, p in enumerate(parts)], query, now(), 100)
         want = {(str(k), r["rank"], r.id, r.bm25, r.score) for k, p in enumerate(parts) for r in search.search(p, query, now(), 100).collect()}
         assert {(r.from_layer, r["rank"], r.id, r.bm25, r.score) for r in got.collect()} == want
+
+
+def test_marks_fold_as_in_a_full_text_engine(spark):
+    from recordloom.functions.text import tokens
+
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("create virtual table f using fts5(t, tokenize='unicode61')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text module")
+    con.execute("create virtual table v using fts5vocab(f, 'row')")
+    words = ["šž", "ćő", "naïve", "Ångström", "ÿ", "đ", "ß", "ĳ", "ệ", "Ǘ", "œuvre", "ł"]
+    want = {}
+    for w in words:
+        con.execute("delete from f")
+        con.execute("insert into f values (?)", (w,))
+        want[w] = [r[0] for r in con.execute("select term from v")]
+    got = {r.w: r.t for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", tokens(F.col("w")).alias("t")).collect()}
+    assert got == want
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(30)] + [(99, [0.0] * 4)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = spark.createDataFrame(rows[:5], "query_id long, query array<double>")
+    whole = sorted(map(tuple, search.similarities(v, q).collect()))
+    assert len(whole) == 5 * 31
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, search.similarities(v, q).collect())) == whole
+    near = search.nearest_vectors(v, q, 3).collect()
+    assert len(near) == 15 and all(r.similarity == 1.0 for r in near if r["rank"] == 1)
+    assert search.similarities(v, q.limit(0)).count() == 0 == search.nearest_vectors(v.limit(0), q, 3).count()

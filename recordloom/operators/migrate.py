@@ -106,11 +106,10 @@ def apply(spark: SparkSession, root: str, now, settings: R.Settings = R.Settings
     """(path, outcome) of every file that was rewritten in today's shape, moved, or gave way to another.
 
     Files that need no change are not touched, files that are no records neither; a second run finds
-    nothing to do.
+    nothing to do. Each file is read once, and of several files of one id each has its own outcome.
     """
     changed = plan(read(spark, root), now, settings, overrides).where(F.size("changes") > 0)
-    texts = markdown.serialize(changed.withColumn("file_path", F.col("target_path")))
-    moves = stored(texts.join(changed.select("id", F.col("was_path").alias("was")), "id"))
+    moves = stored(markdown.serialize(changed.withColumn("file_path", F.col("target_path")), F.col("was_path").alias("was")))
     return stored(markdown.relocate(moves, root))
 
 

@@ -951,7 +951,7 @@ def _older_files(s: SparkSession, d: str) -> DataFrame:
         old("decay_after", F.to_json(F.array("decay_after"))), old("corrects", F.to_json("corrects")),
         old("confidence", F.col("confidence").cast("string")),
     ))
-    texts = markdown.serialize(r.withColumn("ext", ext)).join(r.select("id", F.array_join(lines, "\n").alias("more")), "id")
+    texts = markdown.serialize(r.withColumns({"ext": ext, "more": F.array_join(lines, "\n")}), F.col("more"))
     # A list of one text is read as that text.
     more = F.regexp_replace("more", r"(?m)^decay_after: \[(.*)\]$", "decay_after: $1")
     return texts.select(

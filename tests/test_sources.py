@@ -250,6 +250,67 @@ def test_a_store_is_migrated_once(spark, tmp_path):
     assert "decay_after" not in a and "code_anchors" not in a and "legacy_confidence" in a and "stale: true" in a
 
 
+def test_files_of_one_id_have_one_outcome_each(spark, tmp_path):
+    (tmp_path / "memory" / "facts").mkdir(parents=True)
+    for name in ("one", "two"):
+        (tmp_path / "memory" / "facts" / f"{name}.md").write_text(head(**OLDER["a"]))
+    done = [tuple(r) for r in migrate.apply(spark, str(tmp_path), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")).collect()]
+    path = f"memory/facts/ms_{'X' * 26}.md"
+    assert sorted(done) == [(path, "kept"), (path, "moved")]
+    assert [p.name for p in (tmp_path / "memory" / "facts").iterdir()] == [f"ms_{'X' * 26}.md"]
+
+
+def test_a_move_that_was_cut_short_ends(spark, tmp_path):
+    import os
+
+    for name in ("half", "twin", "linked", "taken", "at/taken", "place"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"longer text than the new one of {name}")
+    os.link(tmp_path / "half", tmp_path / "at" / "half")
+    os.link(tmp_path / "twin", tmp_path / "elsewhere")
+    (tmp_path / "pointer").symlink_to(tmp_path / "linked")
+    rows = [(f"at/{n}", "new", n) for n in ("half", "twin", "pointer", "taken", "gone")] + [("place", "new", "place"), ("deep/er", "new", None)]
+    done = {tuple(r) for r in markdown.relocate(spark.createDataFrame(rows, "path string, content string, was string"), str(tmp_path)).collect()}
+    assert done == {(f"at/{n}", "moved") for n in ("half", "twin", "pointer", "gone")} | {("at/taken", "kept"), ("place", "written"), ("deep/er", "written")}
+    assert all((tmp_path / p).read_text() == "new" for p in ("at/half", "at/twin", "at/pointer", "at/gone", "place", "deep/er"))
+    assert (tmp_path / "elsewhere").read_text().endswith("twin") and (tmp_path / "linked").read_text().endswith("linked")
+    assert (tmp_path / "at" / "taken").read_text().endswith("at/taken")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["at", "deep", "elsewhere", "linked", "place"]
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    folder = tmp_path / "memory" / "facts"
+    folder.mkdir(parents=True)
+    (tmp_path / "_old").mkdir()
+    for name in [*(f"memory/facts/{i}.md" for i in range(600)), "memory/facts/.hidden.md", "memory/facts/x.txt", "_old/a.md", "top.md"]:
+        (tmp_path / name).write_text(head())
+    (folder / "bytes.md").write_bytes(b"---\nid: \xff\n---\n")
+    got = markdown.scan_records(spark, f"file:{tmp_path}")
+    assert got.rdd.getNumPartitions() <= 8
+    rows = {r.path: r.error for r in got.collect()}
+    assert rows.keys() == {f"file:{folder}/{i}.md" for i in [*range(600), "bytes"]} | {f"file:{tmp_path}/top.md"}
+    assert rows.pop(f"file:{folder}/bytes.md").startswith("UnicodeDecodeError") and not any(rows.values())
+
+
+def test_headers_read_without_yaml_say_the_same():
+    import yaml
+
+    read = markdown._header()
+    for text in (
+        'id: "a"\ntags: ["x","y: z"]\next: {"k":{"n":1.5},"m":[true,null,-1]}\nconfidence: 0.5', 'ext: {"a": 1e5}', "confidence: 1e5", 'source: "\\u00e9\\/"', "id: plain # note",
+        'id: "a\u2028b"', "created: 2024-01-02", 'other: "x"\non: 1', 'id: "a"\n  b: 1', "", 'id: "a"\nid: "b"', "check_by: NaN", "stale: yes",
+    ):
+        try:
+            want = yaml.load(text, Loader=yaml.CSafeLoader)  # noqa: S506
+        except yaml.YAMLError:
+            want = None
+        try:
+            got = read(text)
+        except yaml.YAMLError:
+            got = None
+        assert repr(got) == repr(want), text
+
+
 def test_renames_and_hashes_of_a_repository(spark, tmp_path):
     import subprocess
 
